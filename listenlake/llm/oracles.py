@@ -2,6 +2,77 @@
 
 from __future__ import annotations
 
+OP3 = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A'))
+    + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
+FROM rows_ GROUP BY conv_id
+"""
+
+OP4 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+named AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized GROUP BY source),
+levels AS (
+  SELECT *, 3.0::DOUBLE * source_size / weight AS full_,
+    (sum(source_size) OVER () - 3.0::DOUBLE * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM named WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST)),
+goal AS (
+  SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(3.0::DOUBLE * source_size,
+    weight * (SELECT arg_min(level, full_) FROM levels WHERE level <= full_)) END AS target FROM levels),
+rates AS (
+  SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS whole FROM goal),
+ranked AS (
+  SELECT s.doc_id, s.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.u / (1 - s.u), s.doc_id ROWS UNBOUNDED PRECEDING) - s.size / 2.0::DOUBLE AS middle
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN rest > 0 AND middle < rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM ranked
+"""
+
+OP6 = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
+named AS (
+  SELECT page_id, translate(coalesce(raw, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(path, '') AS path FROM parts),
+rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fits AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS ruled FROM named JOIN rules
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+known AS (
+  SELECT n.*, rule, ruled, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '*', 'g'), '/') AS t FROM named n LEFT JOIN fits USING (page_id)),
+tree AS (
+  SELECT page_id, host, path, rule, ruled, t[1] AS a, coalesce(t[2], '') AS b, coalesce(array_to_string(t[3:], '/'), '') AS c FROM known),
+leaf1 AS (SELECT *, CASE WHEN (SELECT count(DISTINCT x.a) FROM tree x WHERE x.host = tree.host) > 50 THEN '*' ELSE a END AS a_ FROM tree),
+n2 AS (SELECT host, a_, count(DISTINCT b) AS n FROM leaf1 GROUP BY ALL),
+leaf2 AS (SELECT l.*, CASE WHEN n > 50 THEN '*' ELSE b END AS b_ FROM leaf1 l JOIN n2 USING (host, a_)),
+n3 AS (SELECT host, a_, b_, count(DISTINCT c) AS n FROM leaf2 GROUP BY ALL),
+leaf3 AS (SELECT l.*, CASE WHEN n > 50 THEN '*' ELSE c END AS c_ FROM leaf2 l JOIN n3 USING (host, a_, b_)),
+nodes AS (
+  SELECT host, a_, b_, c_, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good FROM leaf3 GROUP BY ALL),
+shares AS (
+  SELECT *, sum(bad) OVER w AS p_bad, sum(bad + good) OVER w AS p_n FROM nodes WINDOW w AS (PARTITION BY host, a_, b_)),
+merged AS (
+  SELECT *, CASE WHEN bad + good >= 5 THEN abs(bad / (bad + good)::DOUBLE - p_bad / p_n::DOUBLE)
+    <= 1.96 * sqrt((p_bad + 1.0) / (p_n + 2.0) * (1 - (p_bad + 1.0) / (p_n + 2.0)) / (bad + good)) ELSE false END AS m FROM shares),
+pooled AS (
+  SELECT host, a_, b_, c_, CASE WHEN m THEN sum(bad) FILTER (m) OVER w ELSE bad END AS x, CASE WHEN m THEN sum(good) FILTER (m) OVER w ELSE good END AS y
+  FROM merged WINDOW w AS (PARTITION BY host, a_, b_))
+SELECT l.page_id, l.host, l.path, l.rule, coalesce(l.ruled, CASE WHEN (y + 1.0) / (x + y + 2.0) < 0.35 THEN 'block' ELSE 'allow' END) AS verdict
+FROM leaf3 l JOIN pooled USING (host, a_, b_, c_)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_formatting": OP3, "op4_mixing": OP4, "op6_url_filters": OP6}

@@ -8,8 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import idfiles, packing, repetition, tokens
-from listenlake.llm.common import table
+from listenlake.llm import chat, idfiles, mixing, packing, repetition, tokens, urls
+from listenlake.llm.common import stored, table
+
+#: The rules of op6_url_filters: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+#: What both turns of the extra conversation of op3_chat_formatting say.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    read = chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("replies", "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = stored(mixing.sized(table(spark, sf_dir, "documents")), "sized")
+    return mixing.mix(slim).select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
