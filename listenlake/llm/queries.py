@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import ann, chat, idfiles, mixing, packing, repetition, tokens, urls
+from listenlake.llm import ann, chat, idfiles, mixing, packing, repetition, shingles, tokens, urls
 from listenlake.llm.common import stored, table
 
 #: The rules of op6_url_filters: host, path, verdict.
@@ -35,6 +35,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(slim).select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
