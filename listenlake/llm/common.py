@@ -143,6 +143,14 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values in ``x``."""
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return start, np.append(start[1:], len(x))
+
+
 def batches(rows: Iterator[pa.RecordBatch], text_at: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of Arrow batches with the texts in column ``text_at`` (binary, none null)."""
     for batch in rows:

@@ -27,16 +27,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import BATCH_BYTES, Words, batches, gram_hashes, mix, stored, text_bytes
+from listenlake.llm.columns import blocks_for, shared_columns
+from listenlake.llm.common import Words, batches, gram_hashes, stored, text_bytes
 
 GRAM = 5
-#: Entries gathered by one block of columns.
-BLOCK_ENTRIES = 1 << 22
 PIVOT_ROUNDS = 2
 
 
@@ -70,85 +68,13 @@ def set_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text).alias("raw")).mapInArrow(make, "doc_id bigint, n bigint, digest binary, set_key bigint")
 
 
-def shared_counts(docs: DataFrame, text: str, blocks: int) -> DataFrame:
-    """set_key (the first half of a digest) and how many of its columns it shares with another set, at most; ``blocks`` is a power of two."""
-    shift = np.uint64(64 - max(1, blocks.bit_length() - 1))
-    entries = "block bigint, keys binary, counts binary, columns binary, common binary"
-
-    def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in batches(rows, 0, 2 * BATCH_BYTES):
-            by_key: dict[int, np.ndarray] = {}
-            for s, e in ((i, min(i + 256, len(texts))) for i in range(0, len(texts), 256)):
-                for x in shingle_sets(texts[s:e]):
-                    if len(x):
-                        by_key[int.from_bytes(digest(x)[:8], "little")] = x
-            if not by_key:
-                continue
-            keys = np.array(list(by_key), np.uint64)
-            size = np.array([len(x) for x in by_key.values()])
-            owner, column = np.repeat(np.arange(len(keys)), size), np.concatenate(list(by_key.values()))
-            order = np.argsort(column, kind="stable")
-            column, owner = column[order], owner[order]
-            new = np.ones(len(column), bool)
-            new[1:] = column[1:] != column[:-1]
-            alone = new & np.append(new[1:], True)
-            settled = np.bincount(owner[~alone], minlength=len(keys))
-            common = column[new & ~alone]
-            yield row(-1, keys[settled > 0], settled[settled > 0], np.empty(0, np.uint64), np.empty(0, np.uint64))
-            column, owner = column[alone], owner[alone]
-            by = np.lexsort((owner, column >> shift))
-            column, owner = column[by], owner[by]
-            cut = np.searchsorted(column >> shift, np.arange(blocks + 1, dtype=np.uint64))
-            cut_common = np.searchsorted(common >> shift, np.arange(blocks + 1, dtype=np.uint64))
-            for b in range(blocks):
-                part, own = column[cut[b] : cut[b + 1]], owner[cut[b] : cut[b + 1]]
-                more = common[cut_common[b] : cut_common[b + 1]]
-                if len(part) or len(more):
-                    who, n = np.unique(own, return_counts=True)
-                    yield row(b, keys[who], n, part, more)
-
-    def row(block: int, keys: np.ndarray, counts: np.ndarray, columns: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
-        low = [x.astype(np.uint32).tobytes() for x in (columns, common)]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys.tobytes(), counts.astype(np.uint32).tobytes(), *low))], ["block", "keys", "counts", "columns", "common"])
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.repeat(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)) for k, c in zip(rows["keys"], rows["counts"], strict=True)])
-        column = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["columns"]])
-        common = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["common"]]))
-        by = np.lexsort((key, column))
-        key, column = key[by], column[by]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (column[1:] != column[:-1])
-        key, column = key[fresh], column[fresh]
-        _, at, n = np.unique(column, return_inverse=True, return_counts=True)
-        hit = (n[at] > 1) | np.isin(column, common)
-        who, n = np.unique(key[hit], return_counts=True)
-        return packed_counts(who, n)
-
-    def packed_counts(who: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        bucket = (mix(who) % np.uint64(blocks)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        who, n, bucket = who[by], n[by].astype(np.uint32), bucket[by]
-        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(who) else np.empty(0, int)
-        ends = np.append(edges[1:], len(who))
-        return pd.DataFrame({"bucket": bucket[edges], "keys": [who[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], "counts": [n[a:b].tobytes() for a, b in zip(edges, ends, strict=True)]})
-
-    def settled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pandas(packed_counts(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)), schema=pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]), preserve_index=False)
-
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]])
-        n = np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]])
-        who, at = np.unique(key, return_inverse=True)
-        return pd.DataFrame({"set_key": who.view(np.int64), "shared": np.bincount(at, n, len(who)).astype(np.int64)})
-
-    packed = "bucket bigint, keys binary, counts binary"
-    gathered = stored(docs.select(text_bytes(text).alias("raw")).mapInArrow(gather, entries), "columns")
-    inside = gathered.where("block >= 0").groupBy("block").applyInPandas(count, packed)
-    local = gathered.where("block < 0").select("keys", "counts").mapInArrow(settled, packed)
-    return inside.unionByName(local).groupBy("bucket").applyInPandas(total, "set_key bigint, shared bigint")
+def columns_of(part: pa.RecordBatch, texts: list[bytes]) -> dict[int, np.ndarray]:
+    """The shingles of each distinct set, under the first half of its digest."""
+    out = {}
+    for a in range(0, len(texts), 256):
+        for x in shingle_sets(texts[a : a + 256]):
+            out[int.from_bytes(digest(x)[:8], "little")] = x
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,8 +150,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     known = stored(set_rows(docs, id_col, text), "sets")
     classes = stored(known.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("set_key").alias("set_key")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = 1 << max(4, int(total // BLOCK_ENTRIES).bit_length())
-    counts = shared_counts(docs, text, blocks)
+    counts = shared_columns(docs.select(text_bytes(text).alias("raw")), columns_of, blocks_for(total)).select(F.col("key").alias("set_key"), "shared")
     alive = classes.join(counts, "set_key").where(f"100 * shared >= {percent} * n").select(F.col("rep").alias("doc_id"), F.col("digest").alias("want"))
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
