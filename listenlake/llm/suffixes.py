@@ -347,17 +347,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     spans, _ = repeated_spans(docs, id_col, text)
     sha, lows, highs, raw = (fresh(docs, x) for x in ("text_sha", "span_lows", "span_highs", "raw_text"))
     marked = docs.withColumn(sha, F.sha2(text_bytes(text), 256)).join(spans.select(F.col("doc_id").alias("span_doc"), F.col("sha").alias("span_sha"), F.col("lows").alias(lows), F.col("highs").alias(highs)), (F.col(id_col).cast("bigint") == F.col("span_doc")) & (F.col(sha) == F.col("span_sha")), "left")
-    at = docs.columns.index(text)
+    names, at, wide = docs.columns, docs.columns.index(text), len(docs.columns)
 
     def cut(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in batches(arrow, len(docs.columns) + 2):
-            left, right = part.column(len(docs.columns)).to_pylist(), part.column(len(docs.columns) + 1).to_pylist()
+        for part, texts in batches(arrow, wide + 2):
+            left, right = part.column(wide).to_pylist(), part.column(wide + 1).to_pylist()
             new = []
             for t, lo, hi, old in zip(texts, left, right, part.column(at).to_pylist(), strict=True):
                 pairs = [inward(t, a, b) for a, b in zip(lo, hi, strict=True)] if lo else []
                 new.append(without(t, [a for a, _ in pairs], [b for _, b in pairs]).decode("utf-8", "replace") if lo else old)
-            columns = part.columns[: len(docs.columns)]
+            columns = part.columns[:wide]
             columns[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return marked.select(*docs.columns, lows, highs, text_bytes(text).alias(raw)).mapInArrow(cut, docs.schema)
+    return marked.select(*names, lows, highs, text_bytes(text).alias(raw)).mapInArrow(cut, docs.schema)
