@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def text(value: Column) -> Column:
@@ -17,7 +18,7 @@ def filled(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(values: pd.Series) -> pd.Series:
     """Full case folding, for names where lower() differs from it."""
     return values.str.casefold()

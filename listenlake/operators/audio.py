@@ -137,7 +137,7 @@ def cluster(records: DataFrame, params: AudioParams = AudioParams(), by: str = "
         label, strength = hdbscan(z, params.min_cluster_size, params.min_samples)
         return rows.assign(cluster=label, probability=strength, **{f"z_{d}": z[:, i] for i, d in enumerate(dims)})
 
-    usable = records.where(has_all(dims))
+    usable = records.drop("cluster", "probability", *(f"z_{d}" for d in dims)).where(has_all(dims))
     extra = ", ".join(f"z_{d} double" for d in dims)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in usable.schema.fields)
     return usable.groupBy(by).applyInPandas(fit, f"{schema}, cluster bigint, probability double, {extra}")

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listenlake.functions.times import micros
 from listenlake.params import MIN_WINDOW_EVENTS, EpochParams
@@ -84,7 +85,7 @@ def kolmogorov_sf(d: float, n: int) -> float:
     return min(1.0, max(0.0, 1.0 - math.exp(math.log(inside) + scale + math.lgamma(n + 1) - n * math.log(n))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ks_p_value(d: pd.Series, n_left: pd.Series, n_right: pd.Series) -> pd.Series:
     n = (n_left * n_right / (n_left + n_right)).round().astype(int).clip(lower=1)
     return pd.Series([kolmogorov_sf(x, k) for x, k in zip(d, n, strict=True)])
