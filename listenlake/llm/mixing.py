@@ -67,7 +67,7 @@ def targets(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
 def plan(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
     """``targets`` with the last rank and id that each source takes. ``slim`` is read a few times."""
     goal = stored(targets(slim, weights, cap), "targets")
-    ranked = slim.join(goal.where("rest > 0"), slim["mix_source"].eqNullSafe(goal["mix_source"])).select(slim["mix_source"], "mix_id", "size", "rest", (F.col("odds") / F.col("inclusion")).alias("rank")).where("size > 0")
+    ranked = slim.join(goal.where("rest > 0"), slim["mix_source"].eqNullSafe(goal["mix_source"])).select(slim["mix_source"], "mix_id", "size", "rest", F.try_divide("odds", "inclusion").alias("rank")).where("size > 0")
     banded = ranked.withColumn("band", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * BANDS), F.lit(BANDS - 1)).cast("int"))
     sums = banded.groupBy("mix_source", "band").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = F.sum("words").over(Window.partitionBy("mix_source").orderBy("band"))
@@ -91,7 +91,7 @@ def mix(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3)
     """One row per document: mix_id, size, source_size, target, copies, taken."""
     found = stored(plan(slim, weights, cap), "mix-plan")
     joined = slim.join(found, slim["mix_source"].eqNullSafe(found["mix_source"]))
-    return joined.select("mix_id", "size", "source_size", "target", copies(F.col("odds") / F.col("inclusion")).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return joined.select("mix_id", "size", "source_size", "target", copies(F.try_divide("odds", "inclusion")).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
@@ -101,5 +101,5 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap:
     u = draw(id_col, seed)
     wide = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("mix_id"), F.col(source).alias("mix_source"), words_in(text).alias("size"), (u / (1 - u)).alias("odds"))
     joined = wide.join(found, wide["mix_source"].eqNullSafe(found["plan_source"]))
-    taken = joined.select("row", copies(F.col("odds") / F.col("inclusion")).alias("copies")).where("copies > 0")
+    taken = joined.select("row", copies(F.try_divide("odds", "inclusion")).alias("copies")).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
