@@ -9,11 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from listenlake.llm.common import BATCH_BYTES, batches, mix, runs, stored
+from listenlake.llm.common import BATCH_BYTES, batches, mix, runs
 
 #: Entries gathered by one block of columns.
-BLOCK_ENTRIES = 1 << 22
-_PACKED = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("columns", pa.binary())])
+BLOCK_ENTRIES = 1 << 21
+#: Parts in which a block is sorted; a power of two.
+SLIVERS = 16
 
 
 def blocks_for(entries: int, each: int = BLOCK_ENTRIES) -> int:
@@ -43,7 +44,7 @@ def shared_columns(rows: DataFrame, columns_of: Callable[[pa.RecordBatch, list[b
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys, counts.astype(np.uint32), columns, common))], names)
 
     def gather(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in batches(arrow, at, 2 * BATCH_BYTES):
+        for part, texts in batches(arrow, at, BATCH_BYTES):
             by_key = {k: x for k, x in columns_of(part, texts).items() if len(x)}
             if not by_key:
                 continue
@@ -55,7 +56,9 @@ def shared_columns(rows: DataFrame, columns_of: Callable[[pa.RecordBatch, list[b
             new = np.ones(len(column), bool)
             new[1:] = column[1:] != column[:-1]
             alone = new & np.append(new[1:], True)
-            yield row(-1, keys[owner[~alone]], np.empty(0), short(column[~alone], blocks), np.empty(0, np.uint32))
+            known = packed(keys[owner[~alone]], short(column[~alone], blocks))
+            for b, k, c in known.itertuples(index=False):
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - b], pa.int64()), *(pa.array([x], pa.binary()) for x in (k, b"", c, b""))], names)
             common, column, owner = column[new & ~alone], column[alone], owner[alone]
             by = np.lexsort((owner, column >> shift))
             column, owner = column[by], owner[by]
@@ -68,17 +71,25 @@ def shared_columns(rows: DataFrame, columns_of: Callable[[pa.RecordBatch, list[b
                     yield row(b, keys[who], n, column[mine].astype(np.uint32), more.astype(np.uint32))
 
     def count(block: pd.DataFrame) -> pd.DataFrame:
+        number = int(block["block"].iloc[0])
+        if number < 0:  # settled in its slice
+            return pd.DataFrame({"bucket": [-1 - number], "keys": [b"".join(block["keys"])], "columns": [b"".join(block["columns"])]})
         key = np.concatenate([np.repeat(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)) for k, c in zip(block["keys"], block["counts"], strict=True)])
         column = np.concatenate([np.frombuffer(x, np.uint32) for x in block["columns"]])
         common = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in block["common"]]))
-        by = np.lexsort((key, column))
-        key, column = key[by], column[by]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (column[1:] != column[:-1])
-        key, column = key[fresh], column[fresh]
-        _, where, n = np.unique(column, return_inverse=True, return_counts=True)
-        hit = (n[where] > 1) | np.isin(column, common)
-        return packed(key[hit], column[hit].astype(np.uint64) | np.uint64(int(block["block"].iloc[0]) << 32))
+        parts = []
+        for own in range(SLIVERS):  # few columns at a time, to bound what sorting holds
+            mine = column >> np.uint32(32 - SLIVERS.bit_length() + 1) == own
+            k, c = key[mine], column[mine]
+            by = np.lexsort((k, c))
+            k, c = k[by], c[by]
+            fresh = np.ones(len(k), bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            k, c = k[fresh], c[fresh]
+            start, end = runs(c)
+            hit = np.repeat(end - start > 1, end - start) | np.isin(c, common)
+            parts.append((k[hit], c[hit].astype(np.uint64) | np.uint64(number << 32)))
+        return packed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     def packed(key: np.ndarray, column: np.ndarray) -> pd.DataFrame:
         bucket = (mix(key) % np.uint64(blocks)).astype(np.int64)
@@ -87,11 +98,6 @@ def shared_columns(rows: DataFrame, columns_of: Callable[[pa.RecordBatch, list[b
         edges, ends = runs(bucket)
         return pd.DataFrame({"bucket": bucket[edges], "keys": [key[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], "columns": [column[a:b].tobytes() for a, b in zip(edges, ends, strict=True)]})
 
-    def settled(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pandas(packed(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint64)), schema=_PACKED, preserve_index=False)
-
     def total(bucket: pd.DataFrame) -> pd.DataFrame:
         key, column = (np.concatenate([np.frombuffer(x, np.uint64) for x in bucket[c]]) for c in ("keys", "columns"))
         by = np.lexsort((column, key))
@@ -103,7 +109,5 @@ def shared_columns(rows: DataFrame, columns_of: Callable[[pa.RecordBatch, list[b
         return pd.DataFrame({"key": key[first].view(np.int64), "shared": ends - first, "columns": [column[a:b].tobytes() for a, b in zip(first, ends, strict=True)]})
 
     form = "bucket bigint, keys binary, columns binary"
-    gathered = stored(rows.mapInArrow(gather, "block bigint, keys binary, counts binary, columns binary, common binary"), "columns")
-    inside = gathered.where("block >= 0").groupBy("block").applyInPandas(count, form)
-    local = gathered.where("block < 0").select("keys", "columns").mapInArrow(settled, form)
-    return inside.unionByName(local).groupBy("bucket").applyInPandas(total, "key bigint, shared bigint, columns binary")
+    gathered = rows.mapInArrow(gather, "block bigint, keys binary, counts binary, columns binary, common binary")
+    return gathered.groupBy("block").applyInPandas(count, form).groupBy("bucket").applyInPandas(total, "key bigint, shared bigint, columns binary")

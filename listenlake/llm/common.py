@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes; one text is never cut.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: As many where work is shared by equal words.
 BATCH_BYTES = 1 << 22
 #: The pattern of a word, and the bytes that part words.
@@ -158,3 +158,5 @@ def batches(rows: Iterator[pa.RecordBatch], text_at: int, most: int = SLICE_BYTE
         for a, b in slices([int(x) for x in lengths], most):
             part = batch.slice(a, b - a)
             yield part, part.column(text_at).to_pylist()
+        del batch
+        pa.default_memory_pool().release_unused()

@@ -27,15 +27,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listenlake.llm.columns import blocks_for, shared_columns
-from listenlake.llm.common import Words, batches, gram_hashes, stored, text_bytes
+from listenlake.llm.common import Words, batches, gram_hashes, runs, stored, text_bytes
 
 GRAM = 5
 PIVOT_ROUNDS = 2
+#: Bits of the filter that is broadcast (8 MB).
+FILTER_BITS = 1 << 26
 
 
 def shingle_sets(texts: list[bytes], gram: int = GRAM) -> list[np.ndarray]:
@@ -100,8 +103,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * o >= {percent} * (n_a + n_b - o)").select("a", "b")
 
 
-def sized_pair(percent: int) -> Column:
-    return F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+def reachable(percent: int) -> Column:
+    """Whether two sets that first meet in a column, with so many columns left in each from there on, can still overlap enough for their sizes."""
+    return F.expr(f"least(left_a, left_b) * {100 + percent} >= {percent} * (n_a + n_b)")
 
 
 def ordered(a: str, b: str) -> list[Column]:
@@ -115,13 +119,14 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     rows = inside.join(often, "s").groupBy("digest").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by"))
     rows = stored(rows.where(f"100 * size(by) >= {percent} * n").select("digest", "n", "by", F.transform("by", lambda x: x["s"]).alias("shared")), "rows")
     first = F.expr(f"slice(by, 1, int(greatest(0, size(by) - ({percent} * n + 99) div 100 + 1)))")
-    heads = stored(rows.select("digest", "n", F.explode(F.transform(first, lambda x: x["s"])).alias("s")), "heads")
+    heads = rows.select("digest", "n", "by", F.posexplode(F.transform(first, lambda x: x["s"])).alias("at", "s"))
+    heads = stored(heads.select("digest", "n", "s", (F.size("by") - F.col("at")).alias("left")), "heads")
     counts = rows.select("digest", "n", "shared")
     edges = done = None
     part = heads.withColumn("c", F.col("digest"))
     for salt in range(PIVOT_ROUNDS):
-        pivot = part.groupBy("s").agg(F.min_by(F.struct("digest", "n", "c"), F.xxhash64("digest", F.lit(salt))).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s", F.col("p.digest").alias("q"), F.col("p.n").alias("n_b"), F.col("p.c").alias("c_q"))
-        pairs = part.join(pivot, "s").where("digest <> q and c <> c_q").withColumn("n_a", F.col("n")).where(sized_pair(percent)).select(*ordered("digest", "q")).distinct()
+        pivot = part.groupBy("s").agg(F.min_by(F.struct("digest", "n", "c", "left"), F.xxhash64("digest", F.lit(salt), *(["s"] if salt else []))).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s", F.col("p.digest").alias("q"), F.col("p.n").alias("n_b"), F.col("p.c").alias("c_q"), F.col("p.left").alias("left_b"))
+        pairs = part.join(pivot, "s").where("digest <> q and c <> c_q").withColumns({"n_a": F.col("n"), "left_a": F.col("left")}).where(reachable(percent)).select(*ordered("digest", "q")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -137,12 +142,84 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     share = part.groupBy("s", "c").agg(F.count("*").alias("k"))
     split = share.groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
     open_ = stored(part.join(split.select("s", "major"), "s").withColumn("minor", F.col("c") != F.col("major")), "open")
-    minor = open_.where("minor").select("s", F.col("digest").alias("x"), F.col("n").alias("n_a"), F.col("c").alias("c_x"))
-    rest = minor.join(open_.select("s", "digest", F.col("n").alias("n_b"), "c"), "s").where("c <> c_x").where(sized_pair(percent)).select(*ordered("x", "digest")).distinct()
-    rest = stored(rest.join(done, ["a", "b"], "left_anti"), "pairs")
-    if rest.isEmpty():
+    if open_.isEmpty():
         return labels
-    return components(edges.unionByName(stored(confirmed(rest, counts, percent), "links")))
+    return components(edges.unionByName(stored(open_links(open_, counts, percent), "links")))
+
+
+def open_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among rows (s, digest, n, left, c, minor) that meet in a column, are in different components and are not both of its largest one.
+
+    The product is formed in blocks of columns, where a pair is kept once however often it
+    meets; pairs travel packed, and only links become rows.
+    """
+    rows = open_.count()
+    blocks, parts = max(1, rows // 100_000), max(16, rows // 4096)
+
+    def product(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("s", kind="stable", ignore_index=True)
+        code, names = pd.factorize(block["digest"])
+        component, _ = pd.factorize(block["c"])
+        n, left, minor = (block[x].to_numpy() for x in ("n", "left", "minor"))
+        found, held, k = [], 0, np.int64(len(names))
+        for low, high in zip(*runs(block["s"].to_numpy()), strict=True):
+            at = np.arange(low, high)
+            for i in at[minor[at]]:
+                good = (component[at] != component[i]) & (np.minimum(left[at], left[i]) * (100 + percent) >= percent * (n[at] + n[i])) & (~minor[at] | (code[at] > code[i]))
+                other = code[at[good]]
+                found.append(np.minimum(other, code[i]) * k + np.maximum(other, code[i]))
+                held += len(other)
+                if held > 1 << 22:
+                    found = [np.unique(np.concatenate(found))]
+                    held = 0
+        pair = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        x, y = names[pair // k], names[pair % k]
+        part = np.array([int.from_bytes(v[:8], "little") % parts for v in names], np.int64)[pair // k] if len(pair) else pair
+        order = np.argsort(part, kind="stable")
+        out = [(int(part[order[a]]), b"".join(x[order[a:b]]), b"".join(y[order[a:b]])) for a, b in zip(*runs(part[order]), strict=True)]
+        return pd.DataFrame(out, columns=["part", "x", "y"])
+
+    def cut(packed: bytes) -> list[bytes]:
+        return [packed[i : i + 16] for i in range(0, len(packed), 16)]
+
+    def needed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for part, x, y in f.itertuples(index=False):
+                yield pd.DataFrame({"part": part, "digest": list({*cut(x), *cut(y)})})
+
+    def verify(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        columns = {d: (n, np.sort(x)) for d, n, x in zip(held["digest"], held["n"], held["shared"], strict=True)}
+        out = []
+        for a, b in {p for x, y in zip(pairs["x"], pairs["y"], strict=True) for p in zip(cut(x), cut(y), strict=True)}:
+            (n_a, s_a), (n_b, s_b) = columns[a], columns[b]
+            o = len(np.intersect1d(s_a, s_b, assume_unique=True))
+            if 100 * o >= percent * (n_a + n_b - o):
+                out.append((min(a, b), max(a, b)))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    spread = open_.select("s", "digest", "n", "left", "c", "minor").withColumn("block", F.pmod(F.xxhash64("s"), F.lit(blocks)))
+    packed = stored(spread.groupBy("block").applyInPandas(product, "part bigint, x binary, y binary"), "pairs")
+    held = packed.mapInPandas(needed, "part bigint, digest binary").distinct().join(sets, "digest")
+    return packed.groupBy("part").cogroup(held.groupBy("part")).applyInPandas(verify, "a binary, b binary")
+
+
+def filter_bit(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
+
+
+def filter_bits(ids: DataFrame) -> bytes:
+    """A bitmap of fixed size with a bit for every id, whatever their number; a set bit may mean another id."""
+    chunk = 1 << 20
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(chunk >> 3, np.uint8)
+        at = (rows["bit"].to_numpy() % chunk).astype(np.int64)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bits": [bits.tobytes()]})
+
+    placed = ids.select(filter_bit(F.col(ids.columns[0])).alias("bit")).where("bit is not null").distinct().withColumn("chunk", F.floor(F.col("bit") / chunk))
+    found = dict(tuple(r) for r in placed.groupBy("chunk").applyInPandas(pack, "chunk bigint, bits binary").collect())
+    return b"".join(bytes(found.get(c, bytes(chunk >> 3))) for c in range(FILTER_BITS // chunk))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,14 +230,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     counts = shared_columns(docs.select(text_bytes(text).alias("raw")), columns_of, blocks_for(total)).select(F.col("key").alias("set_key"), "shared")
     alive = classes.join(counts, "set_key").where(f"100 * shared >= {percent} * n").select(F.col("rep").alias("doc_id"), F.col("digest").alias("want"))
 
+    alive = stored(alive, "alive")
+    seen = docs.sparkSession.sparkContext.broadcast(filter_bits(alive.select("doc_id")))
+
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(seen.value, np.uint8)
         for part, texts in batches(rows, 1):
-            out = [(w, len(x), x.view(np.int64)) for w, x in zip(part.column(0).to_pylist(), shingle_sets(texts), strict=True) if digest(x) == w]
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], ["digest", "n", "shingles"])
+            at = part.column(0).to_numpy()
+            some = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()
+            sets = shingle_sets([texts[i] for i in some])
+            yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["digest", "n", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text).alias("raw")).join(stored(alive, "alive"), "doc_id").select("want", "raw")
-    sets = stored(texts.mapInArrow(make, "digest binary, n bigint, shingles array<bigint>").dropDuplicates(["digest"]), "shingles")
+    rows = docs.select(F.coalesce(filter_bit(F.col(id_col).cast("bigint")), F.lit(0)).alias("bit"), text_bytes(text).alias("raw")).mapInArrow(make, "digest binary, n bigint, shingles array<bigint>")
+    sets = stored(rows.join(alive.select(F.col("want").alias("digest")), "digest", "left_semi").dropDuplicates(["digest"]), "shingles")
     labels = linked(sets, percent)
     named = labels.withColumnRenamed("v", "digest").join(classes.select("digest", "rep"), "digest")
     least = named.groupBy("c").agg(F.min("rep").alias("least"))
