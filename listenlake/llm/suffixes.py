@@ -165,6 +165,18 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, order
 
 
+def whole_groups(ordered: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of about ``most`` rows that part no run of equal values."""
+    start, end = runs(ordered)
+    low = 0
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        if a > low and b - low > most:
+            yield slice(low, a)
+            low = a
+    if len(ordered):
+        yield slice(low, len(ordered))
+
+
 def covered(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.ndarray, size: np.ndarray, memory: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents and byte spans that a smaller document covers, among stretches around anchors."""
     at = np.cumsum(size) - size
@@ -191,18 +203,19 @@ def covered(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.nda
                 around, _ = groups(span_hashes(raw, anchor[own] + low, anchor[own] + high), hashes[pick[own]])
                 good[own] |= np.bincount(around)[around] > 1
         pick = pick[good]
-    if len(pick):
-        windows = size[pick] - LENGTH + 1
-        own = np.repeat(pick, windows)
+    pick = pick[np.argsort(hashes[pick], kind="stable")]
+    for part in whole_groups(hashes[pick], 1 << 12):
+        own = np.repeat(pick[part], size[pick[part]] - LENGTH + 1)
+        windows = size[pick[part]] - LENGTH + 1
         shift = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
         rank = sorted_classes(memory, at[own] + shift, np.full(len(own), LENGTH))
         same, _ = groups(rank, shift - lead[own], hashes[own])
         least_window = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least_window, same, doc[own])
         hit = doc[own] > least_window[same]
-        part = pd.DataFrame({"kind": kind[own[hit]], "shift": shift[hit]}).merge(pd.DataFrame({"kind": kind[stay], "doc": doc[stay], "start": start[stay]}), on="kind")
-        low = (part["start"] + part["shift"]).to_numpy()
-        spans.append((part["doc"].to_numpy(), low, low + LENGTH))
+        rows = pd.DataFrame({"kind": kind[own[hit]], "shift": shift[hit]}).merge(pd.DataFrame({"kind": kind[stay], "doc": doc[stay], "start": start[stay]}), on="kind")
+        low = (rows["start"] + rows["shift"]).to_numpy()
+        spans.append(merged(rows["doc"].to_numpy(), low, low + LENGTH))
     return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
 
 
@@ -258,11 +271,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame,
     whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.sha2(raw, 256).alias("sha"), raw.alias("raw"))
     found = shared_columns(whole.where(f"octet_length(raw) >= {LENGTH}").select(key.alias("key"), "raw"), columns_of, blocks)
     first = stored(classes.where(f"n_bytes >= {LENGTH} and rep is not null").withColumn("key", key).join(found, "key").select(F.col("rep").alias("doc_id"), "sha", "shared", "columns"), "shared")
-    pieces = blocks_for(first.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0], 1 << 16)
+    pieces = blocks_for(first.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0], 1 << 15)
 
     def stretch(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = shift_for(pieces)
-        for part, texts in batches(arrow, 2, 2 * BATCH_BYTES):
+        for part, texts in batches(arrow, 2, BATCH_BYTES):
             ids = np.array(part.column(0).to_pylist(), np.int64)
             text_of, low, high, anchor, hashes = anchors(texts)
             names, cut, keep = short(hashes, blocks), np.searchsorted(text_of, np.arange(len(texts) + 1)), np.zeros(len(hashes), bool)
@@ -290,6 +303,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame,
     names_of = ["block", "hashes", "docs", "starts", "leads", "sizes", "memory"]
 
     def resolve(block: pd.DataFrame) -> pd.DataFrame:
+        number = int(block["block"].iloc[0])
+        if number < 0:  # spans settled in their slice
+            return pd.DataFrame({"bucket": [-1 - number], "docs": [b"".join(block["docs"])], "lows": [b"".join(block["starts"])], "highs": [b"".join(block["leads"])]})
         parts = [np.concatenate([np.frombuffer(x, t) for x in block[c]]) for c, t in (("hashes", np.uint64), ("docs", np.int64), ("starts", np.int64), ("leads", np.uint8), ("sizes", np.uint8))]
         return pd.DataFrame(span_rows(*covered(parts[0], parts[1], parts[2], parts[3].astype(np.int64), parts[4].astype(np.int64), b"".join(block["memory"])), pieces))
 
@@ -299,10 +315,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame,
         return pd.DataFrame({"doc_id": doc[edge], "lows": [low[a:b] for a, b in zip(edge, ends, strict=True)], "highs": [high[a:b] for a, b in zip(edge, ends, strict=True)]})
 
     texts = whole.join(first.select("doc_id", "sha", "columns"), ["doc_id", "sha"]).select("doc_id", "columns", "raw")
-    stretches = stored(texts.mapInArrow(stretch, STRETCHES), "stretches")
-    inside = stretches.where("block >= 0").groupBy("block").applyInPandas(resolve, SPANS)
-    local = stretches.where("block < 0").select((-1 - F.col("block")).alias("bucket"), "docs", F.col("starts").alias("lows"), F.col("leads").alias("highs"))
-    spans = inside.unionByName(local).groupBy("bucket").applyInPandas(gather, "doc_id bigint, lows array<bigint>, highs array<bigint>").join(first.select("doc_id", "sha"), "doc_id")
+    inside = texts.mapInArrow(stretch, STRETCHES).groupBy("block").applyInPandas(resolve, SPANS)
+    spans = inside.groupBy("bucket").applyInPandas(gather, "doc_id bigint, lows array<bigint>, highs array<bigint>").join(first.select("doc_id", "sha"), "doc_id")
     copies = known.join(classes.select("sha", "rep"), "sha").where(f"doc_id > rep and n_bytes >= {LENGTH}").select("doc_id", F.array(F.lit(0).cast("bigint")).alias("lows"), F.array("n_bytes").alias("highs"), "sha").distinct()
     return stored(spans.unionByName(copies), "spans"), known
 
