@@ -2,8 +2,10 @@
 
 Fit, on a bounded sample: an extra component evens out the norms (so that the
 largest inner product becomes the smallest angle), principal axes and an
-iteratively learned rotation give one bit per axis, and the Hamming radius is
-the quantile ``reach`` of the distances at which true neighbours lie.
+iteratively learned rotation give one bit per axis. The Hamming radius starts at
+the quantile ``reach`` of the distances at which true neighbours lie and grows
+until it holds the share ``recall`` of the sample's own true neighbours. In a
+larger table true neighbours lie nearer than in its sample, so more are found.
 
 Search: base vectors and queries are dealt into blocks by a hash of their ids.
 In a pair of blocks the codes are cut into substrings, each indexed by its
@@ -38,6 +40,7 @@ class CodeParams:
     sample: int = 8192
     rounds: int = 30
     reach: float = 0.86
+    recall: float = 0.97
     base_block: int = 16_384
     query_block: int = 4096
     seed: int = 7
@@ -85,7 +88,10 @@ def learn(x: np.ndarray, norm: float, k: int, params: CodeParams) -> Codes:
     scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
     near = np.argpartition(-scores, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)] if len(x) > 1 else np.zeros((1, 1), int)
     away = np.bitwise_count(codes.query(asked)[:, None] ^ codes.base(x)[near])
-    return Codes(mean, axes @ turn, norm, int(np.quantile(away, params.reach, method="higher")))
+    radius = int(np.quantile(away, params.reach, method="higher"))
+    while (away <= radius).mean() < params.recall:
+        radius += 1
+    return Codes(mean, axes @ turn, norm, radius)
 
 
 class SubstringIndex:

@@ -272,6 +272,22 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1", "check_s"])
+def test_default_radius_keeps_the_neighbours(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.orderBy("vec_id").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    asked = ids[ids % 20 == 0][:100].tolist()
+    found = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("id").isin(asked)).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in asked:
+        score = (x * x[ids == q][0]).sum(1)
+        hit += len(found[q] & set([i for i in ids[np.lexsort((ids, -score))].tolist() if i != q][:20]))
+    assert set(found) == set(asked) and hit >= 0.95 * 20 * len(asked)
+
+
 def test_queries_run_on_the_smallest_tables(spark):
     for name, f in queries.queries().items():
         if name.startswith(("op3", "op4", "op6", "op10")):
