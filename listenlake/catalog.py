@@ -542,8 +542,12 @@ def temporal_verdicts(spark, sf_dir):
 def profile_summary(spark, sf_dir):
     from listenlake.plans.analyze import Inputs, analyze
 
-    r = records(spark, sf_dir)
     # The plan wants one id for a track everywhere; plays name the first hundred.
-    short = r.where("k < 100").withColumn("track_id", F.format_string("t%03d", "k"))
-    inputs = Inputs(plays=plays_view(spark, sf_dir), records=short.withColumn("artist", F.concat(F.lit("Artist "), F.col("k") % 7)), tags=None, zones=zones(spark))
+    def name(k):
+        return F.format_string("t%03d", k)
+
+    r = records(spark, sf_dir).withColumn("track_id", name("k")).withColumn("artist", F.concat(F.lit("Artist "), F.col("k") % 7))
+    said = F.filter(F.array("lang", "source"), lambda t: t.isNotNull())
+    tags = table(spark, sf_dir, "documents").select(name("doc_id").alias("track_id"), F.transform(said, lambda t: F.struct(t.alias("tag"), F.lit(1.0).alias("weight"))).alias("tags"))
+    inputs = Inputs(plays=plays_view(spark, sf_dir), records=r, tags=tags, zones=zones(spark))
     return analyze(inputs, audio_params=AudioParams(min_cluster_size=5, min_samples=2), temporal_params=LOW_FLOOR, epoch_params=SHORT, validation=ValidationParams(evidence_count=5)).summary

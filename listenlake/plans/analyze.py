@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -42,21 +44,33 @@ class Profile:
 COLUMNS = ["candidate_id", "category", "cluster_size", "cluster_share", "evidence_count", "coverage", "confidence", "stability_score"]
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back: without this a stage's plan holds those of all stages before it."""
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = "file://" + tempfile.mkdtemp(prefix="listenlake-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    path = f"{place.rstrip('/')}/analyze-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_params: SceneParams = SceneParams(), temporal_params: TemporalParams = TemporalParams(), epoch_params: EpochParams = EpochParams(), validation: ValidationParams = ValidationParams()) -> Profile:
     """Stages that find nothing give empty frames; temporal stages run on members of surviving roots only."""
     listened = inputs.plays.cache()
     facts = F.broadcast(plays.facts(listened).select("n_unique", "span_days"))
     found, members = [], []
     if inputs.records is not None:
-        clusters = audio.cluster(inputs.records.withColumn("user_id", F.lit(1)), audio_params).cache()
-        described = audio.describe(clusters, listened, audio_params).cache()
+        clusters = cut(audio.cluster(inputs.records.withColumn("user_id", F.lit(1)), audio_params))
+        described = cut(audio.describe(clusters, listened, audio_params))
         found.append(described.select(*COLUMNS))
         members.append(clusters.join(described.select("cluster", "candidate_id"), "cluster").select(F.col("candidate_id").alias("root_id"), "track_id"))
     if inputs.tags is not None:
-        tags = scene.doc_tags(inputs.tags).cache()
-        weights = scene.factor(tags.withColumn("user_id", F.lit(1)), scene_params).cache()
+        tags = cut(scene.doc_tags(inputs.tags))
+        weights = cut(scene.factor(tags.withColumn("user_id", F.lit(1)), scene_params))
         top = scene.top_tags(weights.where("part = 'tag'").select(F.struct("k", "topic").alias("topic"), F.col("name").alias("tag"), "weight"), scene_params.top_tags)
-        scored = scene.coherence(top.select("topic", "tag"), tags).select("topic.k", F.col("topic.topic").alias("topic"), "coherence").cache()
+        scored = cut(scene.coherence(top.select("topic", "tag"), tags).select("topic.k", F.col("topic.topic").alias("topic"), "coherence"))
         chosen = F.broadcast(scene.best_k(scored, scene_params.coherence_floor).select("k"))
         good = scored.where(F.col("coherence") >= scene_params.coherence_floor).join(chosen, "k").select("k", "topic")
         assigned = scene.assign(weights.where("part = 'doc'").join(chosen, "k").select(F.col("name").alias("doc"), "topic", "weight"))
@@ -64,7 +78,7 @@ def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_par
         n_docs = tags.select("doc").distinct().count()
         described = scene.describe(own, inputs.records.select("track_id", "artist"), n_docs, scene_params)
         stable = audio.stability(own.select("topic", F.col("doc").alias("track_id")), listened, "topic")
-        described = described.join(stable, "topic", "left").withColumn("stability_score", F.col("balance")).cache()
+        described = cut(described.join(stable, "topic", "left").withColumn("stability_score", F.col("balance")))
         found.append(described.select(*COLUMNS))
         members.append(own.join(described.select("topic", "candidate_id"), "topic").select(F.col("candidate_id").alias("root_id"), F.col("doc").alias("track_id")))
     spark = listened.sparkSession
@@ -75,10 +89,10 @@ def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_par
     for extra, more in zip(found[1:], members[1:], strict=True):
         candidates, bridge = candidates.unionByName(extra), bridge.unionByName(more)
     classified = validate.classify(candidates.crossJoin(facts), validation)
-    kept = validate.surviving_members(bridge, classified).cache()
+    kept = cut(validate.surviving_members(bridge, classified))
     localized = temporal.localize(listened, inputs.zones).cache()
     valid = localized.where(plays.is_valid(F.col("ms_played"), F.col("skipped")))
-    lifts = temporal.lift_table(temporal.with_buckets(valid, "local_at", temporal_params), kept, "local_at", temporal_params).cache()
+    lifts = cut(temporal.lift_table(temporal.with_buckets(valid, "local_at", temporal_params), kept, "local_at", temporal_params))
     timed = validate.classify(temporal.candidates(lifts).select(*COLUMNS).crossJoin(facts), validation)
     everything = classified.unionByName(timed).cache()
     rejected = temporal.ranked(lifts).where("verdict = 'rejected:lift_floor'").select("candidate_id", F.lit("temporal").alias("category"), F.lit("lift_floor").alias("failed_test"), F.to_json(F.struct("lift", F.lit(temporal_params.lift_floor).alias("floor"), "root_id", *temporal.BUCKET)).alias("details"))

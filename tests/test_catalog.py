@@ -36,3 +36,14 @@ def test_query(spark, con, name):
         names = [d[0] for d in rel.description]
         assert sorted(names) == sorted(df.columns)
         assert got == sorted(tuple(plain(dict(zip(names, r))[c]) for c in sorted(names)) for r in rel.fetchall())
+
+
+def test_profile_takes_all_records_and_tags(spark, con, monkeypatch):
+    from listenlake.plans import analyze as plan
+
+    seen, whole = [], plan.analyze
+    monkeypatch.setattr(plan, "analyze", lambda inputs, **params: seen.append(inputs) or whole(inputs, **params))
+    catalog.queries()["profile_summary"](spark, SF)
+    for df, name, key in ((seen[0].records, "embeddings", "vec_id"), (seen[0].tags, "documents", "doc_id")):
+        want = con.execute(f"select printf('t%03d', {key}) from {name}").fetchall()
+        assert sorted(r["track_id"] for r in df.collect()) == sorted(r[0] for r in want)
