@@ -123,6 +123,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     heads = stored(heads.select("digest", "n", "s", (F.size("by") - F.col("at")).alias("left")), "heads")
     counts = rows.select("digest", "n", "shared")
     edges = done = None
+    labels = rows.select(F.col("digest").alias("v"), F.col("digest").alias("c")).limit(0)
     part = heads.withColumn("c", F.col("digest"))
     for salt in range(PIVOT_ROUNDS):
         pivot = part.groupBy("s").agg(F.min_by(F.struct("digest", "n", "c", "left"), F.xxhash64("digest", F.lit(salt), *(["s"] if salt else []))).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s", F.col("p.digest").alias("q"), F.col("p.n").alias("n_b"), F.col("p.c").alias("c_q"), F.col("p.left").alias("left_b"))
@@ -137,14 +138,13 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         done = pairs if done is None else done.unionByName(pairs)
         labels = components(edges)
         part = stored(heads.join(labels.withColumnRenamed("v", "digest"), "digest", "left").withColumn("c", F.coalesce("c", "digest")), "heads")
-    if edges is None:
-        return components(counts.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0))
     share = part.groupBy("s", "c").agg(F.count("*").alias("k"))
     split = share.groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
     open_ = stored(part.join(split.select("s", "major"), "s").withColumn("minor", F.col("c") != F.col("major")), "open")
     if open_.isEmpty():
         return labels
-    return components(edges.unionByName(stored(open_links(open_, counts, percent), "links")))
+    links = stored(open_links(open_, counts, percent), "links")
+    return components(links if edges is None else edges.unionByName(links))
 
 
 def open_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -65,6 +65,20 @@ def test_jaccard_join_of_a_loose_group(spark):
     assert len(set(want.values())) > 1
 
 
+def test_jaccard_join_when_no_pivot_pair_can_link(spark):
+    # Sets 1 and 2 overlap by 9 of 11; every column they share is also in set 3, which is too large for either.
+    sets = [[*range(9), 100], [*range(9), 101], [*range(9), *range(200, 260)]]
+    sets += [[*range(200, 260), *range(k, k + 1000)] for k in (1000, 2000, 3000)]
+    # Digests by the first round's hash, so that set 3 is the pivot of all its columns.
+    tries = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).substr(1, 16).cast("binary").alias("d")).select("d", F.xxhash64("d", F.lit(0)).alias("h")).orderBy("h").collect()
+    names = [bytes(r["d"]) for r in tries]
+    order = [names[900], names[901], names[0], *names[1:4]]
+    df = spark.createDataFrame([(d, len(x), x) for d, x in zip(order, sets, strict=True)], "digest binary, n bigint, shingles array<bigint>")
+    got = {bytes(r["v"]): bytes(r["c"]) for r in shingles.linked(df, 80).collect()}
+    both = order[:2]
+    assert got[both[0]] == got[both[1]] == min(both)
+
+
 def test_suffix_dedup(spark, odd, empty):
     texts = texts_of(odd)
     want = plain_spans(texts)
