@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from listenlake.functions import keys, times
 from listenlake.operators import audio, enrich, epochs, identity, library, plays, scene, store, temporal, validate
-from listenlake.params import AudioParams, EpochParams, SceneParams, TemporalParams, ValidationParams
+from listenlake.params import AudioParams, EpochParams, TemporalParams, ValidationParams
 from listenlake.plans import sweep
 from listenlake.views import DOC_TAGS, LONG_HISTORY, MEMBERS, PLAYS, RECORDS, ZONES_SQL, doc_tags, long_history, members, records, table, zones
 from listenlake.views import plays as plays_view
@@ -409,8 +409,8 @@ def top_artists(spark, sf_dir):
 
 @query()
 def scene_topics(spark, sf_dir):
-    few = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.lower("lang").alias("tag"), F.col("n_chars").cast("double").alias("weight")).groupBy("doc", "tag").agg(F.sum("weight").alias("weight"))
-    found = scene.factor(few.withColumn("user_id", F.lit(1)), SceneParams(k_grid=(2, 3)))
+    tags = doc_tags(spark, sf_dir).withColumn("doc", F.col("doc").cast("string"))
+    found = scene.factor(tags.withColumn("user_id", F.lit(1)))
     return found.select("k", "part", "topic", "name", F.round("weight", 3).alias("weight"))
 
 

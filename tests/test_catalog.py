@@ -47,3 +47,10 @@ def test_profile_takes_all_records_and_tags(spark, con, monkeypatch):
     for df, name, key in ((seen[0].records, "embeddings", "vec_id"), (seen[0].tags, "documents", "doc_id")):
         want = con.execute(f"select printf('t%03d', {key}) from {name}").fetchall()
         assert sorted(r["track_id"] for r in df.collect()) == sorted(r[0] for r in want)
+
+
+def test_scene_topics_takes_all_documents_and_the_whole_grid(spark, con):
+    got = catalog.queries()["scene_topics"](spark, SF).collect()
+    docs = {str(r[0]) for r in con.execute("select distinct l_orderkey from lineitem join part on p_partkey = l_partkey").fetchall()}
+    assert {r["k"] for r in got} == {3, 5, 8, 13}
+    assert {r["name"] for r in got if r["part"] == "doc" and r["k"] == 13} == docs
