@@ -10,7 +10,7 @@ from listenlake.operators.library import agreement
 from listenlake.operators.plays import is_valid
 from listenlake.params import TemporalParams
 
-CONFIGS = tuple((ms, skip) for ms in (0, 15_000, 30_000, 60_000) for skip in (True, False)) + ((90_000, False),)
+CONFIGS = tuple((ms, False) for ms in (0, 5_000, 10_000, 20_000, 30_000, 45_000, 60_000, 90_000)) + ((30_000, True),)
 
 
 def configured(plays: DataFrame, configs) -> DataFrame:

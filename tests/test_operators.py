@@ -260,3 +260,8 @@ def test_audio_stage_describes_two_clusters(spark):
     found = audio.describe(audio.cluster(records, params), played, params).collect()
     assert [(r["cluster_size"], r["coverage"], r["stability_score"]) for r in found] == [(6, 0.5, 1.0)] * 2
     assert sorted(r["band_bpm"] for r in found) == ["high", "low"]
+
+
+def test_sweep_has_the_floors_of_the_reference():
+    floors = [(ms * 1000, False) for ms in (0, 5, 10, 20, 30, 45, 60, 90)]
+    assert list(sweep.CONFIGS) == [*floors, (30_000, True)]
