@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listenlake.operators import audio, epochs, plays, scene, temporal, validate
+from listenlake.shared import stored
 from listenlake.params import AudioParams, EpochParams, SceneParams, TemporalParams, ValidationParams
 
 
@@ -45,15 +44,8 @@ COLUMNS = ["candidate_id", "category", "cluster_size", "cluster_share", "evidenc
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back: without this a stage's plan holds those of all stages before it."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="listenlake-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/analyze-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back: without this a stage's plan holds those of all stages before it."""
+    return stored(df, "analyze")
 
 
 def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_params: SceneParams = SceneParams(), temporal_params: TemporalParams = TemporalParams(), epoch_params: EpochParams = EpochParams(), validation: ValidationParams = ValidationParams()) -> Profile:
