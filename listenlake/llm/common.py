@@ -1,9 +1,7 @@
-"""What the training-data operators share: tables, the shared folder, text batches and word hashes."""
+"""What the training-data operators share: tables, joins on hot keys, text batches and word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listenlake.shared import drop_since, made, shared_path, stored
+
+__all__ = ["drop_since", "made", "shared_path", "stored"]
+
 #: Texts are worked on in slices of about this many bytes; one text is never cut.
 SLICE_BYTES = 1 << 18
 #: As many where work is shared by equal words.
@@ -24,23 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder made here where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="listenlake-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
@@ -49,6 +34,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], rows: str, parts: int = 64) -> DataFrame:
+    """``left`` with the columns of ``right`` (left join), which has each key once and in ``rows`` how many rows of ``left`` have it.
+
+    A key with more than one in ``parts`` of all rows is dealt to several tasks by a salt. There
+    are at most ``parts`` such keys, whatever the tables, so their list is broadcast.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    salt, share = fresh(left, "salt"), fresh(left, "salt_parts")
+    need = F.greatest(F.lit(1), F.ceil(F.col(rows) * parts / F.lit(max(1, total)))).cast("int")
+    hot = right.where(F.col(rows) * parts > total).select(*keys, need.alias(share))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.when(F.col(share) > 1, F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.col(share))).otherwise(0).cast("int"))
+    copied = right.withColumn(salt, F.explode(F.sequence(F.lit(0), need - 1))).drop(rows)
+    return dealt.join(copied, [*keys, salt], "left").drop(salt, share)
+
+
 def text_bytes(col: str):
     """The UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))

@@ -1,7 +1,7 @@
 """Token ids written as Simple-8b words with per-block offsets, and read back (operator 9).
 
 A file is a Parquet table of rows that hold whole documents: their ids, their
-numbers of tokens, the words, and for every block of ``BLOCK`` ids the place of
+numbers of tokens, the ids before them in their shard, the words, and for every block of ``BLOCK`` ids the place of
 its first word. A word has a selector in its top four bits and so many ids of
 so many bits below; an id of more than 60 bits is escaped: selector 0, then the
 plain id in the next word. Rows lie in ascending doc_id order over shards and
@@ -13,7 +13,6 @@ documents that repeat. An empty table gives an empty file.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import BATCH_BYTES, batches, shared_dir, text_bytes
+from listenlake.llm.common import BATCH_BYTES, batches, shared_path, text_bytes
 from listenlake.llm.tokens import UnitIds, spec_of, worker_units
 
 BLOCK = 1024
 #: Fixed values of the format: ids in a word and bits of each, by selector; 0 is the escape, 1 is 120 zeros.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
-ROW = "shard int, part int, doc_ids array<bigint>, sizes array<bigint>, words binary, offsets array<int>"
+ROW = "shard int, part int, row_start bigint, doc_ids array<bigint>, sizes array<bigint>, words binary, offsets array<int>"
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,13 +116,13 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, id_co
     spec = docs.sparkSession.sparkContext.broadcast(spec_of(tokenizer))
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, shard, k = worker_units(UnitIds, spec), TaskContext.get().partitionId(), 0
+        units, shard, k, before = worker_units(UnitIds, spec), TaskContext.get().partitionId(), 0, 0
         for part, texts in batches(rows, 1, BATCH_BYTES):
             ids, size = units.ids(texts)
             ids = np.insert(ids, np.cumsum(size), end_id)
             words, offsets = encode(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([size + 1], pa.list_(pa.int64())), pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([offsets], pa.list_(pa.int32()))], ["shard", "part", "doc_ids", "sizes", "words", "offsets"])
-            k += 1
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([before], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([size + 1], pa.list_(pa.int64())), pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([offsets], pa.list_(pa.int32()))], ["shard", "part", "row_start", "doc_ids", "sizes", "words", "offsets"])
+            k, before = k + 1, before + len(ids)
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text).alias("raw"))
     slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(make, ROW).write.parquet(path)
@@ -133,27 +132,25 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the file at ``path``: doc_id, start, n_tokens, ids (binary, little-endian unsigned 32 bits)."""
     file = spark.read.schema(ROW).parquet(path)
     size = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    # One row per shard and one per row of a shard: few numbers, whatever the documents.
-    sizes = file.select("shard", "part", size.alias("size"))
-    shards = sizes.groupBy("shard").agg(F.sum("size").alias("size")).select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("shard_start"))
-    parts = sizes.select("shard", "part", (F.sum("size").over(Window.partitionBy("shard").orderBy("part")) - F.col("size")).alias("part_start"))
-    start = parts.join(shards, "shard").select("shard", "part", (F.col("shard_start") + F.col("part_start")).alias("row_start"))
+    # One row per shard, and there are spark.sql.shuffle.partitions shards at most: so much is broadcast.
+    sizes = file.groupBy("shard").agg(F.sum(size).alias("size"))
+    start = sizes.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("shard_start"))
 
     def take(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for k in range(batch.num_rows):
-                doc, size, words, offsets, shard, part = (batch.column(i)[k].as_py() for i in range(6))
+                doc, size, words, offsets, shard, row_start = (batch.column(i)[k].as_py() for i in range(6))
                 size = np.array(size, np.int64)
                 ids = decode(np.frombuffer(words, "<u8"), np.array(offsets, np.int64), int(size.sum())).astype("<u4")
                 end = np.cumsum(size)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(doc), pa.int32()), pa.array([part] * len(doc), pa.int32()), pa.array(doc, pa.int64()), pa.array(end - size), pa.array(size), pa.array([ids[e - n : e].tobytes() for e, n in zip(end.tolist(), size.tolist(), strict=True)], pa.binary())], ["shard", "part", "doc_id", "at", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(doc), pa.int32()), pa.array(doc, pa.int64()), pa.array(row_start + end - size), pa.array(size), pa.array([ids[e - n : e].tobytes() for e, n in zip(end.tolist(), size.tolist(), strict=True)], pa.binary())], ["shard", "doc_id", "at", "n_tokens", "ids"])
 
-    found = file.select("doc_ids", "sizes", "words", "offsets", "shard", "part").mapInArrow(take, "shard int, part int, doc_id bigint, at bigint, n_tokens bigint, ids binary")
-    return found.join(F.broadcast(start), ["shard", "part"]).select("doc_id", (F.col("row_start") + F.col("at")).alias("start"), "n_tokens", "ids")
+    found = file.select("doc_ids", "sizes", "words", "offsets", "shard", "row_start").mapInArrow(take, "shard int, doc_id bigint, at bigint, n_tokens bigint, ids binary")
+    return found.join(F.broadcast(start), "shard").select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def ids_by_file(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Write and read back, by a new folder in the shared place."""
-    path = f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
+    path = shared_path(docs.sparkSession, "ids")
     write_ids(docs, tokenizer, path, end_id, id_col, text)
     return read_ids(docs.sparkSession, path)
