@@ -1,17 +1,18 @@
 """Chat formatting by prefix-target expansion (operator 3), with DataFrame functions only.
 
-A conversation is formatted once. Every assistant turn is an example of its
-own: its text is the prefix of the formatted conversation up to that turn's
-end, and only its reply is trainable. Since all examples of a conversation are
-prefixes of one string, they are kept as places in it, and ``expand`` writes
-them out; nothing grows with the square of the turns before that.
+A conversation is formatted once. Every assistant turn becomes an example of
+its own by ``expand``: its text is the prefix of the formatted conversation up
+to that turn's end, and only its reply is trainable. Turns behind the last
+reply are in a last row that trains nothing. Until they are written out,
+examples are kept as places, so what is shuffled grows with the turns only.
 
 Turns are ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts a backslash is
 doubled and ``<|`` becomes ``<\\|``, so no control string is left inside; in
 roles ``%``, ``<`` and newlines are percent codes. Both are undone by
 ``read_back``. A null role or text is empty; turns that share a number are
-ordered by role and text; a null conv_id is a conversation of its own. One
-conversation has to fit in a row.
+ordered by role and text, and rows that repeat are turns that repeat; a null
+conv_id is a conversation of its own. An empty table gives no rows; other columns
+are not read. One conversation has to fit in a row.
 """
 
 from __future__ import annotations
@@ -58,24 +59,31 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
 
 
 def expand(formatted: DataFrame) -> DataFrame:
-    """Every example as a row: conv_id, example (from 0), text (context and reply), loss_start, loss_end."""
-    each = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("example", "e"))
-    return each.select("conv_id", "example", F.expr(f"substring(formatted, 1, int(e.loss_end + {len(END)}))").alias("text"), F.col("e.loss_start").alias("loss_start"), F.col("e.loss_end").alias("loss_end"))
-
-
-def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, from the formatted strings alone: conv_id, turns (role, text) and replies (the unescaped text under each example's loss mask)."""
-    pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30)
-    cut = formatted.select("conv_id", "formatted", "examples", pieces.alias("pieces"))
+    """Every example as a row: conv_id, example (from 0), text (context and reply), loss_start, loss_end, last.
+
+    ``last`` marks the longest text of a conversation; where turns follow its last reply,
+    or it has none, that is a row of the whole conversation whose loss bounds are null.
+    """
+    whole = F.struct(F.lit(None).cast("bigint").alias("loss_start"), F.length("formatted").cast("bigint").alias("loss_end"))
+    bounds = F.transform("examples", lambda e: F.struct(e["loss_start"].cast("bigint").alias("loss_start"), e["loss_end"].cast("bigint").alias("loss_end")))
+    covered = F.coalesce(F.get(bounds, F.size(bounds) - 1)["loss_end"] + len(END) == F.length("formatted"), F.lit(False))
+    rows = formatted.select("conv_id", "formatted", F.when(covered, bounds).otherwise(F.concat(bounds, F.array(whole))).alias("rows"))
+    each = rows.select("conv_id", "formatted", (F.size("rows") - 1).alias("top"), F.posexplode("rows").alias("example", "e"))
+    end = F.when(F.col("e.loss_start").isNull(), F.col("e.loss_end")).otherwise(F.col("e.loss_end") + len(END))
+    text = F.substring("formatted", F.lit(1), end.cast("int"))
+    return each.select("conv_id", "example", text.alias("text"), F.col("e.loss_start").alias("loss_start"), F.when(F.col("e.loss_start").isNotNull(), F.col("e.loss_end")).alias("loss_end"), (F.col("example") == F.col("top")).alias("last"))
+
+
+def read_back(examples: DataFrame) -> DataFrame:
+    """One row per conversation, from the texts of ``expand`` alone: conv_id, formatted (the longest text), turns (role, text) and replies (the unescaped text under each loss mask)."""
+    under = F.col("text").substr((F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    told = examples.select("conv_id", F.struct("example", F.when(F.col("loss_start").isNotNull(), unescape_text(under)).alias("reply")).alias("reply"), F.when(F.col("last"), F.col("text")).alias("whole"))
+    one = told.groupBy("conv_id").agg(F.array_sort(F.collect_list("reply")).alias("replies"), F.collect_list("whole").alias("whole"))
+    one = one.select("conv_id", F.get("whole", F.lit(0)).alias("formatted"), F.filter(F.transform("replies", lambda r: r["reply"]), lambda r: r.isNotNull()).alias("replies"))
 
     def turn(piece: Column) -> Column:
         role = F.substring_index(piece, "\n", 1)
         inner = piece.substr(F.length(role) + 2, F.length(piece) - F.length(role) - 1 - len(END))
         return F.struct(unescape_role(role).alias("role"), unescape_text(inner).alias("text"))
 
-    def reply(e: Column) -> Column:
-        piece = F.get(F.col("pieces"), e["turn"])
-        at = (e["loss_start"] - e["start"] - len(START)).cast("int")
-        return unescape_text(piece.substr(at + 1, (e["loss_end"] - e["loss_start"]).cast("int")))
-
-    return cut.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), F.transform("examples", reply).alias("replies"))
+    return one.select("conv_id", "formatted", F.transform(F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30), turn).alias("turns"), "replies")

@@ -7,14 +7,18 @@ excess is shared again by weight (water filling, in closed form).
 Copies: a source whose target is r times its words gives every document
 floor(r) whole copies. The remaining words come from a Pareto order sample:
 documents are ranked by their random odds u/(1-u) over their inclusion odds,
-and taken in that order until the remaining words are as near as whole
-documents allow. ``lean`` may name a column that multiplies a document's
-inclusion odds. The rank where a source stops is found from sums over narrow
-bands of the rank, then inside one band, so no task sees all of a source.
+(part / (1 - part)) * lean for the part of r that is left and a lean that is
+by default the root of the size, so that longer documents are likelier.
+Documents are taken in that order until the next one would exceed the
+remaining words; then the order goes on with those that fit the gap, ``ROUNDS``
+times in all, so that a long document at the edge leaves no wide gap. The rank
+where a round stops is found from sums over narrow bands of the rank, then
+inside one band, so no task sees all of a source.
 
 A null text has size 0; documents of size 0 take nothing. Rows that repeat
-are ranked alike and taken alike. A null lean counts as 1, a null id as the
-string 'null' in the draw. Results depend on ``seed`` and the rows alone.
+are ranked alike and taken or left together. A null lean counts as 1, a null
+id as the string 'null' in the draw. An empty table gives no rows; input columns
+of any name stay. Results depend on ``seed`` and the rows alone.
 """
 
 from __future__ import annotations
@@ -22,9 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import WORD, stored
+from listenlake.llm.common import WORD, drop_since, made, stored
 
-BANDS = 1 << 16
+BANDS, ROUNDS = 1 << 16, 4
 
 
 def words_in(text: str) -> Column:
@@ -37,11 +41,17 @@ def draw(id_col: str, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lean: str | None = None, seed: str = "mix") -> DataFrame:
-    """One slim row per document: id, source, size, and its random odds over its lean."""
+def odds_of(id_col: str, size: Column, seed: str, lean: Column | None = None) -> Column:
+    """Random odds over the lean."""
     u = draw(id_col, seed)
-    weight = F.coalesce(F.col(lean).cast("double"), F.lit(1.0)) if lean else F.lit(1.0)
-    return docs.select(F.col(id_col).alias("mix_id"), F.col(source).alias("mix_source"), words_in(text).alias("size"), (u / (1 - u) / weight).alias("odds"))
+    weight = F.sqrt(F.greatest(size, F.lit(1)).cast("double")) if lean is None else F.coalesce(lean.cast("double"), F.lit(1.0))
+    return u / (1 - u) / weight
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lean: str | None = None, seed: str = "mix") -> DataFrame:
+    """One slim row per document: id, source, size, and its random odds over its lean (a column, or the root of its size)."""
+    slim = docs.select(F.col(id_col).alias("mix_id"), F.col(source).alias("mix_source"), words_in(text).alias("size"), *([F.col(lean).alias("lean")] if lean else []))
+    return slim.select("mix_id", "mix_source", "size", odds_of("mix_id", F.col("size"), seed, F.col("lean") if lean else None).alias("odds"))
 
 
 def targets(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
@@ -65,41 +75,57 @@ def targets(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
 
 
 def plan(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
-    """``targets`` with the last rank and id that each source takes. ``slim`` is read a few times."""
+    """``targets`` with the rounds of each source: the words it had left, and the last rank and id that it took. ``slim`` is read a few times."""
+    mark = made()
     goal = stored(targets(slim, weights, cap), "targets")
-    ranked = slim.join(goal.where("rest > 0"), slim["mix_source"].eqNullSafe(goal["mix_source"])).select(slim["mix_source"], "mix_id", "size", "rest", F.try_divide("odds", "inclusion").alias("rank")).where("size > 0")
-    banded = ranked.withColumn("band", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * BANDS), F.lit(BANDS - 1)).cast("int"))
-    sums = banded.groupBy("mix_source", "band").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = F.sum("words").over(Window.partitionBy("mix_source").orderBy("band"))
-    crossing = sums.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest"))).select(F.col("mix_source").alias("s"), F.col("band").alias("b"), (F.col("upto") - F.col("words")).alias("before"))
-    inside = banded.join(crossing, banded["mix_source"].eqNullSafe(crossing["s"]) & (banded["band"] == crossing["b"]))
-    ahead = F.col("before") + F.sum("size").over(Window.partitionBy("mix_source").orderBy("rank", "mix_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
-    last = inside.withColumn("middle", ahead).groupBy(F.col("mix_source").alias("s")).agg(F.max(F.when(F.col("middle") < F.col("rest"), F.struct("rank", "mix_id"))).alias("last"), F.min("b").alias("b"))
-    out = goal.join(last, goal["mix_source"].eqNullSafe(last["s"]), "left")
-    # Ranks below the band are all taken, so its lower edge stands in where nothing inside it is.
-    edge = F.col("b") / F.lit(float(BANDS))
-    return out.select("mix_source", "source_size", "target", "whole", "inclusion", F.coalesce(F.col("last.rank"), edge / (1 - edge)).alias("last_rank"), F.col("last.mix_id").alias("last_id"))
+    ranked = slim.join(F.broadcast(goal.where("rest > 0")), slim["mix_source"].eqNullSafe(goal["mix_source"])).select(slim["mix_source"], "mix_id", "size", F.try_divide("odds", "inclusion").alias("rank")).where("size > 0 and rank is not null")
+    place = F.struct("rank", "mix_id")
+    band = F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * BANDS), F.lit(BANDS - 1)).cast("int")
+    open_ = stored(ranked.select("mix_source", "size", place.alias("place"), band.alias("band")), "ranked")
+    gaps = goal.where("rest > 0").select(F.col("mix_source").alias("s"), F.col("rest").alias("gap"), F.lit(None).cast(open_.schema["place"].dataType).alias("upto"))
+    rounds = []
+    for _ in range(ROUNDS):
+        fits = open_.join(F.broadcast(gaps), open_["mix_source"].eqNullSafe(gaps["s"])).where((F.col("size") <= F.col("gap")) & (F.col("upto").isNull() | (F.col("place") > F.col("upto"))))
+        by_band = Window.partitionBy("s").orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
+        sums = stored(fits.groupBy("s", "band").agg(F.sum("size").alias("words"), F.max("place").alias("top"), F.first("gap").alias("gap")).withColumn("total", F.sum("words").over(by_band)), "bands")
+        whole = sums.where("total <= gap").groupBy("s").agg(F.max("total").alias("before"), F.max("top").alias("top"))
+        crossed = sums.where("total > gap and total - words <= gap").select(F.col("s").alias("cross"), F.col("band").alias("b"), (F.col("total") - F.col("words")).alias("before"))
+        inside = fits.join(F.broadcast(crossed), fits["mix_source"].eqNullSafe(crossed["cross"]) & (fits["band"] == crossed["b"]))
+        ahead = F.col("before") + F.sum("size").over(Window.partitionBy("s").orderBy("place"))
+        last = inside.withColumn("ahead", ahead).where("ahead <= gap").groupBy(F.col("s").alias("t")).agg(F.max("ahead").alias("ahead"), F.max("place").alias("last"))
+        ends = whole.join(last, whole["s"].eqNullSafe(last["t"]), "full").select(F.coalesce("s", "t").alias("e"), F.coalesce("ahead", "before").alias("words"), F.coalesce("last", "top").alias("last"))
+        moved = gaps.join(ends, gaps["s"].eqNullSafe(ends["e"]), "left").select("s", F.col("gap").alias("had"), "last", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"), F.coalesce("last", "upto").alias("upto"))
+        moved = stored(moved, "round")
+        rounds.append(moved.where("last is not null").select(F.col("s").alias("r"), F.struct(F.col("had").alias("gap"), "last").alias("round")))
+        gaps = moved.select("s", "gap", "upto")
+    every = rounds[0]
+    for more in rounds[1:]:
+        every = every.unionByName(more)
+    every = every.groupBy("r").agg(F.collect_list("round").alias("rounds"))
+    out = stored(goal.join(every, goal["mix_source"].eqNullSafe(every["r"]), "left").select("mix_source", "source_size", "target", "whole", "inclusion", "rounds"), "mix-plan")
+    drop_since(slim.sparkSession, mark, (out,))
+    return out
 
 
 def copies(rank: Column) -> Column:
-    """Copies of a document of known ``rank`` beside the columns of its source's plan."""
-    extra = (rank < F.col("last_rank")) | ((rank == F.col("last_rank")) & (F.col("mix_id") <= F.col("last_id")))
+    """Copies of a document of known ``rank`` beside the columns of its source's plan: it is in the sample when a round came past it and it fitted that round's gap."""
+    place = F.struct(rank.alias("rank"), F.col("mix_id"))
+    extra = F.exists("rounds", lambda r: (F.col("size") <= r["gap"]) & (place <= r["last"]))
     return F.when(F.col("size") > 0, F.col("whole") + F.coalesce(extra.cast("bigint"), F.lit(0))).otherwise(F.lit(0))
 
 
 def mix(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
     """One row per document: mix_id, size, source_size, target, copies, taken."""
-    found = stored(plan(slim, weights, cap), "mix-plan")
-    joined = slim.join(found, slim["mix_source"].eqNullSafe(found["mix_source"]))
+    found = plan(slim, weights, cap).withColumnRenamed("mix_source", "plan_source")
+    joined = slim.join(found, slim["mix_source"].eqNullSafe(found["plan_source"]))
     return joined.select("mix_id", "size", "source_size", "target", copies(F.try_divide("odds", "inclusion")).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the same columns."""
     slim = stored(sized(docs, id_col, text, source, None, seed), "sized")
-    found = stored(plan(slim, weights, cap), "mix-plan").withColumnRenamed("mix_source", "plan_source")
-    u = draw(id_col, seed)
-    wide = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("mix_id"), F.col(source).alias("mix_source"), words_in(text).alias("size"), (u / (1 - u)).alias("odds"))
-    joined = wide.join(found, wide["mix_source"].eqNullSafe(found["plan_source"]))
+    found = plan(slim, weights, cap).withColumnRenamed("mix_source", "plan_source")
+    wide = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("mix_id"), F.col(source).alias("mix_source"), words_in(text).alias("size"))
+    joined = wide.withColumn("odds", odds_of("mix_id", F.col("size"), seed)).join(found, wide["mix_source"].eqNullSafe(found["plan_source"]))
     taken = joined.select("row", copies(F.try_divide("odds", "inclusion")).alias("copies")).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

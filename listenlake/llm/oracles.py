@@ -33,14 +33,25 @@ goal AS (
 rates AS (
   SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS whole FROM goal),
 ranked AS (
-  SELECT s.doc_id, s.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.u / (1 - s.u), s.doc_id ROWS UNBOUNDED PRECEDING) - s.size / 2.0::DOUBLE AS middle
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN rest > 0 AND middle < rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM ranked
+  SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest,
+    s.u / (1 - s.u) / sqrt(greatest(s.size, 1)::DOUBLE) / (part / (1 - part)) AS rank
+  FROM sized s JOIN (SELECT *, target / greatest(source_size, 1) - whole AS part FROM rates) r ON s.source IS NOT DISTINCT FROM r.source),
+open1 AS (
+  SELECT doc_id, source, size, rank, rest AS gap FROM ranked WHERE rest > 0 AND size > 0 AND size <= rest),
+upto1 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto FROM open1),
+open2 AS (SELECT doc_id, source, size, rank, upto > gap AS out_, gap - max(CASE WHEN upto <= gap THEN upto ELSE 0 END) OVER (PARTITION BY source) AS gap FROM upto1),
+upto2 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto FROM open2 WHERE out_ AND size <= gap),
+open3 AS (SELECT doc_id, source, size, rank, upto > gap AS out_, gap - max(CASE WHEN upto <= gap THEN upto ELSE 0 END) OVER (PARTITION BY source) AS gap FROM upto2),
+upto3 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto FROM open3 WHERE out_ AND size <= gap),
+open4 AS (SELECT doc_id, source, size, rank, upto > gap AS out_, gap - max(CASE WHEN upto <= gap THEN upto ELSE 0 END) OVER (PARTITION BY source) AS gap FROM upto3),
+upto4 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto FROM open4 WHERE out_ AND size <= gap),
+took AS (
+  SELECT doc_id FROM upto1 WHERE upto <= gap UNION SELECT doc_id FROM upto2 WHERE upto <= gap UNION SELECT doc_id FROM upto3 WHERE upto <= gap UNION SELECT doc_id FROM upto4 WHERE upto <= gap)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN doc_id IN (SELECT doc_id FROM took) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM ranked
 """
 
 OP6 = r"""
-WITH cut AS (
+WITH RECURSIVE cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
   SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
@@ -51,26 +62,30 @@ fits AS (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS ruled FROM named JOIN rules
   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
 known AS (
-  SELECT n.*, rule, ruled, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '*', 'g'), '/') AS t FROM named n LEFT JOIN fits USING (page_id)),
-tree AS (
-  SELECT page_id, host, path, rule, ruled, t[1] AS a, coalesce(t[2], '') AS b, coalesce(array_to_string(t[3:], '/'), '') AS c FROM known),
-leaf1 AS (SELECT *, CASE WHEN (SELECT count(DISTINCT x.a) FROM tree x WHERE x.host = tree.host) > 50 THEN '*' ELSE a END AS a_ FROM tree),
-n2 AS (SELECT host, a_, count(DISTINCT b) AS n FROM leaf1 GROUP BY ALL),
-leaf2 AS (SELECT l.*, CASE WHEN n > 50 THEN '*' ELSE b END AS b_ FROM leaf1 l JOIN n2 USING (host, a_)),
-n3 AS (SELECT host, a_, b_, count(DISTINCT c) AS n FROM leaf2 GROUP BY ALL),
-leaf3 AS (SELECT l.*, CASE WHEN n > 50 THEN '*' ELSE c END AS c_ FROM leaf2 l JOIN n3 USING (host, a_, b_)),
+  SELECT n.*, rule, ruled, regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '*', 'g') AS general FROM named n LEFT JOIN fits USING (page_id)),
+walk AS (
+  SELECT DISTINCT host, general, 0 AS depth, '' AS done, '' AS above, string_split(general, '/') AS rest FROM known
+  UNION ALL
+  SELECT host, general, depth + 1, done || '/' || CASE WHEN count(DISTINCT rest[1]) OVER (PARTITION BY host, done) > 50 THEN '*' ELSE rest[1] END, done, rest[2:]
+  FROM walk WHERE len(rest) > 0),
+labels AS (
+  SELECT host, general, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good FROM known GROUP BY ALL),
 nodes AS (
-  SELECT host, a_, b_, c_, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good FROM leaf3 GROUP BY ALL),
-shares AS (
-  SELECT *, sum(bad) OVER w AS p_bad, sum(bad + good) OVER w AS p_n FROM nodes WINDOW w AS (PARTITION BY host, a_, b_)),
-merged AS (
-  SELECT *, CASE WHEN bad + good >= 5 THEN abs(bad / (bad + good)::DOUBLE - p_bad / p_n::DOUBLE)
-    <= 1.96 * sqrt((p_bad + 1.0) / (p_n + 2.0) * (1 - (p_bad + 1.0) / (p_n + 2.0)) / (bad + good)) ELSE false END AS m FROM shares),
-pooled AS (
-  SELECT host, a_, b_, c_, CASE WHEN m THEN sum(bad) FILTER (m) OVER w ELSE bad END AS x, CASE WHEN m THEN sum(good) FILTER (m) OVER w ELSE good END AS y
-  FROM merged WINDOW w AS (PARTITION BY host, a_, b_))
-SELECT l.page_id, l.host, l.path, l.rule, coalesce(l.ruled, CASE WHEN (y + 1.0) / (x + y + 2.0) < 0.35 THEN 'block' ELSE 'allow' END) AS verdict
-FROM leaf3 l JOIN pooled USING (host, a_, b_, c_)
+  SELECT host, depth, above, done, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(bad + good) AS BIGINT) AS n, (sum(bad) + 1.0::DOUBLE) / (sum(bad + good) + 2.0::DOUBLE) AS share
+  FROM walk JOIN labels USING (host, general) GROUP BY ALL HAVING sum(bad + good) > 0),
+beside AS (
+  SELECT *, lag(bad) OVER o AS bad_, lag(n) OVER o AS n_, (bad + lag(bad) OVER o + 1.0::DOUBLE) / (n + lag(n) OVER o + 2.0::DOUBLE) AS both_
+  FROM nodes WINDOW o AS (PARTITION BY host, depth, above ORDER BY share, md5(done[2:]))),
+split AS (
+  SELECT *, CASE WHEN abs(bad / n::DOUBLE - bad_ / n_::DOUBLE) > 1.96::DOUBLE * sqrt(both_ * (1 - both_) * (1.0::DOUBLE / n + 1.0::DOUBLE / n_)) THEN 1 ELSE 0 END AS new_ FROM beside),
+branches AS (
+  SELECT *, sum(new_) OVER (PARTITION BY host, depth, above ORDER BY share, md5(done[2:])) AS branch FROM split),
+pure AS (
+  SELECT host, depth, done, (sum(n - bad) OVER w + 1.0::DOUBLE) / (sum(n) OVER w + 2.0::DOUBLE) AS purity FROM branches WINDOW w AS (PARTITION BY host, depth, above, branch)),
+judged AS (
+  SELECT w.host, w.general, arg_max(purity, w.depth) AS purity FROM walk w JOIN pure p ON w.host = p.host AND w.depth = p.depth AND w.done = p.done GROUP BY ALL)
+SELECT k.page_id, k.host, k.path, k.rule, coalesce(k.ruled, CASE WHEN purity < 0.35::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM known k LEFT JOIN judged j ON k.host = j.host AND k.general = j.general
 """
 
 

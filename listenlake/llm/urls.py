@@ -1,33 +1,45 @@
 """URL filters by a path-template tree (operator 6), with DataFrame functions only.
 
 Rules come first; the longest that fits decides. Other urls are judged by a
-tree of path templates per host: runs of digits become wildcards, and so does
-a segment whose parent has more than ``max_children`` different children.
-Below a parent, branches with ``min_labelled`` labels or more whose share of
-bad labels does not differ from the parent's (two-sided 5 % test) are merged
-and judged together; the others alone. A template is rejected when its purity
-(good + 1) / (labels + 2) is under ``min_purity``, so one without labels stays.
+tree of path templates per host:
+
+1. Runs of digits become wildcards, and so do all children of a node that has
+   more than ``max_children`` different ones. Levels are walked from the host
+   down; a subtree of ``max_children`` paths or fewer can't have such a node
+   and leaves the walk, so depth is not limited.
+2. The labelled branches below a node are ordered by their smoothed share of
+   bad labels. Neighbours in that order whose shares don't differ (two-sided
+   test of two proportions) are merged and judged together.
+3. A template is judged by the deepest of its nodes whose merged branches have
+   labels: itself, a folder above, or the host. It is rejected when the purity
+   there, (good + 1) / (labels + 2), is under ``min_purity``. A host without
+   labels rejects nothing.
 
 A null url, or one without ``://``, has an empty host and path; repeated rows
-are judged alike; labels may be null. Sums are taken per host and template
-before any shuffle, so a host with a third of all rows is a few rows there.
+are judged alike; labels may be null; an empty table gives no rows. Input
+columns named like the new ones stay, and the new ones get a longer name. Sums
+are taken per host and path before any shuffle, and a path with many rows is
+dealt to several tasks. Nodes are told apart by 128-bit digests of their paths.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listenlake.llm.common import drop_since, fresh, join_spread, made, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 3
 
 
 @dataclass(frozen=True)
 class TemplateRules:
+    """``z``: standard errors by which the shares of merged neighbours may differ."""
+
     max_children: int = 50
-    min_labelled: int = 5
+    z: float = 1.96
     min_purity: float = 0.35
 
 
@@ -47,42 +59,79 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, verdict
 
 
-def tokens(path: Column) -> list[Column]:
-    """The first segments with digits generalised; the last holds all that is deeper."""
-    general = F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "*")
-    parts = F.split(general, "/", DEPTH)
-    return [F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in range(DEPTH)]
+def general(path: Column) -> Column:
+    """A path without its first slash, runs of digits generalised."""
+    return F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "*")
+
+
+def templates(paths: DataFrame, max_children: int) -> DataFrame:
+    """host, general, template of the distinct rows (host, general)."""
+    rows = paths.select("host", "general", F.lit("").alias("done"), F.split("general", "/").alias("rest"))
+    finished, mark = [], made()
+    while True:
+        child = rows.groupBy("host", "done", F.get("rest", F.lit(0)).alias("child")).agg(F.count("*").alias("n"))
+        below = stored(child.groupBy("host", "done").agg(F.count("*").alias("children"), F.sum("n").alias("rows")), "nodes")
+        known = join_spread(rows, below.withColumn("paths", F.col("rows")), ["host", "done"], "rows")
+        step = F.when(F.col("children") > max_children, "*").otherwise(F.get("rest", F.lit(0)))
+        few = F.col("paths") <= max_children
+        done = F.concat_ws("/", "done", F.when(few, F.array_join("rest", "/")).otherwise(step))
+        rest = F.when(few, F.array().cast("array<string>")).otherwise(F.slice("rest", 2, 1 << 30))
+        walked = stored(known.select("host", "general", done.alias("done"), rest.alias("rest")), "walk")
+        finished.append(walked.where("size(rest) = 0").select("host", "general", F.col("done").alias("template")))
+        rows = walked.where("size(rest) > 0")
+        if rows.isEmpty():
+            break
+    out = finished[0]
+    for more in finished[1:]:
+        out = out.unionByName(more)
+    out = stored(out, "templates")
+    drop_since(out.sparkSession, mark, (out,))
+    return out
+
+
+def judged_templates(leaves: DataFrame, rules: TemplateRules) -> DataFrame:
+    """host, template, purity (null without labels) of the rows host, template, bad, good."""
+    parts = F.split(F.substring("template", 2, 1 << 30), "/")
+    node = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda d: F.concat(d.cast("string"), F.lit(":"), F.md5(F.array_join(F.slice("parts", F.lit(1), d), "/").cast("binary"))))
+    walk = leaves.withColumn("parts", parts).select("host", "template", "bad", "good", node.alias("nodes")).select("*", F.posexplode("nodes").alias("depth", "node"))
+    walk = stored(walk.withColumn("parent", F.get("nodes", F.col("depth") - 1)).drop("nodes"), "branches")
+    nodes = walk.groupBy("host", "node").agg(F.first("parent").alias("parent"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("rows")).where("bad + good > 0")
+    # A node has max_children children at most, so the windows are small.
+    n, order = F.col("bad") + F.col("good"), Window.partitionBy("host", "parent").orderBy("share", "node")
+    nodes = nodes.withColumn("share", (F.col("bad") + 1.0) / (n + 2.0)).withColumn("bad_before", F.lag("bad").over(order)).withColumn("n_before", F.lag(n).over(order))
+    both = (F.col("bad") + F.col("bad_before") + 1.0) / (n + F.col("n_before") + 2.0)
+    differ = F.abs(F.col("bad") / n - F.col("bad_before") / F.col("n_before")) > rules.z * F.sqrt(both * (1 - both) * (F.lit(1.0) / n + F.lit(1.0) / F.col("n_before")))
+    merged = nodes.withColumn("branch", F.sum(F.coalesce(differ.cast("int"), F.lit(0))).over(order))
+    pool = Window.partitionBy("host", "parent", "branch")
+    good, labels = F.sum("good").over(pool), F.sum(n).over(pool)
+    pure = stored(merged.select("host", "node", "rows", ((good + 1.0) / (labels + 2.0)).alias("purity")), "purity")
+    deepest = join_spread(walk.select("host", "template", "depth", "node"), pure, ["host", "node"], "rows")
+    return deepest.groupBy("host", "template").agg(F.max_by("purity", F.when(F.col("purity").isNotNull(), F.col("depth"))).alias("purity"))
 
 
 def template_verdicts(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
-    """Verdicts of templates from rows of host, a, b, c (tokens) and bad (true, false or null): host, a, b, c, purity, verdict."""
-    seen = pages.groupBy("host", "a", "b", "c").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
-    leaf, above = seen, ["host"]
-    for level in "abc":
-        counts = leaf.select(*above, level).distinct().groupBy(*above).agg(F.count("*").alias("children"))
-        leaf = leaf.join(counts, above).withColumn(f"{level}_", F.when(F.col("children") > rules.max_children, "*").otherwise(F.col(level))).drop("children")
-        above = [*above, f"{level}_"]
-    nodes = leaf.groupBy("host", "a_", "b_", "c_").agg(F.sum("bad").alias("n_bad"), F.sum("good").alias("n_good"))
-    parent = nodes.groupBy("host", "a_", "b_").agg(F.sum("n_bad").alias("p_bad"), F.sum(F.col("n_bad") + F.col("n_good")).alias("p_n"))
-    n, share = F.col("n_bad") + F.col("n_good"), (F.col("p_bad") + 1.0) / (F.col("p_n") + 2.0)
-    near = F.abs(F.col("n_bad") / n - F.try_divide(F.col("p_bad"), F.col("p_n"))) <= 1.96 * F.sqrt(share * (1 - share) / n)
-    nodes = nodes.join(parent, ["host", "a_", "b_"]).withColumn("merged", F.when(n >= rules.min_labelled, near).otherwise(F.lit(False)))
-    pooled = nodes.where("merged").groupBy("host", "a_", "b_").agg(F.sum("n_bad").alias("m_bad"), F.sum("n_good").alias("m_good"))
-    nodes = nodes.join(pooled, ["host", "a_", "b_"], "left")
-    bad, good = (F.when(F.col("merged"), F.col(f"m_{x}")).otherwise(F.col(f"n_{x}")) for x in ("bad", "good"))
-    purity = (good + 1.0) / (good + bad + 2.0)
-    judged = nodes.select("host", "a_", "b_", "c_", purity.alias("purity"), F.when(purity < rules.min_purity, "block").otherwise("allow").alias("verdict"))
-    return leaf.select("host", "a", "b", "c", "a_", "b_", "c_").join(judged, ["host", "a_", "b_", "c_"]).select("host", "a", "b", "c", F.concat_ws("/", F.lit(""), "a_", "b_", "c_").alias("template"), "purity", "verdict")
+    """host, general, rows, template, purity and verdict of every path, from rows of host, general and bad (true, false or null)."""
+    seen = stored(pages.groupBy("host", "general").agg(F.count("*").alias("rows"), F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")), "paths")
+    found = templates(seen, rules.max_children)
+    named = stored(seen.join(found, ["host", "general"]), "named")
+    judged = judged_templates(named.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), rules)
+    verdict = F.when(F.col("purity") < rules.min_purity, "block").otherwise("allow")
+    return stored(named.select("host", "general", "rows", "template").join(judged, ["host", "template"]).withColumn("verdict", verdict), "verdicts")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", labels: Column | None = None, template_rules: TemplateRules = TemplateRules()) -> DataFrame:
     """``pages`` with url_host, url_path, url_rule, url_template and url_verdict. ``labels``: true for bad; by default the verdicts of the rules serve as labels."""
-    host, path = host_and_path(F.col(url))
-    rule, verdict = by_rules(F.col("url_host"), F.col("url_path"), rules)
-    known = pages.withColumn("url_host", host).withColumn("url_path", path).withColumn("url_rule", rule).withColumn("url_ruled", verdict)
-    a, b, c = tokens(F.col("url_path"))
-    bad = labels if labels is not None else F.col("url_ruled") == "block"
-    tree = template_verdicts(known.select(F.col("url_host").alias("host"), a.alias("a"), b.alias("b"), c.alias("c"), bad.alias("bad")), template_rules)
-    on = (known["url_host"] == tree["host"]) & (a == tree["a"]) & (b == tree["b"]) & (c == tree["c"])
-    joined = known.join(tree.select("host", "a", "b", "c", "template", F.col("verdict").alias("judged")), on, "left")
-    return joined.select(*(known[x] for x in pages.columns), "url_host", "url_path", "url_rule", F.col("template").alias("url_template"), F.coalesce("url_ruled", "judged", F.lit("allow")).alias("url_verdict"))
+    names = [fresh(pages, x) for x in ("url_host", "url_path", "url_rule", "url_template", "url_verdict")]
+    work = [fresh(pages, x) for x in ("url_ruled", "host", "general", "bad")]
+    host, path, rule, template, verdict = names
+    ruled, tree_host, tree_path, bad = work
+    found_host, found_path = host_and_path(F.col(url))
+    known = pages.withColumn(host, found_host).withColumn(path, found_path)
+    found_rule, found_verdict = by_rules(F.col(host), F.col(path), rules)
+    known = known.withColumn(rule, found_rule).withColumn(ruled, found_verdict).withColumn(tree_host, F.col(host)).withColumn(tree_path, general(F.col(path)))
+    known = known.withColumn(bad, labels if labels is not None else F.col(ruled) == "block")
+    tree = template_verdicts(known.select(F.col(tree_host).alias("host"), F.col(tree_path).alias("general"), F.col(bad).alias("bad")), template_rules)
+    judged, rows = fresh(known, "judged"), fresh(known, "tree_rows")
+    tree = tree.select(F.col("host").alias(tree_host), F.col("general").alias(tree_path), F.col("rows").alias(rows), F.col("template").alias(template), F.col("verdict").alias(judged))
+    joined = join_spread(known.drop(bad), tree, [tree_host, tree_path], rows)
+    return joined.withColumn(verdict, F.coalesce(ruled, judged, F.lit("allow"))).select(*pages.columns, *names)

@@ -42,3 +42,45 @@ def plain_spans(texts):
         seen.update(own)
         out[d] = spans
     return out
+
+
+def plain_verdicts(rows, max_children=50, z=1.96, min_purity=0.35):
+    """Verdicts of (host, path, bad or None) by a tree held in memory."""
+    import hashlib
+    import re
+
+    paths = [re.sub("[0-9]+", "*", p.removeprefix("/")).split("/") for _, p, _ in rows]
+    done = [()] * len(rows)
+    for depth in range(max(map(len, paths), default=0)):
+        children = {}
+        for (h, _, _), d, p in zip(rows, done, paths):
+            if len(p) > depth:
+                children.setdefault((h, d), set()).add(p[depth])
+        done = [d + ("*" if len(children[h, d]) > max_children else p[depth],) if len(p) > depth else d for (h, _, _), d, p in zip(rows, done, paths)]
+    count = {}
+    for (h, _, bad), d in zip(rows, done):
+        for k in range(len(d) + 1):
+            c = count.setdefault((h, d[:k]), [0, 0])
+            if bad is not None:
+                c[not bad] += 1
+    purity, siblings = {}, {}
+    for (h, d), (bad, good) in count.items():
+        if bad + good:
+            siblings.setdefault((h, d[:-1] if d else None), []).append(((bad + 1.0) / (bad + good + 2.0), hashlib.md5("/".join(d).encode()).hexdigest(), bad, good, (h, d)))
+    for group in siblings.values():
+        group.sort()
+        run, last = [], None
+        for item in [*group, None]:
+            if run and (item is None or abs(item[2] / (item[2] + item[3]) - last[2] / (last[2] + last[3])) > z * (lambda n, m, p: (p * (1 - p) * (1 / n + 1 / m)) ** 0.5)(item[2] + item[3], last[2] + last[3], (item[2] + last[2] + 1) / (sum(item[2:4]) + sum(last[2:4]) + 2))):
+                bad, good = sum(x[2] for x in run), sum(x[3] for x in run)
+                for x in run:
+                    purity[x[4]] = (good + 1) / (bad + good + 2)
+                run = []
+            if item is not None:
+                run.append(item)
+                last = item
+    out = []
+    for (h, _, _), d in zip(rows, done):
+        known = [purity[h, d[:k]] for k in range(len(d) + 1) if (h, d[:k]) in purity]
+        out.append("block" if known and known[-1] < min_purity else "allow")
+    return out
