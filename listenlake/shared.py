@@ -34,7 +34,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
 
 
 _MADE: list[str] = []
@@ -46,9 +48,9 @@ def made() -> int:
 
 
 def drop_since(spark: SparkSession, mark: int, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Delete the tables made after ``mark`` that no frame in ``keep`` reads. Frames that read them can't be run again."""
-    used = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
-    gone = [x for x in _MADE[mark:] if x.rsplit("/", 1)[-1] not in used]
+    """Delete the tables made after ``mark`` but for those in ``keep`` (frames from ``stored``). Frames that read them can't be run again."""
+    used = {df.shared_path for df in keep}
+    gone = [x for x in _MADE[mark:] if x not in used]
     _MADE[mark:] = [x for x in _MADE[mark:] if x not in gone]
     jvm = spark.sparkContext._jvm
     for x in gone:
