@@ -11,15 +11,18 @@ stay whole when shorter than that; the first of each takes part in what follows.
 3. Around each shared anchor, the stretch of the windows that name it is a
    suffix to be sorted, to the depth of its end. Stretches that are equal within
    a slice are settled there and sent once.
-4. A block sorts its suffixes deep-shallow: by multikey quicksort to ``SHALLOW``
-   bytes, eight at a time for all groups at once; groups that are still tied go
-   into blind tries, which look only at branching bytes and compare once.
+4. A block sorts the suffixes of each anchor deep-shallow: by multikey quicksort
+   to ``SHALLOW`` bytes, eight to a key and all segments at once; those that are
+   still tied go into blind tries, which look only at branching bytes and compare
+   once.
    Equal neighbours are equal stretches: all but those of the smallest document
    go. Where an anchor has different stretches, their windows are sorted in the
    same way, unless no longer string around the anchor repeats.
 
-Null texts are empty. A null id is smaller than none and keeps its text. Rows
-that repeat with one id are one document, so none of them removes the other.
+Hashes only propose what may be equal: stretches are compared byte by byte, and
+whole texts by SHA-256. Null texts are empty. A null id is smaller than none and
+keeps its text. Rows that repeat with one id are one document, so none of them
+removes the other. An empty table gives no rows; columns of any name stay.
 """
 
 from __future__ import annotations
@@ -77,7 +80,8 @@ def _anchors(texts: list[bytes], first: int, low: int) -> tuple[np.ndarray, ...]
     start = np.flatnonzero(new)
     stop = np.append(start[1:], len(q)) - 1
     base = (end - [len(t) for t in texts])[text[start]] - low
-    return text[start] + first, q[start] - base, q[stop] - base, anchor[start] - base, hashes[anchor[start]]
+    # The least hashes are small numbers; mixed again they spread over all blocks.
+    return text[start] + first, q[start] - base, q[stop] - base, anchor[start] - base, mix(hashes[anchor[start]] + np.uint64(1))
 
 
 def blind_trie(strings: list[bytes]) -> list[list[int]]:
@@ -119,35 +123,73 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
     return out
 
 
-def sorted_classes(memory: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The rank of each string memory[at : at + size] in sorted order; equal strings share one."""
+def multikey_quicksort(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row order by the columns of ``keys`` (n by depth) within groups (numbers that don't descend), and the first place of every place's run of equal rows.
+
+    All open segments are parted at once: by a pivot, the median of three, into less, equal and
+    greater; what is equal goes one column deeper, the others stay in theirs.
+    """
+    n, depth = keys.shape
+    order, first = np.arange(n), np.zeros(n, np.int64)
+    start, end = runs(group)
+    deep = np.zeros(len(start), np.int64)
+    while len(start):
+        size = end - start
+        done = (size == 1) | (deep == depth)
+        for a, z in ((start[done], size[done]),):
+            first[np.repeat(a - np.cumsum(z) + z, z) + np.arange(int(z.sum()))] = np.repeat(a, z)
+        start, size, deep = start[~done], size[~done], deep[~done]
+        if not len(start):
+            break
+        seg = np.repeat(np.arange(len(start)), size)
+        base = np.cumsum(size) - size
+        at = np.arange(len(seg)) - base[seg] + start[seg]
+        own = order[at]
+        key = keys[own, deep[seg]]
+        low, mid, high = key[base], key[base + size // 2], key[base + size - 1]
+        pivot = np.maximum(np.minimum(low, mid), np.minimum(np.maximum(low, mid), high))[seg]
+        less, same = key < pivot, key == pivot
+        counts = []
+        place = start[seg]
+        before = np.zeros(len(start), np.int64)
+        for side in (less, same, ~(less | same)):
+            total = np.cumsum(side)
+            ahead = total - side - (total[base] - side[base])[seg]
+            place = np.where(side, (start + before)[seg] + ahead, place)
+            counts.append(np.add.reduceat(side, base, dtype=np.int64))
+            before = before + counts[-1]
+        order[place] = own
+        edges = start + np.cumsum([np.zeros(len(start), np.int64), counts[0], counts[1]], axis=0)
+        start, size = edges.ravel(), np.concatenate(counts)
+        deep = np.concatenate([deep, deep + 1, deep])
+        some = size > 0
+        start, deep = start[some], deep[some]
+        end = start + size[some]
+    return order, first
+
+
+def sorted_classes(memory: bytes, at: np.ndarray, size: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """The rank of each string memory[at : at + size] in sorted order; equal strings share one. ``group``: strings are ordered by these numbers first and equal in one group only."""
     n = len(at)
     if not n:
         return np.empty(0, np.int64)
     raw = np.frombuffer(memory + bytes(8 + SHALLOW), np.uint8)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    tied = np.arange(n)
-    for depth in range(0, SHALLOW, 8):
-        own = order[tied]
-        key = raw[(at[own] + depth)[:, None] + np.arange(8)]
-        key[np.arange(8) + depth >= size[own][:, None]] = 0
-        key = key.view(">u8")[:, 0].astype(np.uint64)
-        by = np.lexsort((key, group[tied]))
-        order[tied], key = own[by], key[by]
-        old = group[tied]
-        new = np.ones(len(tied), bool)
-        new[1:] = (old[1:] != old[:-1]) | (key[1:] != key[:-1])
-        group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
-        tied = tied[~(new & np.append(new[1:], True))]
-        if not len(tied):
-            break
+    by = np.arange(n) if group is None else np.argsort(group, kind="stable")
+    keys = np.empty((n, SHALLOW // 8), np.uint64)
+    for k in range(SHALLOW // 8):
+        part = raw[(at[by] + 8 * k)[:, None] + np.arange(8)]
+        part[np.arange(8) + 8 * k >= size[by][:, None]] = 0
+        keys[:, k] = part.view(">u8")[:, 0]
+    order, first = multikey_quicksort(keys, np.zeros(n, np.int64) if group is None else group[by])
+    order = by[order]
     rank = np.empty(n, np.int64)
-    rank[order] = group
-    if len(tied):
-        places, low, length = order[tied].tolist(), at.tolist(), size.tolist()
-        for a, b in zip(*(x.tolist() for x in runs(group[tied])), strict=True):
-            own = places[a:b]
-            k = int(tied[a])
+    rank[order] = first
+    start, end = runs(first)
+    several = end - start > 1
+    if several.any():
+        places, low, length = order.tolist(), at.tolist(), size.tolist()
+        for a, b in zip(start[several].tolist(), end[several].tolist(), strict=True):
+            own, k = places[a:b], a
             for same in blind_trie([memory[low[i] : low[i] + length[i]] for i in own]):
                 for j in same:
                     rank[own[j]] = k
@@ -155,6 +197,16 @@ def sorted_classes(memory: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarra
     return rank
 
 
+def same_bytes(raw: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether raw[left : left + size] is raw[right : right + size], for rows of 8 bytes or more."""
+    words = np.lib.stride_tricks.as_strided(np.append(raw, np.zeros(8, np.uint8)).view(np.uint8)[: len(raw) + 8], (len(raw) + 1, 8), (1, 1))
+    good = np.ones(len(left), bool)
+    for k in range(0, int(size.max()) if len(size) else 0, 8):
+        off = np.minimum(k, size - 8)
+        good &= (words[left + off] == words[right + off]).all(1)
+    return good
+
+
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group number of every row by equal keys, and a row order in which groups stand together."""
     order = np.lexsort(keys)
@@ -180,8 +232,8 @@ def whole_groups(ordered: np.ndarray, most: int) -> Iterator[slice]:
 def covered(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.ndarray, size: np.ndarray, memory: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents and byte spans that a smaller document covers, among stretches around anchors."""
     at = np.cumsum(size) - size
-    rank = sorted_classes(memory, at, size)
-    kind, _ = groups(rank, lead, hashes)
+    # Stretches of one anchor are suffixes to be sorted against each other.
+    kind = np.unique(sorted_classes(memory, at, size, groups(lead, hashes)[0]), return_inverse=True)[1]
     n = int(kind.max()) + 1
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, kind, doc)
@@ -208,8 +260,8 @@ def covered(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.nda
         own = np.repeat(pick[part], size[pick[part]] - LENGTH + 1)
         windows = size[pick[part]] - LENGTH + 1
         shift = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
-        rank = sorted_classes(memory, at[own] + shift, np.full(len(own), LENGTH))
-        same, _ = groups(rank, shift - lead[own], hashes[own])
+        rank = sorted_classes(memory, at[own] + shift, np.full(len(own), LENGTH), groups(shift - lead[own], hashes[own])[0])
+        same = np.unique(rank, return_inverse=True)[1]
         least_window = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least_window, same, doc[own])
         hit = doc[own] > least_window[same]
@@ -289,9 +341,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame,
             doc, lead, size = ids[text_of], anchor - low, high - low + LENGTH
             content = span_hashes(memory, base + low, base + low + size)
             kind, _ = groups(content, lead, hashes)
-            least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, doc)
-            gone = doc > least[kind]
+            by = np.lexsort((doc, kind))
+            least = by[runs(kind[by])[0]][kind]  # the row of the smallest document with this content
+            gone = doc > doc[least]
+            # A hash only proposes what is equal; what differs in a byte stays and is sorted.
+            gone[gone] = (size[gone] == size[least[gone]]) & same_bytes(memory, (base + low)[gone], (base + low)[least[gone]], np.minimum(size[gone], size[least[gone]]))
             spans = span_rows(doc[gone], low[gone], (low + size)[gone], pieces)
             for b, d, x, y in zip(*spans.values(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - b], pa.int64()), pa.array([b""]), *(pa.array([v], pa.binary()) for v in (d, x, y, b"", b""))], names_of)
@@ -359,8 +413,8 @@ def inward(text: bytes, low: int, high: int) -> tuple[int, int]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated spans cut from their texts, at whole code points; other columns stay."""
     spans, _ = repeated_spans(docs, id_col, text)
-    sha, lows, highs, raw = (fresh(docs, x) for x in ("text_sha", "span_lows", "span_highs", "raw_text"))
-    marked = docs.withColumn(sha, F.sha2(text_bytes(text), 256)).join(spans.select(F.col("doc_id").alias("span_doc"), F.col("sha").alias("span_sha"), F.col("lows").alias(lows), F.col("highs").alias(highs)), (F.col(id_col).cast("bigint") == F.col("span_doc")) & (F.col(sha) == F.col("span_sha")), "left")
+    sha, lows, highs, raw, span_doc, span_sha = (fresh(docs, x) for x in ("text_sha", "span_lows", "span_highs", "raw_text", "span_doc", "span_sha"))
+    marked = docs.withColumn(sha, F.sha2(text_bytes(text), 256)).join(spans.select(F.col("doc_id").alias(span_doc), F.col("sha").alias(span_sha), F.col("lows").alias(lows), F.col("highs").alias(highs)), (F.col(id_col).cast("bigint") == F.col(span_doc)) & (F.col(sha) == F.col(span_sha)), "left")
     names, at, wide = docs.columns, docs.columns.index(text), len(docs.columns)
 
     def cut(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

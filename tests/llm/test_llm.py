@@ -79,6 +79,41 @@ def test_jaccard_join_when_no_pivot_pair_can_link(spark):
     assert got[both[0]] == got[both[1]] == min(both)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=2, max_size=12), st.integers(0, 5))
+def test_blocked_product(sets, hidden):
+    n = np.array([len(x) + hidden for x in sets])
+    a, b = (x.ravel() for x in np.triu_indices(len(sets), 1))
+    got = shingles.overlaps(a, b, [np.array(sorted(x, key=str), np.int64) for x in sets], n, 80)
+    assert got.tolist() == [100 * len(sets[i] & sets[j]) >= 80 * (n[i] + n[j] - len(sets[i] & sets[j])) for i, j in zip(a, b, strict=True)]
+
+
+def test_jaccard_join_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "ROW_BLOCK", 8)  # so that columns are cut into blocks of rows
+    rng = random.Random(4)
+    base = [f"v{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(60), 1 + i % 3):
+            w[k] = f"u{rng.randint(0, 12)}"
+        rows.append((i if i % 40 else None, " ".join(w), 7, "x"))
+    rows += [(500, "z " * 60_000, 7, "x"), (501, "z " * 60_001, 7, "x"), (502, " ".join(f"q{i}" for i in range(20_000)), 7, "x"), (503, " ".join(f"q{i}" for i in range(19_900)), 7, "x"), (None, None, 7, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kept_id int, digest string")
+    named = {i if d is not None else 10_000 + i: (t or "").encode() for i, (d, t, _, _) in enumerate(rows)}
+    label = plain_components({k: v for k, v in plain_sets(named).items()})
+    got = {}
+    for r in shingles.near_duplicates(df).where("doc_id is not null").collect():
+        got[r["doc_id"]] = r["component_id"]
+    place = {i: d for i, (d, _, _, _) in enumerate(rows) if d is not None}
+    groups = collections.defaultdict(set)
+    for k, c in label.items():
+        groups[c].add(k)
+    want = {place[k]: min(place[m] for m in members if m in place) for members in groups.values() for k in members if k in place}
+    assert got == want
+    assert shingles.keep_first(df).columns == df.columns
+
+
 def test_suffix_dedup(spark, odd, empty):
     texts = texts_of(odd)
     want = plain_spans(texts)
@@ -334,19 +369,48 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1", "check_s"])
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    other = rng.normal(size=8).tolist()
+    df = spark.createDataFrame(rows + rows[:30] + [(20, other), (None, other)], "vec_id bigint, embedding array<double>").withColumn("rank", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 20 == 0, 10).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    points = [(i, np.array(v)) for i, v in [*rows, (20, other)]]
+    for i, q in points:
+        if i % 20 == 0:
+            want = sorted((-float((v * q).sum()), j) for j, v in points if j != i)[:10]
+            assert all(any(r[0] == k + 1 and r[1] == j and abs(r[2] + s) < 1e-12 for r in got[i]) for k, (s, j) in enumerate(want))
+    assert {i: len(v) for i, v in got.items()} == {0: 10, 20: 20, 40: 10}
+
+
+def test_codes_within_a_radius():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    for bits in (64, 20):
+        own = codes & np.uint64((1 << bits) - 1)
+        index = ann.SubstringIndex(own, bits)
+        for radius in (0, 1, 2, 5, 11, 30, 64):
+            for c in own[:20]:
+                assert index.within(c, radius).tolist() == np.flatnonzero(np.bitwise_count(own ^ c) <= radius).tolist()
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1", "check_s"])
 def test_default_radius_keeps_the_neighbours(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
     rows = df.orderBy("vec_id").collect()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     asked = ids[ids % 20 == 0][:100].tolist()
-    found = collections.defaultdict(set)
-    for r in ann.nearest(df, F.col("id").isin(asked)).collect():
-        found[r["query_id"]].add(r["vec_id"])
+    found = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("id").isin(asked)).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
     hit = 0
     for q in asked:
         score = (x * x[ids == q][0]).sum(1)
-        hit += len(found[q] & set([i for i in ids[np.lexsort((ids, -score))].tolist() if i != q][:20]))
+        hit += len({i for i, _ in found[q]} & set([i for i in ids[np.lexsort((ids, -score))].tolist() if i != q][:20]))
+        assert all(abs(s - score[ids == i][0]) < 1e-12 for i, s in found[q]) and found[q] == sorted(found[q], key=lambda r: (-r[1], r[0]))
     assert set(found) == set(asked) and hit >= 0.95 * 20 * len(asked)
 
 
