@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listenlake.functions import keys, times
-from listenlake.operators import audio, enrich, epochs, identity, library, plays, scene, store, temporal, validate
+from listenlake.operators import audio, enrich, epochs, identity, latency, library, listening, plays, scene, store, temporal, validate
 from listenlake.params import AudioParams, EpochParams, TemporalParams, ValidationParams
 from listenlake.plans import sweep
+from listenlake.sources import readers
 from listenlake.views import DOC_TAGS, LONG_HISTORY, MEMBERS, PLAYS, RECORDS, ZONES_SQL, doc_tags, long_history, members, records, table, zones
 from listenlake.views import plays as plays_view
+from listenlake.zones import COUNTRY_ZONES, country_zones
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -551,3 +553,147 @@ def profile_summary(spark, sf_dir):
     tags = table(spark, sf_dir, "documents").select(name("doc_id").alias("track_id"), F.transform(said, lambda t: F.struct(t.alias("tag"), F.lit(1.0).alias("weight"))).alias("tags"))
     inputs = Inputs(plays=plays_view(spark, sf_dir), records=r, tags=tags, zones=zones(spark))
     return analyze(inputs, audio_params=AudioParams(min_cluster_size=5, min_samples=2), temporal_params=LOW_FLOOR, epoch_params=SHORT, validation=ValidationParams(evidence_count=5)).summary
+
+
+NAMES = "names AS (SELECT n_nationkey AS k, CASE k_ WHEN 0 THEN n_name || ' Straße' WHEN 1 THEN lower(n_name) || ' STRASSE' WHEN 2 THEN 'ﬁn ' || n_name ELSE n_name END AS name FROM (SELECT *, n_nationkey % 4 AS k_ FROM nation))"
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation names with letters whose full case folding is not their lower case."""
+    n, k = F.col("n_name"), F.col("n_nationkey") % 4
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.when(k == 0, F.concat(n, F.lit(" Straße"))).when(k == 1, F.concat(F.lower(n), F.lit(" STRASSE"))).when(k == 2, F.concat(F.lit("ﬁn "), n)).otherwise(n).alias("name"))
+
+
+@query(f"WITH {NAMES} SELECT k, 'name:' || replace(replace(lower(name), 'ß', 'ss'), 'ﬁ', 'fi') AS artist_key, replace(replace(lower(name), 'ß', 'ss'), 'ﬁ', 'fi') AS through_python FROM names")
+def folded_names(spark, sf_dir):
+    return names(spark, sf_dir).select("k", keys.artist_key(F.lit(None).cast("string"), F.col("name")).alias("artist_key"), keys.casefold("name").alias("through_python"))
+
+
+@query(f"WITH {NAMES} SELECT k, url_encode(name || '~*+ /&é') AS quoted, 'x' || k AS bare FROM names")
+def percent_encoding(spark, sf_dir):
+    return names(spark, sf_dir).select("k", keys.quoted(F.concat("name", F.lit("~*+ /&é"))).alias("quoted"), keys.bare_spotify_id(F.concat(F.when(F.col("k") % 2 == 0, "spotify:track:").otherwise(""), F.lit("x"), F.col("k").cast("string"))).alias("bare"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round_even((l_linenumber + l_quantity) / 8.0::DOUBLE, 2) AS even FROM lineitem")
+def half_even_rounding(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", keys.half_even((F.col("l_linenumber") + F.col("l_quantity")) / F.lit(8.0), 2).alias("even"))
+
+
+@query(f"WITH {PLAYS}, z(country, zone) AS (VALUES {', '.join(f'({c!r}, {n!r})' for c, n in COUNTRY_ZONES.items())}) SELECT coalesce(zone, 'UTC') AS zone, count(*) AS n, (SELECT count(*) FROM z) AS n_zones FROM plays LEFT JOIN z ON country = conn_country GROUP BY 1")
+def plays_by_zone(spark, sf_dir):
+    z = country_zones(spark)
+    counted = plays_view(spark, sf_dir).join(F.broadcast(z), F.col("conn_country") == F.col("country"), "left").groupBy(F.coalesce("zone", F.lit("UTC")).alias("zone")).agg(F.count("*").alias("n"))
+    return counted.crossJoin(F.broadcast(z.agg(F.count("*").alias("n_zones"))))
+
+
+@query("WITH t AS (SELECT p_size % 3 + 2 AS k, p_partkey AS topic, (p_retailprice % 100) / 100.0::DOUBLE - 0.5 AS coherence, lower(p_brand) AS tag FROM part) SELECT 'q-scene-' || topic AS candidate_id, 'scene' AS category, 'coherence_floor' AS failed_test, k, tag FROM t WHERE coherence < 0.15::DOUBLE")
+def coherence_rejections(spark, sf_dir):
+    t = table(spark, sf_dir, "part").select((F.col("p_size") % 3 + 2).alias("k"), F.col("p_partkey").alias("topic"), ((F.col("p_retailprice") % 100) / 100.0 - 0.5).alias("coherence"), F.lower("p_brand").alias("tag"))
+    log = scene.coherence_log(t.select("k", "topic", "coherence"), t.select("k", "topic", F.lit(1).alias("rank"), "tag"), 0.15)
+    return log.select("candidate_id", "category", "failed_test", F.get_json_object("details", "$.K").cast("bigint").alias("k"), F.get_json_object("details", "$.top_tags[0]").alias("tag"))
+
+
+DOCUMENTS = """docs AS (SELECT printf('mb%05d', vec_id) AS mbid, vec_id AS k, CASE WHEN vec_id % 3 <> 0 THEN CAST(vec_id AS DOUBLE) / 8 END AS happy, CASE WHEN vec_id % 4 = 1 THEN CAST(vec_id AS DOUBLE) / 4 END AS danceable, CASE WHEN vec_id % 5 <> 0 THEN CAST(vec_id + 60 AS DOUBLE) END AS bpm FROM embeddings),
+  scalars AS (SELECT mbid, k, happy, danceable, CASE WHEN k % 2 = 0 THEN bpm END AS bpm FROM docs WHERE k % 7 <> 0)"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """High-level and low-level answers of the feature service as JSON, and all ids."""
+    k = F.col("vec_id")
+    d = table(spark, sf_dir, "embeddings").select(F.format_string("mb%05d", k).alias("mbid"), k.alias("k"), F.when(k % 3 != 0, k / 8).alias("happy"), F.when(k % 4 == 1, k / 4).alias("danceable"), F.when(k % 5 != 0, (k + 60).cast("double")).alias("bpm"))
+
+    def nested(name: str, leaf: str):
+        return F.struct(F.struct(F.col(leaf).alias(leaf)).alias("all")).alias(name)
+
+    high = d.where("k % 7 <> 0").select("mbid", F.to_json(F.struct(F.struct(nested("mood_happy", "happy"), nested("danceability", "danceable")).alias("highlevel"))).alias("document"))
+    low = d.where("k % 2 = 0").select("mbid", F.to_json(F.struct(F.struct("bpm").alias("rhythm"))).alias("document"))
+    return high, low, d
+
+
+@query(f"WITH {DOCUMENTS} SELECT mbid, happy, danceable, bpm, coalesce(happy, danceable, bpm) IS NOT NULL AS hit FROM scalars")
+def raw_scalars(spark, sf_dir):
+    high, low, _ = documents(spark, sf_dir)
+    return listening.raw_scalars(high, low).select("mbid", "happy", "danceable", "bpm", "hit")
+
+
+@query(f"WITH {DOCUMENTS} SELECT mbid, bpm, happy AS valence, danceable AS danceability FROM scalars WHERE coalesce(happy, danceable, bpm) IS NOT NULL")
+def features_of_scalars(spark, sf_dir):
+    high, low, _ = documents(spark, sf_dir)
+    return enrich.scalars_to_features(listening.raw_scalars(high, low)).select("mbid", "bpm", "valence", "danceability")
+
+
+@query(f"WITH {DOCUMENTS}, w AS (SELECT d.mbid, d.k % 11 = 0 AS cached, s.mbid IS NOT NULL AND coalesce(s.happy, s.danceable, s.bpm) IS NOT NULL AS hit FROM docs d LEFT JOIN scalars s USING (mbid)) SELECT count(*) AS asked, count(*) FILTER (cached) AS cached, count(*) FILTER (NOT cached) AS fetched, count(*) FILTER (NOT cached AND hit) AS hits, count(*) FILTER (NOT cached AND NOT hit) AS misses FROM w")
+def index_build_report(spark, sf_dir):
+    high, low, d = documents(spark, sf_dir)
+    return listening.build_report(d, d.where("k % 11 = 0").select("mbid"), listening.raw_scalars(high, low))
+
+
+@query("SELECT 'mb' || c_custkey AS mbid, '{\"v\":' || c_custkey || '}' AS document FROM customer WHERE c_custkey % 3 <> 0")
+def service_answers(spark, sf_dir):
+    c = F.col("c_custkey").cast("string")
+    inner = F.when(F.col("c_custkey") % 3 == 0, F.lit('["x"]')).otherwise(F.concat(F.lit('{"0":{"v":'), c, F.lit('},"1":{"v":0}}')))
+    payload = F.concat(F.lit('{"mb'), c, F.lit('":'), inner, F.lit(',"mbid_mapping":{"0":{"a":1}}}'))
+    return readers.response_documents(table(spark, sf_dir, "customer").select(payload.alias("payload")))
+
+
+@query("SELECT 'c' || c_custkey AS key, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 1 + c_custkey % 2 END AS n, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE lower(c_mktsegment) END AS first FROM customer")
+def release_styles(spark, sf_dir):
+    c, styles = F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lower("c_mktsegment"))).otherwise(F.array(F.lower("c_mktsegment"), F.lit("z")))
+    found = F.to_json(F.struct(F.array(F.struct(styles.alias("style")), F.struct(F.array(F.lit("other")).alias("style"))).alias("results")))
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), c).alias("key"), F.when(c % 4 == 0, F.lit('{"results":[]}')).otherwise(found).alias("payload"))
+    return enrich.style_tags(rows).select("key", F.size("tags").alias("n"), F.get("tags", F.lit(0))["tag"].alias("first"))
+
+
+@query("WITH r AS (SELECT n_name AS key, n_nationkey AS k FROM nation), c AS (SELECT * FROM r WHERE k % 2 = 0) SELECT r.key, CASE WHEN k % 4 = 0 THEN 'cached' ELSE 'fresh' END AS origin, k % 4 = 0 OR k % 3 = 0 AS kept FROM r")
+def identity_cache(spark, sf_dir):
+    refs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("input_key"), F.col("n_nationkey").alias("k"))
+    cache = refs.where("k % 2 = 0").select("input_key", F.lit("cached").alias("mbid"), F.when(F.col("k") % 4 == 0, "mbid").otherwise("isrc").alias("level"))
+    done, kept = identity.with_cache(refs, cache, lambda r: r.select("input_key", F.lit("fresh").alias("mbid"), F.when(F.col("k") % 3 == 0, "mbid").otherwise("name").alias("level")))
+    return done.join(kept.select("input_key", F.lit(True).alias("kept")), "input_key", "left").select(F.col("input_key").alias("key"), F.col("mbid").alias("origin"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query("WITH a AS (SELECT DISTINCT c_mktsegment AS key FROM customer), m AS (SELECT DISTINCT CASE WHEN n_nationkey % 5 = 0 THEN 'BUILDING' ELSE n_name END AS key FROM nation) SELECT key, CASE WHEN key IN (SELECT key FROM a) THEN 'library' ELSE 'marquee' END AS origin FROM (SELECT key FROM a UNION SELECT key FROM m)")
+def artists_and_marquee(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").alias("seq"), F.lit("library").alias("origin"))
+    m = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 5 == 0, "BUILDING").otherwise(F.col("n_name")).alias("key"), F.col("n_nationkey").alias("seq"), F.lit("marquee").alias("origin"))
+    return identity.all_artists(a, m).select("key", "origin")
+
+
+@query(f"WITH {PLAYS}, r AS (SELECT *, CASE WHEN k % 4 <> 0 AND k % 3 = 0 THEN 'mbid:m' || k WHEN k % 4 <> 0 THEN 'isrc:i' || k ELSE 'name:' || lower(name) || chr(31) || lower(artist) END AS track FROM plays) SELECT track, count(*) AS n, CASE WHEN track LIKE 'mbid%' THEN 'mbid' WHEN track LIKE 'isrc%' THEN 'isrc' ELSE 'name' END AS level FROM r GROUP BY 1")
+def plays_of_resolved_tracks(spark, sf_dir):
+    nothing = F.lit(None).cast("string")
+    events = plays_view(spark, sf_dir).withColumn("isrc", nothing).withColumn("mbid", nothing)
+    isrcs = events.where("spotify_id is not null").select("spotify_id", F.concat(F.lit("i"), "k").alias("isrc"), "k").distinct()
+    index = isrcs.where("k % 3 = 0").select("isrc", F.concat(F.lit("m"), "k").alias("mbid"))
+    refs = identity.track_refs(events)
+    done = identity.resolve(refs, index, isrcs.select("spotify_id", "isrc"))
+    raw = events.withColumn("track_id", keys.track_id(*(F.col(c) for c in ("spotify_id", "isrc", "mbid", "name", "artist"))))
+    rekeyed = identity.rekey(raw, done).groupBy(F.col("track_id").alias("track")).agg(F.count("*").alias("n"))
+    return rekeyed.join(done.select(F.col("canonical_id").alias("track"), "level").distinct(), "track")
+
+
+@query("WITH r AS (SELECT l_linenumber AS g, l_quantity AS clip, l_extendedprice / 10000 AS s, 100.0 * l_linenumber AS rss FROM lineitem), x AS (SELECT g, count(*) AS n, quantile_cont(s, 0.95) AS p95, min(clip) AS c, max(rss) AS m FROM r GROUP BY 1) SELECT g, n, round(p95, 6) AS p95, round(p95 / c, 6) AS realtime_ratio, n >= 50 AND p95 / c <= 0.5 AND m <= 1500 AS sustainable FROM x")
+def realtime_verdict(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("g"), F.col("l_quantity").alias("clip_seconds"), (F.col("l_extendedprice") / 10000).alias("latency_seconds"), (F.col("l_linenumber") * F.lit(100.0)).alias("rss_mb"))
+    return rounded(latency.latency_report(r, "g"), "p95", "realtime_ratio").select("g", "n", "p95", "realtime_ratio", "sustainable")
+
+
+@query("WITH o AS (SELECT o_orderkey AS seq, o_orderpriority AS reason FROM orders) SELECT coalesce(r, 'accepted') AS reason, count(*) AS n FROM (SELECT CASE WHEN seq % 5 = 0 THEN 'no_identity' WHEN seq % 7 = 0 THEN 'unparseable_timestamp' WHEN o_orderdate <= TIMESTAMP '1995-06-17' THEN 'before_cutoff' END AS r FROM (SELECT o_orderkey AS seq, o_orderdate FROM orders)) GROUP BY 1")
+def account_rejects(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rows = o.select(F.when(k % 5 == 0, "").otherwise("a").alias("artistName"), F.when(k % 5 == 0, None).otherwise("t").alias("trackName"), F.when(k % 7 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).alias("endTime"), F.lit("9").alias("msPlayed"), k.alias("seq"))
+    edge = spark.sql("SELECT TIMESTAMP '1995-06-17' AS cutoff")
+    return readers.account_rows(rows, None, edge).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("WITH t AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN 'spotify:episode:' || c_custkey ELSE 'spotify:track:' || c_custkey END AS uri FROM customer) SELECT CASE WHEN starts_with(uri, 'spotify:track:') THEN substr(uri, 15) END AS spotify_id, count(*) AS n FROM t GROUP BY 1")
+def track_uris(spark, sf_dir):
+    c = F.col("c_custkey")
+    uri = F.concat(F.when(c % 3 == 0, "spotify:episode:").otherwise("spotify:track:"), c.cast("string"))
+    return table(spark, sf_dir, "customer").groupBy(keys.uri_tail(uri).alias("spotify_id")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_name AS name, regexp_replace(n_name || ' é/x', '[^A-Za-z0-9._-]+', '_', 'g') AS safe, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE -1 END AS whole FROM nation")
+def names_and_numbers(spark, sf_dir):
+    k = F.col("n_nationkey").cast("string")
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), keys.safe_name(F.concat("n_name", F.lit(" é/x"))).alias("safe"), F.coalesce(readers.whole_number(F.when(F.col("n_nationkey") % 2 == 0, k).otherwise(F.concat(k, F.lit(".5")))), F.lit(-1)).alias("whole"))

@@ -24,9 +24,15 @@ def casefold(values: pd.Series) -> pd.Series:
     return values.str.casefold()
 
 
+#: What full case folding does beyond lower(): letters that are lower case already and fold further, such as the sharp s.
+_FURTHER = {c: c.casefold() for c in map(chr, range(0x110000)) if c.lower() == c != c.casefold()}
+
+
 def folded(value: Column) -> Column:
-    """Lower case inside the JVM; equals ``casefold`` for all but a few letters such as the sharp s."""
-    return F.lower(value)
+    """Full case folding inside the JVM: plain ASCII is lower-cased, and only other names are taken letter by letter."""
+    further = F.create_map(*(F.lit(x) for pair in _FURTHER.items() for x in pair))
+    letters = F.regexp_extract_all(F.lower(value), F.lit("(?s)."), F.lit(0))
+    return F.when(value.rlike(r"^\p{ASCII}*$"), F.lower(value)).otherwise(F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(further, c), c)), ""))
 
 
 def track_id(spotify_id: Column, isrc: Column, mbid: Column, name: Column, artist: Column, fold=folded) -> Column:
@@ -66,3 +72,8 @@ def quoted(value: Column) -> Column:
 
 def band(value: Column, low: float, high: float) -> Column:
     return F.when(value < low, "low").when(value < high, "mid").otherwise("high")
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """Rounding of the exact binary value, ties to even; ``round`` takes the shortest decimal and ties away from zero."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenlake.functions.keys import filled
+from listenlake.functions.keys import filled, folded
 
 
 def audio_bucket(has_features: Column, mbid: Column, found: Column) -> Column:
@@ -45,7 +48,7 @@ def enrich_tags(records: DataFrame, *sources: DataFrame) -> DataFrame:
     return wide.select("track_id", "key", bucket.alias("bucket"), F.when(F.size("tags") > 0, F.col("tags")).otherwise(first).alias("tags"))
 
 
-def genre_tags(rows: DataFrame, fold=F.lower) -> DataFrame:
+def genre_tags(rows: DataFrame, fold=folded) -> DataFrame:
     """mbid, tag, weight of (mbid, kind, pos, name, count): each folded name once, genres before free tags."""
     rank = F.row_number().over(Window.partitionBy("mbid", fold("name")).orderBy(F.when(F.col("kind") == "genre", 0).otherwise(1), "pos"))
     return rows.withColumn("rank", rank).where("rank = 1").select("mbid", F.col("name").alias("tag"), F.col("count").cast("double").alias("weight"))
@@ -56,3 +59,27 @@ def scalars_to_features(rows: DataFrame) -> DataFrame:
     names = {"bpm": "bpm", "energy": "average_loudness", "valence": "happy", "danceability": "danceable", "acousticness": "acoustic", "instrumentalness": "instrumental"}
     picked = rows.select("mbid", *(F.col(c).cast("double").alias(f) for f, c in names.items()))
     return picked.where(F.coalesce(*names).isNotNull())
+
+
+def batched(keys: DataFrame, fetch, size: int = 25, ddl: str = "mbid string, document string") -> DataFrame:
+    """What ``fetch`` (a list of at most ``size`` keys to rows) gives for all distinct keys: the seam for a client that answers in batches. Failed calls raise, so a task runs again."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        for f in frames:
+            held += f["key"].tolist()
+            while len(held) >= size:
+                yield pd.DataFrame(fetch(held[:size]), columns=names)
+                held = held[size:]
+        if held:
+            yield pd.DataFrame(fetch(held), columns=names)
+
+    names = [c.split()[0] for c in ddl.split(", ")]
+    return keys.select(F.col(keys.columns[0]).alias("key")).where("key is not null").distinct().mapInPandas(run, ddl)
+
+
+def style_tags(responses: DataFrame) -> DataFrame:
+    """key, tags of search responses (key, payload): the styles of the first result only, without weight; none where there is no result."""
+    styles = F.from_json(F.get_json_object("payload", "$.results[0].style"), "array<string>")
+    tag = F.transform(F.coalesce(styles, F.array().cast("array<string>")), lambda t: F.struct(t.alias("tag"), F.lit(None).cast("double").alias("weight"), F.lit("discogs").alias("source")))
+    return responses.select("key", tag.alias("tags"))

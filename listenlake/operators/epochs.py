@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listenlake.functions.keys import half_even
 from listenlake.functions.times import micros
 from listenlake.params import MIN_WINDOW_EVENTS, EpochParams
 
@@ -133,7 +134,7 @@ def presence(plays: DataFrame, members: DataFrame, ranges: DataFrame, at: str =
     total = per_track.groupBy("epoch_id").agg(F.sum("n").alias("n_events"))
     grid = members.select("root_id").distinct().crossJoin(F.broadcast(ranges.select("epoch_id")))
     wide = grid.join(own, ["root_id", "epoch_id"], "left").join(total, "epoch_id", "left")
-    return wide.select("root_id", "epoch_id", F.round(F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)), F.col("n_events")), F.lit(0.0)), 4).alias("presence"))
+    return wide.select("root_id", "epoch_id", half_even(F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)), F.col("n_events")), F.lit(0.0)), 4).alias("presence"))
 
 
 def detect(plays: DataFrame, members: DataFrame, at: str = "played_at", params: EpochParams = EpochParams()) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listenlake.functions.keys import filled, folded
+from listenlake.functions.keys import filled, folded, track_id
 from listenlake.operators.plays import keep_first, keep_last
 
 LEVELS = ("mbid", "isrc", "spotify_id", "name")
@@ -96,3 +96,29 @@ def all_artists(artists: DataFrame, marquee: DataFrame) -> DataFrame:
     """Artists and marquee names, each key once, artists first."""
     both = artists.withColumn("part", F.lit(0)).unionByName(marquee.withColumn("part", F.lit(1)), allowMissingColumns=True)
     return keep_first(both.withColumn("order_", F.struct("part", "seq")), ["key"], "order_").drop("part", "order_")
+
+
+def track_refs(events: DataFrame) -> DataFrame:
+    """One row per raw identity of events (seq, spotify_id, isrc, mbid, name, artist): input_key and its first-seen names."""
+    keyed = events.select("seq", *(filled(F.col(c)).alias(c) for c in ("spotify_id", "isrc", "mbid")), "name", "artist")
+    keyed = keyed.withColumn("input_key", track_id(*(F.col(c) for c in ("spotify_id", "isrc", "mbid", "name", "artist"))))
+    return keep_first(keyed, ["input_key"], "seq").drop("seq")
+
+
+def resolve(refs: DataFrame, isrc_index: DataFrame, spotify_isrc: DataFrame | None = None, covered: DataFrame | None = None) -> DataFrame:
+    """``waterfall`` with the canonical id that the resolved identity has."""
+    done = waterfall(refs, isrc_index, spotify_isrc, covered)
+    return done.withColumn("canonical_id", track_id(*(F.col(c) for c in ("spotify_id", "isrc", "mbid", "name", "artist"))))
+
+
+def metadata_records(resolved: DataFrame, now: Column) -> DataFrame:
+    """One record per canonical track, from the first of its raw identities."""
+    own = resolved.select(F.col("canonical_id").alias("track_id"), "input_key", "spotify_id", "isrc", "mbid", "name", "artist")
+    return keep_first(own, ["track_id"], "input_key").drop("input_key").withColumn("fetched_at", now)
+
+
+def now_playing(current: DataFrame, isrc_index: DataFrame, spotify_isrc: DataFrame | None = None) -> DataFrame:
+    """The track that plays (spotify_id, title, artist; no row when none does) walked up the waterfall."""
+    nothing = F.lit(None).cast("string")
+    refs = track_refs(current.select(F.lit(0).alias("seq"), "spotify_id", nothing.alias("isrc"), nothing.alias("mbid"), F.col("title").alias("name"), "artist"))
+    return resolve(refs, isrc_index, spotify_isrc)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listenlake.functions.keys import folded
 from listenlake.params import SceneParams
 
 # Stop tags, version 1.
@@ -44,7 +45,12 @@ STOP_TAGS = {
 }
 
 
-def doc_tags(records: DataFrame, stop: tuple[str, ...] = STOP_TAGS["v1"], fold=F.lower) -> DataFrame:
+def stop_tags(version: str) -> tuple[str, ...]:
+    """The stop tags of a version; none for a version that is not known."""
+    return STOP_TAGS.get(version, ())
+
+
+def doc_tags(records: DataFrame, stop: tuple[str, ...] = stop_tags("v1"), fold=folded) -> DataFrame:
     """doc, tag, weight of records (track_id, tags): folded, without stop tags; the last weight of a tag counts, and weights that are not positive are 1."""
     each = records.select(F.col("track_id").alias("doc"), F.posexplode("tags").alias("pos", "t")).select("doc", "pos", fold(F.col("t.tag")).alias("tag"), F.col("t.weight").alias("weight"))
     last = each.where(~F.col("tag").isin(*stop)).groupBy("doc", "tag").agg(F.max_by("weight", "pos").alias("weight"))
@@ -93,6 +99,14 @@ def best_k(per_topic: DataFrame, floor: float) -> DataFrame:
     return means.where("n_passing > 0").agg(F.max_by(F.struct("k", "mean_coherence"), F.struct("mean_coherence", -F.col("k"))).alias("b")).where("b is not null").select("b.k", "b.mean_coherence")
 
 
+def coherence_log(scored: DataFrame, top: DataFrame, floor: float) -> DataFrame:
+    """One row per topic (k, topic, coherence) under the floor, as the quality log has it; ``top`` has the topics' tags (k, topic, rank, tag)."""
+    tags = top.groupBy("k", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]).alias("top_tags"))
+    low = scored.where(F.col("coherence") < floor).join(tags, ["k", "topic"], "left")
+    details = F.to_json(F.struct(F.round("coherence", 4).alias("coherence"), F.lit(floor).alias("floor"), F.col("k").alias("K"), "top_tags"))
+    return low.select(F.concat(F.lit("q-scene-"), F.col("topic").cast("string")).alias("candidate_id"), F.lit("scene").alias("category"), F.lit("coherence_floor").alias("failed_test"), details.alias("details"))
+
+
 def nmf(x: np.ndarray, k: int, max_iter: int, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative factors by coordinate descent from a doubly non-negative SVD start; deterministic."""
     u, s, v = np.linalg.svd(x, full_matrices=False)

@@ -31,7 +31,7 @@ def classify(candidates: DataFrame, params: ValidationParams = ValidationParams(
 
 def quality_log(classified: DataFrame, params: ValidationParams = ValidationParams()) -> DataFrame:
     """One row per rejected candidate: its id, the test it failed, and the figures as JSON."""
-    details = F.when(F.col("verdict") == "rejected:calibration", F.to_json(F.struct("evidence_count", F.lit(params.evidence_count).alias("floor")))).otherwise(F.to_json(F.struct("coverage", F.lit(params.coverage_tendency).alias("floor"))))
+    details = F.when(F.col("verdict") == "rejected:calibration", F.to_json(F.struct("evidence_count", F.lit(params.evidence_count).alias("floor")))).otherwise(F.to_json(F.struct("coverage", F.lit(params.coverage_tendency).alias("floor_artifact"))))
     return classified.where(F.col("verdict").startswith("rejected:")).select("candidate_id", "category", F.substring_index("verdict", ":", -1).alias("failed_test"), details.alias("details"))
 
 

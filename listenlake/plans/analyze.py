@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listenlake.operators import audio, epochs, plays, scene, temporal, validate
+from listenlake.functions.keys import filled, folded, track_id
+from listenlake.operators import audio, enrich, epochs, identity, plays, scene, temporal, validate
 from listenlake.shared import stored
 from listenlake.params import AudioParams, EpochParams, SceneParams, TemporalParams, ValidationParams
 
@@ -24,20 +26,26 @@ class Inputs:
 
 @dataclass(frozen=True)
 class Profile:
+    """``quality_log`` has the order of its entries in stage (audio, scene, temporal) and phase (a stage's own floors before the validator's)."""
+
     classified: DataFrame
     epochs: DataFrame
     presence: DataFrame
     quality_log: DataFrame
     summary: DataFrame
-
-    def document(self, snapshot_id: str) -> DataFrame:
-        """One row: the profile as JSON."""
-        parts = {"candidates": self.classified, "epochs": self.epochs, "presence": self.presence, "quality_log": self.quality_log}
+    facts: DataFrame
+    members: DataFrame
+    descriptors: DataFrame
+    params: dict
+
+    def document(self, snapshot_id: str, diagnostics: dict[str, DataFrame] | None = None) -> DataFrame:
+        """One row: the profile as JSON, with the facts of its data, its parameters, and diagnostics such as enrichment buckets."""
+        parts = {"candidates": self.classified, "descriptors": self.descriptors, "epochs": self.epochs, "presence": self.presence, "quality_log": self.quality_log.select("stage", "phase", "candidate_id", "category", "failed_test", "details"), "generated_from": self.facts} | (diagnostics or {})
         row = None
         for name, df in parts.items():
             one = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias(name))
             row = one if row is None else row.crossJoin(one)
-        return row.withColumn("snapshot_id", F.lit(snapshot_id)).withColumn("schema_version", F.lit("v0"))
+        return row.withColumn("method_params", F.lit(json.dumps(self.params, default=str))).withColumn("snapshot_id", F.lit(snapshot_id)).withColumn("schema_version", F.lit("v0"))
 
 
 COLUMNS = ["candidate_id", "category", "cluster_size", "cluster_share", "evidence_count", "coverage", "confidence", "stability_score"]
@@ -52,18 +60,20 @@ def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_par
     """Stages that find nothing give empty frames; temporal stages run on members of surviving roots only."""
     listened = inputs.plays.cache()
     facts = F.broadcast(plays.facts(listened).select("n_unique", "span_days"))
-    found, members = [], []
-    if inputs.records is not None:
+    found, members, described_by, low = [], [], [], None
+    if inputs.records is not None and "bpm" in inputs.records.columns:
         clusters = cut(audio.cluster(inputs.records.withColumn("user_id", F.lit(1)), audio_params))
         described = cut(audio.describe(clusters, listened, audio_params))
         found.append(described.select(*COLUMNS))
+        described_by.append(described.select("candidate_id", F.to_json(F.struct(*(c for c in described.columns if c not in COLUMNS))).alias("descriptor")))
         members.append(clusters.join(described.select("cluster", "candidate_id"), "cluster").select(F.col("candidate_id").alias("root_id"), "track_id"))
     if inputs.tags is not None:
         tags = cut(scene.doc_tags(inputs.tags))
         weights = cut(scene.factor(tags.withColumn("user_id", F.lit(1)), scene_params))
-        top = scene.top_tags(weights.where("part = 'tag'").select(F.struct("k", "topic").alias("topic"), F.col("name").alias("tag"), "weight"), scene_params.top_tags)
+        top = cut(scene.top_tags(weights.where("part = 'tag'").select(F.struct("k", "topic").alias("topic"), F.col("name").alias("tag"), "weight"), scene_params.top_tags))
         scored = cut(scene.coherence(top.select("topic", "tag"), tags).select("topic.k", F.col("topic.topic").alias("topic"), "coherence"))
         chosen = F.broadcast(scene.best_k(scored, scene_params.coherence_floor).select("k"))
+        low = scene.coherence_log(scored.join(chosen, "k"), top.select("topic.k", F.col("topic.topic").alias("topic"), "rank", "tag"), scene_params.coherence_floor)
         good = scored.where(F.col("coherence") >= scene_params.coherence_floor).join(chosen, "k").select("k", "topic")
         assigned = scene.assign(weights.where("part = 'doc'").join(chosen, "k").select(F.col("name").alias("doc"), "topic", "weight"))
         own = assigned.join(good.select("topic"), "topic", "left_semi")
@@ -72,11 +82,13 @@ def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_par
         stable = audio.stability(own.select("topic", F.col("doc").alias("track_id")), listened, "topic")
         described = cut(described.join(stable, "topic", "left").withColumn("stability_score", F.col("balance")))
         found.append(described.select(*COLUMNS))
+        described_by.append(described.select("candidate_id", F.to_json(F.struct(*(c for c in described.columns if c not in COLUMNS))).alias("descriptor")))
         members.append(own.join(described.select("topic", "candidate_id"), "topic").select(F.col("candidate_id").alias("root_id"), F.col("doc").alias("track_id")))
     spark = listened.sparkSession
     if not found:
         empty = "candidate_id string, category string, cluster_size bigint, cluster_share double, evidence_count bigint, coverage double, confidence double, stability_score double"
         found, members = [spark.createDataFrame([], empty)], [spark.createDataFrame([], "root_id string, track_id string")]
+        described_by = [spark.createDataFrame([], "candidate_id string, descriptor string")]
     candidates, bridge = found[0], members[0]
     for extra, more in zip(found[1:], members[1:], strict=True):
         candidates, bridge = candidates.unionByName(extra), bridge.unionByName(more)
@@ -90,6 +102,41 @@ def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_par
     rejected = temporal.ranked(lifts).where("verdict = 'rejected:lift_floor'").select("candidate_id", F.lit("temporal").alias("category"), F.lit("lift_floor").alias("failed_test"), F.to_json(F.struct("lift", F.lit(temporal_params.lift_floor).alias("floor"), "root_id", *temporal.BUCKET)).alias("details"))
     ranges, table = epochs.detect(localized, kept, "local_at", epoch_params)
     present = epochs.presence(localized, kept, ranges, "local_at")
-    log = rejected.unionByName(validate.quality_log(everything, validation))
+    stage = F.when(F.col("category") == "audio", 0).when(F.col("category") == "scene", 1).otherwise(2)
+    own_floors = rejected if low is None else rejected.unionByName(low)
+    log = own_floors.withColumn("phase", F.lit(0)).unionByName(validate.quality_log(everything, validation).withColumn("phase", F.lit(1))).withColumn("stage", stage)
     summary = everything.groupBy("category", "verdict").agg(F.count("*").alias("n"))
-    return Profile(everything, table, present, log, summary)
+    descriptors = described_by[0]
+    for more in described_by[1:]:
+        descriptors = descriptors.unionByName(more)
+    chosen_params = {n: asdict(p) for n, p in (("audio", audio_params), ("scene", scene_params), ("temporal", temporal_params), ("epoch", epoch_params), ("validation", validation))}
+    return Profile(everything, table, present, log, summary, plays.facts(listened), kept, descriptors, chosen_params)
+
+
+FEATURES = ("bpm", "energy", "valence", "danceability", "acousticness", "instrumentalness")
+
+
+def enriched(events: DataFrame, zones: DataFrame, isrc_index: DataFrame, features: DataFrame | None, tag_sources: tuple[DataFrame, ...] = (), spotify_isrc: DataFrame | None = None, covered: DataFrame | None = None) -> tuple[Inputs, dict[str, DataFrame]]:
+    """What ``analyze`` takes, from raw events (seq, spotify_id, isrc, mbid, name, artist, played_at, source, ms_played, skipped, conn_country).
+
+    Every raw identity walks up the waterfall once, plays get the canonical id, and the
+    tracks are enriched by MBID (``features``) and by folded artist (``tag_sources``: key,
+    tags). A stage without its source is left out. Also the counts of levels and buckets.
+    """
+    refs = cut(identity.track_refs(events))
+    resolved = cut(identity.resolve(refs, isrc_index, spotify_isrc, covered))
+    raw = events.withColumn("track_id", track_id(*(filled(F.col(c)) for c in ("spotify_id", "isrc", "mbid")), F.col("name"), F.col("artist")))
+    listened = identity.rekey(raw, resolved).select("seq", "track_id", "played_at", "source", "ms_played", "skipped", "conn_country")
+    tracks = cut(identity.metadata_records(resolved, F.current_timestamp()))
+    diagnostics = {"identity": identity.level_report(resolved)}
+    records = tags = None
+    if features is not None:
+        bare = tracks.select("*", *(F.lit(None).cast("double").alias(f) for f in FEATURES))
+        records = cut(enrich.enrich_audio(bare, features, FEATURES))
+        diagnostics["audio"] = enrich.bucket_counts(records)
+    if tag_sources:
+        keyed = tracks.select("track_id", folded(F.col("artist")).alias("key"), F.array().cast("array<struct<tag:string,weight:double>>").alias("tags"))
+        tagged = cut(enrich.enrich_tags(keyed, *tag_sources))
+        diagnostics["tags"] = enrich.bucket_counts(tagged)
+        tags = tagged.where(F.size("tags") > 0).select("track_id", "tags")
+    return Inputs(listened, records if records is not None or tags is None else tracks, tags, zones), diagnostics

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from listenlake.operators import temporal
 from listenlake.operators.library import agreement
 from listenlake.operators.plays import is_valid
+from listenlake.plans.analyze import Profile
+from listenlake.shared import stored
 from listenlake.params import TemporalParams
 
 CONFIGS = tuple((ms, False) for ms in (0, 5_000, 10_000, 20_000, 30_000, 45_000, 60_000, 90_000)) + ((30_000, True),)
@@ -29,17 +31,18 @@ def root_counts(plays: DataFrame, members: DataFrame, configs=CONFIGS) -> DataFr
 
 
 def verdict_tables(plays: DataFrame, members: DataFrame, configs=CONFIGS, params: TemporalParams = TemporalParams()) -> dict[tuple, DataFrame]:
-    """pair, verdict per configuration: also what the count floor dropped."""
+    """pair, verdict per configuration: also what the count floor dropped. Plays get their buckets once, and are read from a table after that."""
+    bucketed = stored(temporal.with_buckets(plays, params=params), "sweep")
     out = {}
     for ms, skip in configs:
-        lifts = temporal.lift_table(temporal.with_buckets(plays.where(is_valid(F.col("ms_played"), F.col("skipped"), ms, skip)), params=params), members, params=params)
+        lifts = temporal.lift_table(bucketed.where(is_valid(F.col("ms_played"), F.col("skipped"), ms, skip)), members, params=params)
         out[ms, skip] = lifts.select(F.concat_ws("|", "root_id", *temporal.BUCKET).alias("pair"), "verdict")
     return out
 
 
 def report(plays: DataFrame, members: DataFrame, configs=CONFIGS, params: TemporalParams = TemporalParams()) -> DataFrame:
     """Agreement of every configuration with the first."""
-    tables = verdict_tables(plays, members, configs, params)
+    tables = {c: stored(t, "verdicts") for c, t in verdict_tables(plays, members, configs, params).items()}
     first, out = tables[configs[0]], None
     for c in configs:
         row = agreement(first, tables[c]).withColumn("min_ms", F.lit(c[0])).withColumn("ignore_skip", F.lit(c[1]))
@@ -47,6 +50,17 @@ def report(plays: DataFrame, members: DataFrame, configs=CONFIGS, params: Tempor
     return out
 
 
+def write_report(found: DataFrame, path: str) -> None:
+    """The report as one JSON file."""
+    rows = found.agg(F.to_json(F.array_sort(F.collect_list(F.struct("min_ms", "ignore_skip", "n", "rate")))).alias("value"))
+    rows.write.mode("overwrite").text(path)
+
+
+def surviving(profile: Profile) -> DataFrame:
+    """root_id, track_id of the roots and tendencies of one analysis: what all configurations are swept with."""
+    return profile.members
+
+
 def same_epochs(epochs: DataFrame, config: str = "config") -> DataFrame:
     """The epochs, or an error when configurations differ in them: the validity floor must not move epochs."""
     digests = epochs.groupBy(config).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("low", "high", "n_events")))), 256).alias("h"))

@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from listenlake import schema
-from listenlake.functions.keys import filled, text, uri_tail
+from listenlake.functions.keys import filled, folded, text, uri_tail
+from listenlake.operators import library
 from listenlake.functions.times import parse_iso, parse_long_date, parse_minutes
 
 
+SEQ = "struct<time:timestamp,file:string,block:bigint,row:bigint>"
+
+
 def or_empty(spark: SparkSession, read, ddl: str) -> DataFrame:
     """``read()``, or an empty frame where its path does not exist."""
     try:
@@ -64,21 +68,38 @@ def extended_history(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("seq", *event(uri_tail(uri), name, artist, text(F.col("master_metadata_album_album_name")), context), at.alias("played_at"), F.lit("spotify_extended").alias("source"), reason.alias("reason"), F.col("ts").alias("raw_time"))
 
 
-def account_history(spark: SparkSession, path: str, lookup: DataFrame | None = None) -> DataFrame:
-    """The thin play log; ids come from a lookup of unambiguous names."""
-    rows = json_array(spark, path, "endTime:string,artistName:string,trackName:string,msPlayed:string", "StreamingHistory_music_*.json")
+def account_history(spark: SparkSession, path: str, lookup: DataFrame | None = None, cutoff: DataFrame | None = None) -> DataFrame:
+    """The thin play log of a folder; see ``account_rows``."""
+    return account_rows(json_array(spark, path, "endTime:string,artistName:string,trackName:string,msPlayed:string", "StreamingHistory_music_*.json"), lookup, cutoff)
+
+
+def account_rows(rows: DataFrame, lookup: DataFrame | None = None, cutoff: DataFrame | None = None) -> DataFrame:
+    """Thin play log rows as events; ids come from a lookup of unambiguous names. ``cutoff`` (one row, cutoff): plays up to then are another export's and rejected as before_cutoff."""
     name, artist, at = text(F.col("trackName")), text(F.col("artistName")), parse_minutes(text(F.col("endTime")))
     reason = F.when((name == "") & (artist == ""), "no_identity").when(at.isNull(), "unparseable_timestamp")
     nothing = F.lit(None)
-    rows = rows.withColumn("name_key", F.lower(name)).withColumn("artist_key", F.lower(artist))
+    if cutoff is not None:
+        rows = rows.crossJoin(F.broadcast(cutoff.select("cutoff")))
+        reason = reason.when(at <= F.col("cutoff"), "before_cutoff")
+    rows = rows.withColumn("name_key", folded(name)).withColumn("artist_key", folded(artist))
     rows = rows.join(lookup.select("name_key", "artist_key", "spotify_id"), ["name_key", "artist_key"], "left") if lookup is not None else rows.withColumn("spotify_id", nothing.cast("string"))
     context = F.struct(whole_number(F.col("msPlayed")).alias("ms_played"), nothing.cast("boolean").alias("skipped"), nothing.cast("boolean").alias("incognito"), nothing.cast("string").alias("conn_country"))
     return rows.select("seq", *event(F.col("spotify_id"), name, artist, F.lit(""), context), at.alias("played_at"), F.lit("spotify_account").alias("source"), reason.alias("reason"), F.col("endTime").alias("raw_time"))
 
 
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def sheet_files(book: zipfile.ZipFile, tree: ElementTree.Element) -> list[str]:
+    """The files of the sheets in the workbook's own order, or by their numbers in a file without one."""
+    if "xl/_rels/workbook.xml.rels" not in book.namelist():
+        return sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+    places = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    targets = [places[s.get(_REL)] for s in tree.iter(f"{_MAIN}sheet")]
+    return [t.lstrip("/") if t.startswith("/") else f"xl/{t}" for t in targets]
+
+
 def sheet_rows(content: bytes) -> list[list[str | None]]:
     """The cells of the active sheet of an .xlsx file, as text."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -88,9 +109,8 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
         tree = ElementTree.fromstring(book.read("xl/workbook.xml"))
         view = next(tree.iter(f"{_MAIN}workbookView"), None)
         active = int(view.get("activeTab", 0)) if view is not None else 0
-        sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
         out = []
-        for row in ElementTree.fromstring(book.read(sheets[min(active, len(sheets) - 1)])).iter(f"{_MAIN}row"):
+        for row in ElementTree.fromstring(book.read(sheet_files(book, tree)[active])).iter(f"{_MAIN}row"):
             cells: dict[int, str | None] = {}
             for i, c in enumerate(row.iter(f"{_MAIN}c")):
                 letters = re.match(r"[A-Z]+", c.get("r") or "")
@@ -124,36 +144,41 @@ def accepted(rows: DataFrame) -> DataFrame:
     return rows.where("reason is null").drop("reason", "raw_time")
 
 
+def line_order() -> Column:
+    """seq of lines over several files: files by age, then the place in each. A file's splits are numbered in order, and so are the lines of a split."""
+    return F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq")
+
+
 def tsv(spark: SparkSession, path: str, columns: dict[str, int]) -> DataFrame:
     """Named columns of a raw dump table with ``seq``; blank and short rows are skipped, and the null mark is plain text."""
-    lines = or_empty(spark, lambda: spark.read.text(path), "value string").withColumn("seq", F.monotonically_increasing_id())
+    lines = or_empty(spark, lambda: spark.read.text(path).select("value", line_order()), f"value string, seq {SEQ}")
     parts = F.split("value", "\t")
     return lines.where(F.trim("value") != "").where(F.size(parts) > max(columns.values())).select("seq", *(parts[i].alias(c) for c, i in columns.items()))
 
 
 def index(spark: SparkSession, path: str, key: str, last_wins: bool = False) -> DataFrame:
-    """key, mbid of a commented two-column table: distinct pairs, or the last MBID of each key."""
+    """key, mbid of a commented two-column table: distinct pairs with where they came first, or the last MBID of each key."""
     rows = tsv(spark, path, {key: 0, "mbid": 1}).where(~F.col(key).startswith("#")).select("seq", F.trim(key).alias(key), F.trim("mbid").alias("mbid")).where(f"{key} <> '' and mbid <> ''")
     if last_wins:
         return rows.groupBy(key).agg(F.max_by("mbid", "seq").alias("mbid"))
-    return rows.select(key, "mbid").distinct()
+    return rows.groupBy(key, "mbid").agg(F.min("seq").alias("seq"))
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
     """Features by mbid; the last line of an mbid wins."""
     ddl = "mbid string, bpm double, energy double, valence double, danceability double, acousticness double, instrumentalness double"
-    rows = or_empty(spark, lambda: spark.read.schema(ddl).json(path), ddl).withColumn("seq", F.monotonically_increasing_id())
+    rows = or_empty(spark, lambda: spark.read.schema(ddl).json(path).select("*", line_order()), f"{ddl}, seq {SEQ}")
     return rows.where("mbid is not null").groupBy("mbid").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("mbid", "seq"))), "seq").alias("f")).select("mbid", "f.*", F.lit("acousticbrainz_dump").alias("source"))
 
 
 def store_records(spark: SparkSession, path: str) -> DataFrame:
-    rows = or_empty(spark, lambda: spark.read.schema(schema.RECORD).json(path), schema.RECORD).withColumn("seq", F.monotonically_increasing_id())
+    rows = or_empty(spark, lambda: spark.read.schema(schema.RECORD).json(path).select("*", line_order()), f"{schema.RECORD}, seq {SEQ}")
     return rows.where("track_id is not null").groupBy("track_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("track_id", "seq"))), "seq").alias("r")).select("track_id", "r.*")
 
 
 def raw_cache(spark: SparkSession, path: str) -> DataFrame:
     """mbid, scalars (JSON, null for a known miss); torn lines are skipped and the last line wins."""
-    lines = or_empty(spark, lambda: spark.read.text(path), "value string").withColumn("seq", F.monotonically_increasing_id())
+    lines = or_empty(spark, lambda: spark.read.text(path).select("value", line_order()), f"value string, seq {SEQ}")
     rows = lines.select("seq", F.get_json_object("value", "$.mbid").alias("mbid"), F.get_json_object("value", "$.scalars").alias("scalars")).where("mbid is not null")
     return rows.groupBy("mbid").agg(F.max_by(F.struct("scalars"), "seq").alias("s")).select("mbid", "s.scalars")
 
@@ -187,3 +212,46 @@ def playlists(spark: SparkSession, path: str) -> DataFrame:
 
 def marquee(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("artistName string, segment string").option("multiLine", True).json(path).select(F.col("artistName").alias("artist"), "segment")
+
+
+def identity_mbids(spark: SparkSession, path: str) -> DataFrame:
+    """mbid: the distinct MBIDs of a folder of identity cache files, sorted; files that don't parse or hold none are skipped."""
+    ddl = "mbid string, level string, _corrupt_record string"
+    rows = or_empty(spark, lambda: spark.read.schema(ddl).option("multiLine", True).option("pathGlobFilter", "*.json").json(path), ddl)
+    return rows.where(filled(F.col("mbid")).isNotNull() & F.col("_corrupt_record").isNull()).select("mbid").distinct().orderBy("mbid")
+
+
+def model_labels(spark: SparkSession, model_path: str) -> list[str]:
+    """The class labels in the JSON file beside a model file; none where it is missing or has none."""
+    path = re.sub(r"\.[^./]+$", "", model_path) + ".json"
+    rows = or_empty(spark, lambda: spark.read.option("wholetext", True).text(path), "value string")
+    found = rows.select(F.from_json("value", "classes array<string>")["classes"].alias("c")).first()
+    return list(found["c"] or []) if found else []
+
+
+def account_library(spark: SparkSession, path: str, now: Column, exported_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """One row: the whole library of an account export, each file optional; and its drop ledger (key, n)."""
+    nothing = spark.createDataFrame([], "key string, n bigint")
+    playlist = "seq struct<file:string,list_at:int,item_at:int>, playlist string, name string, artist string, album string, spotify_id string, added_at string"
+    lists = {n: f"seq int, {ddl.replace(':', ' ').replace(',', ', ')}" for n, ddl in LIBRARY.items()}
+
+    def part(name: str) -> DataFrame:
+        return or_empty(spark, lambda: library_lists(spark, f"{path}/YourLibrary.json")[name], lists[name])
+
+    items = or_empty(spark, lambda: playlists(spark, f"{path}/Playlist*.json"), playlist)
+    heard = or_empty(spark, lambda: marquee(spark, f"{path}/Marquee.json"), "artist string, segment string")
+    parts = {
+        "liked_tracks": part("tracks").select("seq", F.struct(uri_tail(F.col("uri")).alias("spotify_id"), text(F.col("track")).alias("name"), text(F.col("artist")).alias("artist"), filled(text(F.col("album"))).alias("album")).alias("x")),
+        "saved_albums": part("albums").select("seq", F.struct(filled(text(F.col("uri"))).alias("uri"), text(F.col("album")).alias("name"), text(F.col("artist")).alias("artist")).alias("x")),
+        "followed_artists": part("artists").select("seq", F.struct(filled(text(F.col("uri"))).alias("uri"), text(F.col("name")).alias("name")).alias("x")),
+        "banned_artists": part("bannedArtists").select("seq", F.struct(filled(text(F.col("uri"))).alias("uri"), text(F.col("name")).alias("name")).alias("x")),
+        "playlist_items": items.where("spotify_id is not null").select("seq", F.struct("playlist", "spotify_id", text(F.col("name")).alias("name"), text(F.col("artist")).alias("artist"), filled(text(F.col("album"))).alias("album"), filled(text(F.col("added_at"))).alias("added_at")).alias("x")),
+        "marquee": heard.select(F.struct("artist", "segment").alias("seq"), F.struct(text(F.col("artist")).alias("artist"), text(F.col("segment")).alias("segment")).alias("x")),
+    }
+    document = spark.range(1).select(F.lit("spotify_account").alias("source"), (exported_at if exported_at is not None else F.lit(None).cast("timestamp")).alias("exported_at"), now.alias("imported_at"))
+    for name, rows in parts.items():
+        one = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda r: r["x"]).alias(name))
+        document = document.crossJoin(one)
+    raw = or_empty(spark, lambda: library_lists(spark, f"{path}/YourLibrary.json")["root"], "root map<string,string>")
+    dropped = items.where("spotify_id is null").agg(F.count("*").alias("n")).where("n > 0").select(F.lit("non_track_playlist_uris").alias("key"), "n")
+    return document, nothing.unionByName(library.drop_ledger(raw, tuple(LIBRARY))).unionByName(dropped)

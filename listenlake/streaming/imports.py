@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listenlake import schema
 from listenlake.operators.plays import keep_first
+from listenlake.sources.readers import or_empty
 from listenlake.sources.sinks import replace
 
 
@@ -20,23 +21,35 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> D
 
 
 def merge_into(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch writer that merges into the history at ``path``; a batch that is seen again changes nothing."""
+    """A batch writer that appends to the history at ``path`` what it does not hold; a batch that is seen again changes nothing.
+
+    Of the history only the keys are read, and of a key that comes twice in a batch the
+    first row stays (by ``seq`` where the rows have one, else by time).
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("side", F.lit(1))
-        try:
-            both = spark.read.parquet(path).withColumn("side", F.lit(0)).unionByName(new)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            both = new
-        merged = keep_first(both.withColumn("merge_seq", F.struct("side", "played_at")), keys, "merge_seq").drop("side", "merge_seq")
-        replace(merged, path)
+        order = F.struct("seq") if "seq" in batch.columns else F.struct("played_at")
+        new = keep_first(batch.withColumn("merge_seq", order), keys, "merge_seq").drop("merge_seq")
+        held = or_empty(spark, lambda: spark.read.parquet(path), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"new.{k}").eqNullSafe(F.col(f"held.{k}"))
+        new.alias("new").join(held.select(*keys).alias("held"), same, "left_anti").write.mode("append").parquet(path)
 
     return merge
 
 
+def before_cutoff(events: DataFrame, cutoff, source: str = "spotify_account") -> DataFrame:
+    """Stream rows without those of ``source`` that are not later than ``cutoff``, as the batch import leaves them out."""
+    return events.where((F.col("source") != source) | (F.col("played_at") > cutoff))
+
+
+def compact(spark: SparkSession, path: str, files: int) -> None:
+    """Rewrite an appended history into few files; run it apart from the stream."""
+    replace(spark.read.parquet(path).repartition(files), path)
+
+
 def import_events(spark: SparkSession, source: str, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
     """Import all files there are, then stop."""
     return event_stream(spark, source).writeStream.foreachBatch(merge_into(path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
