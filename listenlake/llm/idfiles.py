@@ -8,7 +8,8 @@ plain id in the next word. Rows lie in ascending doc_id order over shards and
 rows; shards are written by tasks that any executor can run again.
 
 A null or empty text is a document of the end id alone. Rows that repeat are
-documents that repeat. An empty table gives an empty file.
+documents that repeat; null ids come first. An empty table gives an empty file;
+other columns are not read.
 """
 
 from __future__ import annotations

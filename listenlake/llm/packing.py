@@ -8,7 +8,8 @@ In a group, longest first, each piece goes where the sum over residual gaps
 of the squared number of open bins becomes smallest.
 
 A null or empty text is a document of the end id alone. Rows that repeat give
-pieces that repeat. An empty table gives no pieces.
+pieces that repeat, and a null id is an id like another. An empty table gives no
+pieces; other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ as is the share of symbols among the characters of words.
 
 Null and empty texts have no words and fail the base rules; repeated rows are
 judged alike; all columns of the input are kept, and the measures come in one
-struct column whose name never clashes.
+struct column whose name never clashes. An empty table gives no rows. Words and
+windows of words are told apart by 64-bit hashes within one text.
 """
 
 from __future__ import annotations
@@ -125,8 +126,9 @@ def measure(texts: list[bytes], rules: RepetitionRules) -> list[dict]:
     np.add.at(edge, at[twice] + 3, -1)
     repeat_words = np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=words.n_docs) if n else np.zeros(words.n_docs, int)
     covered, longest, spans = np.zeros(words.n_docs, np.int64), np.zeros(words.n_docs, np.int64), [[] for _ in texts]
-    if twice.any() and rules.min_repeat >= 3:
-        busy = np.flatnonzero(np.bincount(doc[at[twice]], minlength=words.n_docs))
+    # A repeat of three words or more holds a window found twice; shorter ones are looked for in all texts.
+    busy = np.flatnonzero(np.bincount(doc[at[twice]], minlength=words.n_docs)) if rules.min_repeat >= 3 else np.flatnonzero(words.count)
+    if len(busy):
         pick = np.flatnonzero(np.isin(doc, busy))
         _, levels = _suffix_levels(key[pick])
         p, length = _longest_at(levels, rules.min_repeat)

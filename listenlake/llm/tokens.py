@@ -7,7 +7,8 @@ few MB of texts at once, and encoded once per worker. All other texts, those
 that hold an added token, and files of any other shape go to the library whole.
 
 Null and empty texts have no tokens. Bytes that are not UTF-8 count as the
-replacement character.
+replacement character. An empty table gives no rows. A worker tells pre-tokens
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -225,6 +225,9 @@ def test_quality_rules(spark, odd, empty):
         inside = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
         assert (m["n_words"], m["n_repeat_words"]) == (len(w), len(inside))
         assert (m["covered_words"], m["longest_repeat"]) == plain_repeats(w, 8)
+        for least in (1, 2, 3):
+            few = repetition.measure([t.encode()], repetition.RepetitionRules(min_repeat=least))[0]
+            assert (few["covered_words"], few["longest_repeat"]) == plain_repeats(w, least)
     judged, name = repetition.quality_measures(odd.withColumn("quality", F.lit(1)))
     assert judged.count() == odd.count() and name != "quality"
     assert repetition.quality_measures(empty)[0].count() == 0
@@ -414,7 +417,74 @@ def test_default_radius_keeps_the_neighbours(spark, sf):
     assert set(found) == set(asked) and hit >= 0.95 * 20 * len(asked)
 
 
-def test_queries_run_on_the_smallest_tables(spark):
-    for name, f in queries.queries().items():
-        if name.startswith(("op3", "op4", "op6", "op10")):
-            assert f(spark, SF).count() > 0
+def test_queries_are_right_on_whole_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = texts_of(docs)
+    sets, spans = plain_sets(texts), plain_spans(texts)
+    label = plain_components(sets)
+    got = {r["doc_id"]: r for r in queries.op5_jaccard_join(spark, SF).collect()}
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == {d: (len(sets[d]), label[d]) for d in texts}
+    for r in queries.op2_suffix_dedup(spark, SF).collect():
+        t, own = texts[r["doc_id"]], spans[r["doc_id"]]
+        kept = suffixes.without(t, [a for a, _ in own], [b for _, b in own])
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), len(t) - len(kept), len(own), hashlib.sha256(kept).hexdigest())
+    byte, word = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    ids = {d: byte.encode(t.decode(), add_special_tokens=False).ids for d, t in texts.items()}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op7_token_counts(spark, SF).collect()} == {d: (len(texts[d]), len(x), len(x) > 1024) for d, x in ids.items()}
+    packed, rooms = queries.op8_best_fit_packing(spark, SF).collect(), collections.defaultdict(list)
+    for r in packed:
+        part = [*ids[r["doc_id"]], 0][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+        rooms[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = sum(len(x) + 1 for x in ids.values())
+    assert sum(r["length"] for r in packed) == total and len(rooms) <= 1.05 * total / 2048 + 1
+    assert all(sorted(v) == [(sum(n for _, n in sorted(v)[:k]), sorted(v)[k][1]) for k in range(len(v))] for v in rooms.values())
+    at, found = 0, {r["doc_id"]: r for r in queries.op9_token_id_output(spark, SF).collect()}
+    for d in sorted(texts):
+        x = [*word.encode(texts[d].decode(), add_special_tokens=False).ids, 1]
+        assert (found[d]["start"], found[d]["n_tokens"], found[d]["ids_crc32"]) == (at, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
+        at += len(x)
+    for r in queries.op10_quality_rules(spark, SF).collect():
+        w = texts[r["doc_id"]].translate(None, b"").split()
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        inside = {i + k for i in range(len(w) - 2) if grams[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
+        lines = [x for x in texts[r["doc_id"]].split(b"\n") if x.split()]
+        symbols = sum(texts[r["doc_id"]].count(c) for c in b"#*$%&|<>")
+        failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(len(x.decode()) for x in w), symbols, len(lines) - len(set(lines)), len(inside), failed)
+        if len(w) <= 400:
+            covered, longest = plain_repeats(w, 8)
+            assert r["kept"] == (not failed and 100 * covered <= 30 * len(w) and longest <= 120 and 100 * symbols <= 5 * r["word_chars"])
+    for name in ("op1_nearest_neighbours", "op3_chat_formatting", "op4_mixing", "op6_url_filters"):
+        assert queries.queries()[name](spark, SF).count() > 0
+
+
+def test_texts_of_a_megabyte_and_odd_tables(spark, empty):
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(150_000))
+    rows = [(3, long, 1), (7, long[:600_000] + " cut " + long[650_000:], 1), (9, long[700_000:700_400], 1), (None, long[:100], 1), (9, long[700_000:700_400], 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, raw int").withColumn("block", F.lit(1)).withColumn("span_doc", F.lit(2)).withColumn("text_sha", F.lit(3)).withColumn("mix_id", F.lit(4)).withColumn("size", F.lit(5)).withColumn("source", F.lit("s"))
+    texts = {r[0]: r[1].encode() for r in rows if r[0] is not None}
+    want = plain_spans(texts)
+    for r in suffixes.digests(df).where("doc_id is not null").collect():
+        own = want[r["doc_id"]]
+        assert (r["n_spans"], r["n_removed"]) == (len(own), sum(b - a for a, b in own))
+    cut = suffixes.remove_repeats(df)
+    assert cut.columns == df.columns and cut.count() == 5
+    label = plain_components(plain_sets(texts))
+    assert {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(df).where("doc_id is not null").collect()} == label
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    n = {d: len(library.encode(t.decode(), add_special_tokens=False).ids) for d, t in texts.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(df, path).where("doc_id is not null").collect()} == n
+    packed = packing.pack_documents(df, path).where("doc_id in (3, 7)").groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in packed} == {3: n[3] + 1, 7: n[7] + 1}
+    read = idfiles.ids_by_file(df, path).collect()
+    assert len(read) == 5 and sorted(r["n_tokens"] for r in read)[-2:] == sorted([n[3] + 1, n[7] + 1])
+    assert repetition.keep_good(df).columns == df.columns
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == df.columns and mixed.where("doc_id = 3").count() <= 3
+    for found in (mixing.mix_documents(empty), suffixes.remove_repeats(empty), shingles.keep_first(empty), repetition.keep_good(empty)):
+        assert found.columns == empty.columns and found.count() == 0
+    assert tokens.count_tokens(empty, path).count() == 0
