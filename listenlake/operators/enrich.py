@@ -50,7 +50,7 @@ def enrich_tags(records: DataFrame, *sources: DataFrame) -> DataFrame:
 
 def genre_tags(rows: DataFrame, fold=folded) -> DataFrame:
     """mbid, tag, weight of (mbid, kind, pos, name, count): each folded name once, genres before free tags."""
-    rank = F.row_number().over(Window.partitionBy("mbid", fold("name")).orderBy(F.when(F.col("kind") == "genre", 0).otherwise(1), "pos"))
+    rank = F.row_number().over(Window.partitionBy("mbid", fold(F.col("name"))).orderBy(F.when(F.col("kind") == "genre", 0).otherwise(1), "pos"))
     return rows.withColumn("rank", rank).where("rank = 1").select("mbid", F.col("name").alias("tag"), F.col("count").cast("double").alias("weight"))
 
 
