@@ -36,10 +36,10 @@ PLAYS = """plays AS (
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks in roots: the label of the vector with the same number."""
-    return table(spark, sf_dir, "embeddings").where("vec_id < 100").select(F.concat(F.lit("root-"), "label").alias("root_id"), F.format_string("t%03d", "vec_id").alias("track_id"))
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("root-"), "label").alias("root_id"), F.format_string("t%03d", "vec_id").alias("track_id"))
 
 
-MEMBERS = "members AS (SELECT 'root-' || label AS root_id, printf('t%03d', vec_id) AS track_id FROM embeddings WHERE vec_id < 100)"
+MEMBERS = "members AS (SELECT 'root-' || label AS root_id, printf('t%03d', vec_id) AS track_id FROM embeddings)"
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

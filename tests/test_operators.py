@@ -76,6 +76,16 @@ def test_kolmogorov_against_published_values():
     assert abs(epochs.kolmogorov_sf(0.05, 3000) - epochs.kolmogorov_sf(0.0499999, 3000)) < 1e-5
 
 
+@pytest.mark.parametrize(("d", "n"), [(0.03, 3990), (0.02, 5990), (0.01, 11990)])
+def test_kolmogorov_series_agrees_with_the_matrix(d, n):
+    assert abs(epochs.inside_series(d, n) - epochs.inside_matrix(d, n)) < 1e-8
+
+
+@pytest.mark.parametrize(("d", "n"), [(0.9, 5), (0.5, 17), (0.2, 101), (0.1, 402), (0.04, 2501)])
+def test_kolmogorov_tail_agrees_with_the_matrix(d, n):
+    assert abs(epochs.far_tail(d, n) - (1 - epochs.inside_matrix(d, n))) < 1e-9
+
+
 BASE = dict(candidate_id="c", category="audio", evidence_count=60, coverage=0.9, confidence=0.9, stability_score=0.9, n_unique=1001, span_days=181)
 
 
