@@ -269,8 +269,10 @@ def frequent_units(docs: DataFrame, text: str, spec: Broadcast, sample_docs: int
         h, size, n = zip(*top, strict=True) if top else ((), (), ())
         yield pa.RecordBatch.from_pydict({"unit": pa.array(np.array(h, np.uint64).view(np.int64)), "size": pa.array(size, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    top = picked.mapInArrow(count, "unit bigint, size bigint, n bigint").groupBy("unit", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(head_units).collect()
-    units, size = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
+    top = picked.mapInArrow(count, "unit bigint, size bigint, n bigint").groupBy("unit", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(head_units)
+    # As one row, so that executors merge the partitions' lists and the driver gets the result alone.
+    listed = top.agg(F.collect_list("unit").alias("units"), F.collect_list("size").alias("sizes")).first()
+    units, size = np.array(listed["units"], np.int64).view(np.uint64), np.array(listed["sizes"], np.int64)
     by = np.argsort(units)
     return units[by], size[by]
 
