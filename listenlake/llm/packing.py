@@ -2,8 +2,9 @@
 
 Every document is tokenised and closed by an end id; those longer than a
 sequence are cut into full pieces behind a first one that may be shorter.
-Pieces are dealt into groups of about ``group_size`` by a hash of their ids,
-so that one task packs a bounded number of them and only lengths travel.
+Pieces are dealt into groups of about ``group_size`` by a hash of their place in
+the stored table of pieces, so that one task packs a bounded number of them,
+whatever ids repeat, and only lengths travel.
 In a group, longest first, each piece goes where the sum over residual gaps
 of the squared number of open bins becomes smallest.
 
@@ -87,10 +88,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 def pack(cut_pieces: DataFrame, capacity: int = 2048, group_size: int = 131_072) -> DataFrame:
     """``cut_pieces`` (a table that is cheap to read twice) with sequence_id and the gapless offset in that sequence."""
     groups = max(1, -(-cut_pieces.count() // group_size))
-    spread = cut_pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
+    spread = cut_pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=rows["pack_group"] * (1 << 40) + bins, offset=offsets).drop(columns="pack_group")
 

@@ -182,6 +182,15 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_spreads_rows_without_ids(spark):
+    # Rows that are all alike, ids and texts, still go to many groups, and none is lost.
+    same = spark.range(400).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut = stored(packing.pieces(same, path, capacity=64), "pieces")
+    groups = packing.pack(cut, 64, group_size=40).groupBy(F.shiftright("sequence_id", 40).alias("g")).count().collect()
+    assert len(groups) > 5 and max(r["count"] for r in groups) < 100 and sum(r["count"] for r in groups) == 400
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70000), st.integers(0, 2**64 - 1)), max_size=2500))
 def test_words_round_trip(ids):
