@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# The floors, thresholds and defaults here and in the classes below.
 MIN_VALID_MS = 30_000
 TTL_DAYS = 90
 MIN_WINDOW_EVENTS = 5
