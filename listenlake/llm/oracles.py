@@ -88,6 +88,38 @@ SELECT k.page_id, k.host, k.path, k.rule, coalesce(k.ruled, CASE WHEN purity < 0
 FROM known k LEFT JOIN judged j ON k.host = j.host AND k.general = j.general
 """
 
+_OP13_ROUND = """
+near{0} AS MATERIALIZED (
+  SELECT row_, arg_min(c, d * 8 + c) AS c, min(d) AS d
+  FROM (SELECT v.row_, m.c, CAST(sum((v.x - m.x) * (v.x - m.x)) AS BIGINT) AS d FROM parts v JOIN mid{0} m USING (dim) GROUP BY ALL) GROUP BY row_),
+moved{0} AS (
+  SELECT n.c, dim, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM near{0} n JOIN parts USING (row_) GROUP BY ALL),
+mid{1} AS MATERIALIZED (
+  SELECT m.c, m.dim, CAST(coalesce((s - ((s % n) + n) % n) // n, m.x) AS BIGINT) AS x FROM mid{0} m LEFT JOIN moved{0} o ON o.c = m.c AND o.dim = m.dim),
+"""
+
+OP13 = (
+    """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS row_ FROM embeddings WHERE len(embedding) = 64),
+parts AS MATERIALIZED (
+  SELECT row_, dim, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM (SELECT row_, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM kept)
+  WHERE row_ NOT IN (SELECT row_ FROM (SELECT row_, unnest(embedding) AS x FROM kept) WHERE x IS NULL OR NOT isfinite(x))),
+first_ AS (
+  SELECT row_, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept WHERE row_ IN (SELECT row_ FROM parts) QUALIFY c < 8),
+mid0 AS MATERIALIZED (
+  SELECT c, dim, x FROM first_ JOIN parts USING (row_)),"""
+    + "".join(_OP13_ROUND.format(r, r + 1) for r in range(10))
+    + """last_ AS MATERIALIZED (
+  SELECT row_, arg_min(c, d * 8 + c) AS c, min(d) AS d
+  FROM (SELECT v.row_, m.c, CAST(sum((v.x - m.x) * (v.x - m.x)) AS BIGINT) AS d FROM parts v JOIN mid10 m USING (dim) GROUP BY ALL) GROUP BY row_),
+names AS (
+  SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM mid10 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM last_ JOIN kept USING (row_) JOIN names USING (c)
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3, "op4_mixing": OP4, "op6_url_filters": OP6}
+    return {"op3_chat_formatting": OP3, "op4_mixing": OP4, "op6_url_filters": OP6, "op13_centroid_clustering": OP13}

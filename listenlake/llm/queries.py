@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import ann, chat, idfiles, mixing, packing, repetition, shingles, suffixes, tokens, urls
-from listenlake.llm.common import stored, table
+from listenlake.llm import ann, centroids, chat, classifier, idfiles, mixing, packing, periods, repetition, shingles, suffixes, tokens, urls
+from listenlake.llm.common import WORD, stored, table
 
 #: The rules of op6_url_filters: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -67,5 +67,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"{out}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "base_failed", "kept")))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where the CRC-32 of the id ends in 0, words from a place on repeat a period, both set by the other digits."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+
+    def repeat(w):
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
+        at = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(at, lambda i: F.get(w, i)), " "))
+
+    # A list of one binds the words, which would be split again for each place otherwise.
+    return docs.select("doc_id", F.when(h % 10 == 0, F.get(F.transform(F.array(words), repeat), 0)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, out = periods.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform(f"{out}.runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    said = F.array_join(F.transform(f"{out}.runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size(f"{out}.runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(said, 256).alias("runs_sha256"), F.sha2(f"{out}.collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"), F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    taught = table(spark, sf_dir, "labels").where(~classifier.held_out("doc_id")).select("doc_id", F.col("quality").alias("label"))
+    judged, out = classifier.scored(docs, classifier.train(docs, taught))
+    return judged.select("doc_id", classifier.held_out("doc_id").alias("held_out"), F.col(out).alias("score"), (F.col(out) >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, final = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return centroids.with_inertia(assigned, final).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
