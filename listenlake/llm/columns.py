@@ -13,6 +13,8 @@ from listenlake.llm.common import BATCH_BYTES, batches, mix, runs
 
 #: Entries gathered by one block of columns.
 BLOCK_ENTRIES = 1 << 21
+#: Entries that a task holds before it hands them to blocks.
+TASK_ENTRIES = 1 << 20
 #: Parts in which a block is sorted; a power of two.
 SLIVERS = 16
 
@@ -35,8 +37,9 @@ def shared_columns(rows: DataFrame, columns_of: Callable[[pa.RecordBatch, list[b
     """key, shared (how many of its columns another key has too, at most) and those columns in ``short`` form (binary).
 
     ``rows`` ends with a binary text column; ``columns_of`` gives the sorted distinct
-    columns of each key of a batch. Columns that two keys of a slice share are settled
-    there, so a column of every document is one entry per slice.
+    columns of each key of a batch; rows of one key have equal texts. Slices are held
+    together to TASK_ENTRIES entries in a task; columns that two keys of these share are
+    settled there, so a column of every document is one entry for each of them.
     """
     shift, at, names = shift_for(blocks), len(rows.columns) - 1, ["block", "keys", "counts", "columns", "common"]
 
@@ -44,31 +47,39 @@ def shared_columns(rows: DataFrame, columns_of: Callable[[pa.RecordBatch, list[b
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys, counts.astype(np.uint32), columns, common))], names)
 
     def gather(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
         for part, texts in batches(arrow, at, BATCH_BYTES):
-            by_key = {k: x for k, x in columns_of(part, texts).items() if len(x)}
-            if not by_key:
-                continue
-            keys = np.array(list(by_key), np.uint64)
-            owner = np.repeat(np.arange(len(keys)), [len(x) for x in by_key.values()])
-            column = np.concatenate(list(by_key.values()))
-            order = np.argsort(column, kind="stable")
-            column, owner = column[order], owner[order]
-            new = np.ones(len(column), bool)
-            new[1:] = column[1:] != column[:-1]
-            alone = new & np.append(new[1:], True)
-            known = packed(keys[owner[~alone]], short(column[~alone], blocks))
-            for b, k, c in known.itertuples(index=False):
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - b], pa.int64()), *(pa.array([x], pa.binary()) for x in (k, b"", c, b""))], names)
-            common, column, owner = column[new & ~alone], column[alone], owner[alone]
-            by = np.lexsort((owner, column >> shift))
-            column, owner = column[by], owner[by]
-            edges = np.arange(blocks + 1, dtype=np.uint64)
-            cut, cut_common = np.searchsorted(column >> shift, edges), np.searchsorted(common >> shift, edges)
-            for b in range(blocks):
-                mine, more = slice(cut[b], cut[b + 1]), common[cut_common[b] : cut_common[b + 1]]
-                if mine.stop > mine.start or len(more):
-                    who, n = np.unique(owner[mine], return_counts=True)
-                    yield row(b, keys[who], n, column[mine].astype(np.uint32), more.astype(np.uint32))
+            new = {k: x for k, x in columns_of(part, texts).items() if len(x) and k not in held}
+            held |= new
+            size += sum(map(len, new.values()))
+            if size >= TASK_ENTRIES:
+                yield from settle(held)
+                held, size = {}, 0
+        if held:
+            yield from settle(held)
+
+    def settle(by_key: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = np.array(list(by_key), np.uint64)
+        owner = np.repeat(np.arange(len(keys)), [len(x) for x in by_key.values()])
+        column = np.concatenate(list(by_key.values()))
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        new = np.ones(len(column), bool)
+        new[1:] = column[1:] != column[:-1]
+        alone = new & np.append(new[1:], True)
+        known = packed(keys[owner[~alone]], short(column[~alone], blocks))
+        for b, k, c in known.itertuples(index=False):
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - b], pa.int64()), *(pa.array([x], pa.binary()) for x in (k, b"", c, b""))], names)
+        common, column, owner = column[new & ~alone], column[alone], owner[alone]
+        by = np.lexsort((owner, column >> shift))
+        column, owner = column[by], owner[by]
+        # Only blocks that have entries here: their number does not follow that of all blocks.
+        edges = np.union1d(column >> shift, common >> shift)
+        cut, cut_common = ((np.searchsorted(x >> shift, edges), np.searchsorted(x >> shift, edges, side="right")) for x in (column, common))
+        for b, low, high, first, last in zip(edges.tolist(), *cut, *cut_common, strict=True):
+            who, n = np.unique(owner[low:high], return_counts=True)
+            yield row(b, keys[who], n, column[low:high].astype(np.uint32), common[first:last].astype(np.uint32))
 
     def count(block: pd.DataFrame) -> pd.DataFrame:
         number = int(block["block"].iloc[0])

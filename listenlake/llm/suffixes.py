@@ -21,8 +21,8 @@ stay whole when shorter than that; the first of each takes part in what follows.
 
 Hashes only propose what may be equal: stretches are compared byte by byte, and
 whole texts by SHA-256. Null texts are empty. A null id is smaller than none and
-keeps its text. Rows that repeat with one id are one document, so none of them
-removes the other. An empty table gives no rows; columns of any name stay.
+keeps its text. Rows with one id remove nothing from each other, and each of their
+texts is judged alone: what goes from one stays in another. An empty table gives no rows; columns of any name stay.
 """
 
 from __future__ import annotations
@@ -229,8 +229,8 @@ def whole_groups(ordered: np.ndarray, most: int) -> Iterator[slice]:
         yield slice(low, len(ordered))
 
 
-def covered(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.ndarray, size: np.ndarray, memory: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents and byte spans that a smaller document covers, among stretches around anchors."""
+def covered(hashes: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, lead: np.ndarray, size: np.ndarray, memory: bytes) -> tuple[np.ndarray, ...]:
+    """Documents, keys of their texts and byte spans that a smaller document covers, among stretches around anchors."""
     at = np.cumsum(size) - size
     # Stretches of one anchor are suffixes to be sorted against each other.
     kind = np.unique(sorted_classes(memory, at, size, groups(lead, hashes)[0]), return_inverse=True)[1]
@@ -238,7 +238,7 @@ def covered(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.nda
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, kind, doc)
     gone = doc > least[kind]
-    spans = [(doc[gone], start[gone], start[gone] + size[gone])]
+    spans = [(doc[gone], key[gone], start[gone], start[gone] + size[gone])]
     first = np.full(n, -1)
     stay = np.flatnonzero(~gone)
     first[kind[stay]] = stay
@@ -265,28 +265,28 @@ def covered(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.nda
         least_window = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least_window, same, doc[own])
         hit = doc[own] > least_window[same]
-        rows = pd.DataFrame({"kind": kind[own[hit]], "shift": shift[hit]}).merge(pd.DataFrame({"kind": kind[stay], "doc": doc[stay], "start": start[stay]}), on="kind")
+        rows = pd.DataFrame({"kind": kind[own[hit]], "shift": shift[hit]}).merge(pd.DataFrame({"kind": kind[stay], "doc": doc[stay], "key": key[stay], "start": start[stay]}), on="kind")
         low = (rows["start"] + rows["shift"]).to_numpy()
-        spans.append(merged(rows["doc"].to_numpy(), low, low + LENGTH))
+        spans.append(merged(rows["doc"].to_numpy(), rows["key"].to_numpy(), low, low + LENGTH))
     return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
 
 
-def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal spans: those that overlap or touch become one."""
-    by = np.lexsort((low, doc))
-    doc, low, high = doc[by], low[by], high[by]
+def merged(doc: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Maximal spans of each text (document and key): those that overlap or touch become one."""
+    by = np.lexsort((low, key, doc))
+    doc, key, low, high = doc[by], key[by], low[by], high[by]
     if not len(doc):
-        return doc, low, high
-    own = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
+        return doc, key, low, high
+    own = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) - 1
     wide = int(high.max()) + 1
     reach = np.maximum.accumulate(high + own * wide)
     new = np.append(True, low[1:] + own[1:] * wide > reach[:-1])
     edge = np.flatnonzero(new)
-    return doc[edge], low[edge], reach[np.append(edge[1:], len(doc)) - 1] - own[edge] * wide
+    return doc[edge], key[edge], low[edge], reach[np.append(edge[1:], len(doc)) - 1] - own[edge] * wide
 
 
-SPANS = "bucket bigint, docs binary, lows binary, highs binary"
-STRETCHES = "block bigint, hashes binary, docs binary, starts binary, leads binary, sizes binary, memory binary"
+SPANS = "bucket bigint, docs binary, keys binary, lows binary, highs binary"
+STRETCHES = "block bigint, hashes binary, docs binary, keys binary, starts binary, leads binary, sizes binary, memory binary"
 
 
 def _rows(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -296,10 +296,10 @@ def _rows(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[
         yield int(bucket[a]), [c[by[a:b]] for c in columns]
 
 
-def span_rows(doc: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> dict[str, list]:
-    doc, low, high = merged(doc, low, high)
-    out = {"bucket": [], "docs": [], "lows": [], "highs": []}
-    for b, parts in _rows((mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), doc, low, high):
+def span_rows(doc: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> dict[str, list]:
+    doc, key, low, high = merged(doc, key, low, high)
+    out = {"bucket": [], "docs": [], "keys": [], "lows": [], "highs": []}
+    for b, parts in _rows((mix(doc.astype(np.uint64) ^ mix(key.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), doc, key, low, high):
         for name, x in zip(out, (b, *(x.astype(np.int64).tobytes() for x in parts)), strict=True):
             out[name].append(x)
     return out
@@ -322,23 +322,23 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame,
 
     whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.sha2(raw, 256).alias("sha"), raw.alias("raw"))
     found = shared_columns(whole.where(f"octet_length(raw) >= {LENGTH}").select(key.alias("key"), "raw"), columns_of, blocks)
-    first = stored(classes.where(f"n_bytes >= {LENGTH} and rep is not null").withColumn("key", key).join(found, "key").select(F.col("rep").alias("doc_id"), "sha", "shared", "columns"), "shared")
+    first = stored(classes.where(f"n_bytes >= {LENGTH} and rep is not null").withColumn("key", key).join(found, "key").select(F.col("rep").alias("doc_id"), "sha", "key", "shared", "columns"), "shared")
     pieces = blocks_for(first.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0], 1 << 15)
 
     def stretch(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = shift_for(pieces)
-        for part, texts in batches(arrow, 2, BATCH_BYTES):
-            ids = np.array(part.column(0).to_pylist(), np.int64)
+        for part, texts in batches(arrow, 3, BATCH_BYTES):
+            ids, keys = (np.array(part.column(c).to_pylist(), np.int64) for c in (0, 1))
             text_of, low, high, anchor, hashes = anchors(texts)
             names, cut, keep = short(hashes, blocks), np.searchsorted(text_of, np.arange(len(texts) + 1)), np.zeros(len(hashes), bool)
-            for i, c in enumerate(part.column(1).to_pylist()):
+            for i, c in enumerate(part.column(2).to_pylist()):
                 keep[cut[i] : cut[i + 1]] = np.isin(names[cut[i] : cut[i + 1]], np.frombuffer(c, np.uint64))
             text_of, low, high, anchor, hashes = (x[keep] for x in (text_of, low, high, anchor, hashes))
             if not len(low):
                 continue
             base = np.cumsum([0, *map(len, texts)])[:-1][text_of]
             memory = np.frombuffer(b"".join(texts), np.uint8)
-            doc, lead, size = ids[text_of], anchor - low, high - low + LENGTH
+            doc, key, lead, size = ids[text_of], keys[text_of], anchor - low, high - low + LENGTH
             content = span_hashes(memory, base + low, base + low + size)
             kind, _ = groups(content, lead, hashes)
             by = np.lexsort((doc, kind))
@@ -346,31 +346,32 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame,
             gone = doc > doc[least]
             # A hash only proposes what is equal; what differs in a byte stays and is sorted.
             gone[gone] = (size[gone] == size[least[gone]]) & same_bytes(memory, (base + low)[gone], (base + low)[least[gone]], np.minimum(size[gone], size[least[gone]]))
-            spans = span_rows(doc[gone], low[gone], (low + size)[gone], pieces)
-            for b, d, x, y in zip(*spans.values(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - b], pa.int64()), pa.array([b""]), *(pa.array([v], pa.binary()) for v in (d, x, y, b"", b""))], names_of)
+            spans = span_rows(doc[gone], key[gone], low[gone], (low + size)[gone], pieces)
+            for b, d, t, x, y in zip(*spans.values(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - b], pa.int64()), pa.array([b""]), *(pa.array([v], pa.binary()) for v in (d, t, x, y, b"", b""))], names_of)
             stay = np.flatnonzero(~gone)
-            for b, (h, d, s, k, z, g) in _rows((hashes[stay] >> shift).astype(np.int64), hashes[stay], doc[stay], low[stay], lead[stay], size[stay], (base + low)[stay]):
+            for b, (h, d, t, s, k, z, g) in _rows((hashes[stay] >> shift).astype(np.int64), hashes[stay], doc[stay], key[stay], low[stay], lead[stay], size[stay], (base + low)[stay]):
                 at = np.repeat(g - np.cumsum(z) + z, z) + np.arange(int(z.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (h, d, s.astype(np.int64), k.astype(np.uint8), z.astype(np.uint8), memory[at]))], names_of)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (h, d, t, s.astype(np.int64), k.astype(np.uint8), z.astype(np.uint8), memory[at]))], names_of)
 
-    names_of = ["block", "hashes", "docs", "starts", "leads", "sizes", "memory"]
+    names_of = ["block", "hashes", "docs", "keys", "starts", "leads", "sizes", "memory"]
 
     def resolve(block: pd.DataFrame) -> pd.DataFrame:
         number = int(block["block"].iloc[0])
         if number < 0:  # spans settled in their slice
-            return pd.DataFrame({"bucket": [-1 - number], "docs": [b"".join(block["docs"])], "lows": [b"".join(block["starts"])], "highs": [b"".join(block["leads"])]})
-        parts = [np.concatenate([np.frombuffer(x, t) for x in block[c]]) for c, t in (("hashes", np.uint64), ("docs", np.int64), ("starts", np.int64), ("leads", np.uint8), ("sizes", np.uint8))]
-        return pd.DataFrame(span_rows(*covered(parts[0], parts[1], parts[2], parts[3].astype(np.int64), parts[4].astype(np.int64), b"".join(block["memory"])), pieces))
+            return pd.DataFrame({"bucket": [-1 - number], "docs": [b"".join(block["docs"])], "keys": [b"".join(block["keys"])], "lows": [b"".join(block["starts"])], "highs": [b"".join(block["leads"])]})
+        parts = [np.concatenate([np.frombuffer(x, t) for x in block[c]]) for c, t in (("hashes", np.uint64), ("docs", np.int64), ("keys", np.int64), ("starts", np.int64), ("leads", np.uint8), ("sizes", np.uint8))]
+        return pd.DataFrame(span_rows(*covered(*parts[:4], parts[4].astype(np.int64), parts[5].astype(np.int64), b"".join(block["memory"])), pieces))
 
     def gather(bucket: pd.DataFrame) -> pd.DataFrame:
-        doc, low, high = merged(*(np.concatenate([np.frombuffer(x, np.int64) for x in bucket[c]]) for c in ("docs", "lows", "highs")))
-        edge, ends = runs(doc)
-        return pd.DataFrame({"doc_id": doc[edge], "lows": [low[a:b] for a, b in zip(edge, ends, strict=True)], "highs": [high[a:b] for a, b in zip(edge, ends, strict=True)]})
+        doc, key, low, high = merged(*(np.concatenate([np.frombuffer(x, np.int64) for x in bucket[c]]) for c in ("docs", "keys", "lows", "highs")))
+        edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[: len(doc)])
+        ends = np.append(edge[1:], len(doc))
+        return pd.DataFrame({"doc_id": doc[edge], "key": key[edge], "lows": [low[a:b] for a, b in zip(edge, ends, strict=True)], "highs": [high[a:b] for a, b in zip(edge, ends, strict=True)]})
 
-    texts = whole.join(first.select("doc_id", "sha", "columns"), ["doc_id", "sha"]).select("doc_id", "columns", "raw")
+    texts = whole.join(first.select("doc_id", "sha", "columns"), ["doc_id", "sha"]).select("doc_id", key.alias("key"), "columns", "raw")
     inside = texts.mapInArrow(stretch, STRETCHES).groupBy("block").applyInPandas(resolve, SPANS)
-    spans = inside.groupBy("bucket").applyInPandas(gather, "doc_id bigint, lows array<bigint>, highs array<bigint>").join(first.select("doc_id", "sha"), "doc_id")
+    spans = inside.groupBy("bucket").applyInPandas(gather, "doc_id bigint, key bigint, lows array<bigint>, highs array<bigint>").join(first.select("doc_id", "key", "sha"), ["doc_id", "key"]).drop("key")
     copies = known.join(classes.select("sha", "rep"), "sha").where(f"doc_id > rep and n_bytes >= {LENGTH}").select("doc_id", F.array(F.lit(0).cast("bigint")).alias("lows"), F.array("n_bytes").alias("highs"), "sha").distinct()
     return stored(spans.unionByName(copies), "spans"), known
 
