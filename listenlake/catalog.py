@@ -345,7 +345,7 @@ def sample_tracks(spark, sf_dir):
 
 @query()
 def audio_clusters(spark, sf_dir):
-    found = audio.cluster(records(spark, sf_dir).withColumn("user_id", F.lit(1)), AudioParams(min_cluster_size=20, min_samples=5))
+    found = audio.cluster(records(spark, sf_dir), AudioParams(min_cluster_size=20, min_samples=5))
     return found.select("track_id", F.col("cluster").alias("found"), F.round("probability", 6).alias("probability"))
 
 
@@ -412,7 +412,7 @@ def top_artists(spark, sf_dir):
 @query()
 def scene_topics(spark, sf_dir):
     tags = doc_tags(spark, sf_dir).withColumn("doc", F.col("doc").cast("string"))
-    found = scene.factor(tags.withColumn("user_id", F.lit(1)))
+    found = scene.factor(tags)
     return found.select("k", "part", "topic", "name", F.round("weight", 3).alias("weight"))
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlake.functions.keys import band
 from listenlake.functions.times import micros
+from listenlake.operators.density import DensityParams, density_clusters
 from listenlake.operators.temporal import balance, midpoint
 from listenlake.params import AudioParams
+from listenlake.shared import stored
 
 
 def has_all(dims: tuple[str, ...]) -> Column:
@@ -29,118 +29,15 @@ def zscores(records: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     return wide.drop(*(f"{k}_{d}" for d in dims for k in ("mean", "std")))
 
 
-def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labels (-1 for noise) and membership strengths: mutual reachability, minimum spanning tree, condensed tree, excess of mass.
-
-    A point counts as its own neighbour, and the whole set is no cluster. Memory grows with n, time with n squared.
-    """
-    n = len(x)
-    label, strength = np.full(n, -1), np.zeros(n)
-    if n < max(2, min_cluster_size):
-        return label, strength
-    k = min(min_samples, n) - 1
-    core = np.array([np.partition(np.sqrt(((x - p) ** 2).sum(1)), k)[k] for p in x])
-    best, source, inside = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        inside[at] = True
-        reach = np.maximum(np.maximum(core, core[at]), np.sqrt(((x - x[at]) ** 2).sum(1)))
-        closer = ~inside & (reach < best)
-        best[closer], source[closer] = reach[closer], at
-        at = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[at], source[at], at))
-    edges.sort(key=lambda e: e[0])
-    parent, size = list(range(2 * n - 1)), [1] * n + [0] * (n - 1)
-    left, right, height = [0] * (n - 1), [0] * (n - 1), [0.0] * (n - 1)
-
-    def top(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    for i, (d, a, b) in enumerate(edges):
-        a, b, new = top(a), top(b), n + i
-        parent[a] = parent[b] = new
-        left[i], right[i], height[i], size[new] = a, b, d, size[a] + size[b]
-
-    def points(v: int) -> list[int]:
-        out, stack = [], [v]
-        while stack:
-            v = stack.pop()
-            if v < n:
-                out.append(v)
-            else:
-                stack += [left[v - n], right[v - n]]
-        return out
-
-    birth, children, mass, lambdas = {0: 0.0}, {0: []}, {0: 0.0}, {0: {}}
-    stack = [(2 * n - 2, 0)]
-    while stack:
-        v, c = stack.pop()
-        lam = 1 / height[v - n] if height[v - n] > 0 else np.inf
-        parts = [left[v - n], right[v - n]]
-        big = [w for w in parts if size[w] >= min_cluster_size]
-        if len(big) == 2:
-            for w in parts:
-                new = len(birth)
-                birth[new], children[new], mass[new], lambdas[new] = lam, [], 0.0, {}
-                children[c].append(new)
-                mass[c] += (lam - birth[c]) * size[w] if lam != birth[c] else 0.0
-                if w >= n:
-                    stack.append((w, new))
-                else:
-                    lambdas[new][w] = lam
-            continue
-        for w in parts:
-            if w in big and w >= n:
-                stack.append((w, c))
-                continue
-            for p in points(w):
-                lambdas[c][p] = lam
-                mass[c] += lam - birth[c] if lam != birth[c] else 0.0
-    chosen = {c: False for c in birth}
-    for c in sorted(birth, reverse=True):
-        if c == 0:
-            continue
-        below = sum(mass[k] for k in children[c])
-        if children[c] and below > mass[c]:
-            mass[c] = below
-        else:
-            chosen[c] = True
-            drop = list(children[c])
-            while drop:
-                k = drop.pop()
-                chosen[k] = False
-                drop += children[k]
-    for name, c in enumerate(c for c in sorted(birth) if chosen[c]):
-        inner, own = [c], {}
-        while inner:
-            k = inner.pop()
-            own |= lambdas[k]
-            inner += children[k]
-        peak = max(own.values())
-        for p, lam in own.items():
-            label[p], strength[p] = name, 1.0 if peak in (0, np.inf) and lam == peak else (0.0 if np.isinf(peak) else min(lam, peak) / peak)
-    return label, strength
-
-
-def cluster(records: DataFrame, params: AudioParams = AudioParams(), by: str = "user_id") -> DataFrame:
-    """Clusterable records (all cluster dims) with z-scores, cluster (-1 for noise) and probability, one fit per ``by``."""
+def cluster(records: DataFrame, params: AudioParams = AudioParams(), density: DensityParams = DensityParams()) -> DataFrame:
+    """Clusterable records (all cluster dims) with z-scores, cluster (-1 for noise, numbered by the least track) and probability, all in one fit."""
     dims = params.cluster_features
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("track_id", ignore_index=True)
-        x = rows[list(dims)].to_numpy(float)
-        std = x.std(0)
-        z = (x - x.mean(0)) / np.where(std == 0, 1, std)
-        label, strength = hdbscan(z, params.min_cluster_size, params.min_samples)
-        return rows.assign(cluster=label, probability=strength, **{f"z_{d}": z[:, i] for i, d in enumerate(dims)})
-
     usable = records.drop("cluster", "probability", *(f"z_{d}" for d in dims)).where(has_all(dims))
-    extra = ", ".join(f"z_{d} double" for d in dims)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in usable.schema.fields)
-    return usable.groupBy(by).applyInPandas(fit, f"{schema}, cluster bigint, probability double, {extra}")
+    # Stored, so that a vector is the same number whenever it is read.
+    wide = stored(zscores(usable, dims).withColumn("zs", F.array(*(F.col(f"z_{d}") + F.lit(0.0) for d in dims))), "zscores")
+    found = density_clusters(wide.select(F.col("track_id").alias("id"), F.col("zs").alias("x")), params.min_cluster_size, params.min_samples, density)
+    joined = wide.join(found.withColumnRenamed("x", "zs"), "zs", "left")
+    return joined.select(*usable.columns, F.coalesce("cluster", F.lit(-1).cast("bigint")).alias("cluster"), F.coalesce("strength", F.lit(0.0)).alias("probability"), *(f"z_{d}" for d in dims))
 
 
 def describe(clustered: DataFrame, plays: DataFrame, params: AudioParams = AudioParams()) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlake.functions.keys import folded
+from listenlake.operators.factors import FactorParams, factor_table
 from listenlake.params import SceneParams
 
 # Stop tags, version 1.
@@ -107,56 +106,9 @@ def coherence_log(scored: DataFrame, top: DataFrame, floor: float) -> DataFrame:
     return low.select(F.concat(F.lit("q-scene-"), F.col("topic").cast("string")).alias("candidate_id"), F.lit("scene").alias("category"), F.lit("coherence_floor").alias("failed_test"), details.alias("details"))
 
 
-def nmf(x: np.ndarray, k: int, max_iter: int, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative factors by coordinate descent from a doubly non-negative SVD start; deterministic."""
-    u, s, v = np.linalg.svd(x, full_matrices=False)
-    w, h = np.zeros((x.shape[0], k)), np.zeros((k, x.shape[1]))
-    for j in range(min(k, len(s))):
-        a, b = u[:, j], v[j]
-        if j == 0:
-            w[:, 0], h[0] = np.sqrt(s[0]) * np.abs(a), np.sqrt(s[0]) * np.abs(b)
-            continue
-        parts = [(np.maximum(a, 0), np.maximum(b, 0)), (np.maximum(-a, 0), np.maximum(-b, 0))]
-        size = [np.linalg.norm(p) * np.linalg.norm(q) for p, q in parts]
-        p, q = parts[int(size[1] > size[0])]
-        if max(size) > 0:
-            scale = np.sqrt(s[j] * max(size))
-            w[:, j], h[j] = scale * p / np.linalg.norm(p), scale * q / np.linalg.norm(q)
-    first = None
-    for _ in range(max_iter):
-        moved = 0.0
-        for a, b, target in ((w, h.T, x), (h.T, w, x.T)):
-            gram, cross = b.T @ b, target @ b
-            for j in range(k):
-                gradient = a @ gram[:, j] - cross[:, j]
-                held = np.where(a[:, j] == 0, np.minimum(0, gradient), gradient)
-                moved += np.abs(held).sum()
-                if gram[j, j] > 0:
-                    a[:, j] = np.maximum(a[:, j] - gradient / gram[j, j], 0)
-        first = moved if first is None else first
-        if first == 0 or moved / first <= tol:
-            break
-    return w, h
-
-
-def factor(tags: DataFrame, params: SceneParams = SceneParams(), by: str = "user_id") -> DataFrame:
-    """One fit per user and K: rows (user, k, part, topic, name, weight), part 'doc' or 'tag'. A user's track-by-tag matrix has to fit in a worker."""
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        docs, names = sorted(rows["doc"].unique()), sorted(rows["tag"].unique())
-        x = np.zeros((len(docs), len(names)))
-        x[pd.Index(docs).get_indexer(rows["doc"]), pd.Index(names).get_indexer(rows["tag"])] = rows["weight"]
-        out = []
-        for k in params.k_grid:
-            if not 1 <= k <= min(x.shape):
-                continue
-            w, h = nmf(x, k, params.max_iter)
-            for part, labels, m in (("doc", docs, w.T), ("tag", names, h)):
-                topic, at = np.nonzero(m)
-                out.append(pd.DataFrame({by: rows[by].iloc[0], "k": k, "part": part, "topic": topic, "name": np.array(labels, object)[at], "weight": m[topic, at]}))
-        return pd.concat(out) if out else pd.DataFrame({by: pd.Series(dtype=rows[by].dtype), "k": pd.Series(dtype="int64"), "part": pd.Series(dtype=object), "topic": pd.Series(dtype="int64"), "name": pd.Series(dtype=object), "weight": pd.Series(dtype=float)})
-
-    return tags.groupBy(by).applyInPandas(fit, f"{by} {tags.schema[by].dataType.simpleString()}, k bigint, part string, topic bigint, name string, weight double")
+def factor(tags: DataFrame, params: SceneParams = SceneParams(), factors: FactorParams = FactorParams()) -> DataFrame:
+    """Rows (k, part, topic, name, weight) for every K of the grid, part 'doc' or 'tag'."""
+    return factor_table(tags, params.k_grid, params.max_iter, factors)
 
 
 def assign(doc_weights: DataFrame) -> DataFrame:

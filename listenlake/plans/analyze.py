@@ -62,14 +62,14 @@ def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_par
     facts = F.broadcast(plays.facts(listened).select("n_unique", "span_days"))
     found, members, described_by, low = [], [], [], None
     if inputs.records is not None and "bpm" in inputs.records.columns:
-        clusters = cut(audio.cluster(inputs.records.withColumn("user_id", F.lit(1)), audio_params))
+        clusters = cut(audio.cluster(inputs.records, audio_params))
         described = cut(audio.describe(clusters, listened, audio_params))
         found.append(described.select(*COLUMNS))
         described_by.append(described.select("candidate_id", F.to_json(F.struct(*(c for c in described.columns if c not in COLUMNS))).alias("descriptor")))
         members.append(clusters.join(described.select("cluster", "candidate_id"), "cluster").select(F.col("candidate_id").alias("root_id"), "track_id"))
     if inputs.tags is not None:
         tags = cut(scene.doc_tags(inputs.tags))
-        weights = cut(scene.factor(tags.withColumn("user_id", F.lit(1)), scene_params))
+        weights = cut(scene.factor(tags, scene_params))
         top = cut(scene.top_tags(weights.where("part = 'tag'").select(F.struct("k", "topic").alias("topic"), F.col("name").alias("tag"), "weight"), scene_params.top_tags))
         scored = cut(scene.coherence(top.select("topic", "tag"), tags).select("topic.k", F.col("topic.topic").alias("topic"), "coherence"))
         chosen = F.broadcast(scene.best_k(scored, scene_params.coherence_floor).select("k"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listenlake.functions import keys, times
-from listenlake.operators import audio, enrich, epochs, identity, library, plays, scene, store, temporal, validate
+from listenlake.operators import audio, density, enrich, epochs, factors, identity, library, plays, scene, store, temporal, validate
 from listenlake.params import AudioParams, EpochParams, SceneParams, TemporalParams, ValidationParams
 from listenlake.plans import sweep
 from listenlake.sources import readers, sinks
@@ -110,19 +110,21 @@ def test_classifier(spark, change, verdict, failed):
     assert got["verdict"] == verdict and got["failed_tests"] == failed
 
 
-def test_two_blobs_are_two_clusters():
+def test_two_blobs_are_two_clusters(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 0.1, (6, 4)), rng.normal(3, 0.1, (6, 4))])
-    label, strength = audio.hdbscan(x, 5, 2)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id bigint, x array<double>")
+    got = {tuple(r["x"]): r for r in density.density_clusters(df, 5, 2).collect()}
+    label = [got[tuple(p)]["cluster"] for p in x]
     assert set(label[:6]) != set(label[6:]) and len(set(label)) == 2 and -1 not in label
-    assert ((strength >= 0) & (strength <= 1)).all()
-    assert (audio.hdbscan(x[:3], 5, 2)[0] == -1).all()
+    assert all(0 <= r["strength"] <= 1 for r in got.values())
+    assert {r["cluster"] for r in density.density_clusters(df.limit(3), 5, 2).collect()} == {-1}
 
 
 def test_factors_recover_two_tag_blobs():
     x = np.zeros((12, 6))
     x[:6, :3] = x[6:, 3:] = 1
-    w, h = scene.nmf(x, 2, 1000)
+    w, h = factors.nmf(x, 2, 1000)
     assert np.allclose(w @ h, x, atol=1e-3) and (w >= 0).all() and (h >= 0).all()
     assert set(w.argmax(1)[:6]) != set(w.argmax(1)[6:])
 
@@ -255,7 +257,7 @@ def test_percent_codes_and_casefold(spark):
 
 
 def test_scene_stage_on_tag_blobs(spark):
-    tags = spark.createDataFrame([(f"d{i:02d}", t, 1.0, 1) for i in range(12) for t in (("a", "b", "c") if i < 6 else ("x", "y", "z"))], "doc string, tag string, weight double, user_id bigint")
+    tags = spark.createDataFrame([(f"d{i:02d}", t, 1.0) for i in range(12) for t in (("a", "b", "c") if i < 6 else ("x", "y", "z"))], "doc string, tag string, weight double")
     w = scene.factor(tags, SceneParams(k_grid=(2,)))
     assigned = scene.assign(w.where("part = 'doc'").select(F.col("name").alias("doc"), "topic", "weight"))
     assert sorted(r["n"] for r in assigned.groupBy("topic").agg(F.count("*").alias("n")).collect()) == [6, 6]
