@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from listenlake import schema
 from listenlake.operators.plays import keep_first
@@ -65,18 +65,49 @@ def window_counts(events: DataFrame, width: str = "60 days", step: str = "14 day
     return events.withWatermark("played_at", delay).groupBy(F.window("played_at", width, step, start)).agg(F.count("*").alias("n"))
 
 
+class RingBuffer(StatefulProcessor):
+    """Frames in a map by their number, and one value (first number, next number, seconds): an append or an eviction is one operation on the map."""
+
+    def __init__(self, max_seconds: float):
+        self.max_seconds = max_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.frames = handle.getMapState("frames", "n bigint", "at double, seconds double, frame binary")
+        self.ends = handle.getValueState("ends", "first bigint, next bigint, seconds double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        first, after, total = self.ends.get() if self.ends.exists() else (0, 0, 0.0)
+        came = pd.concat([*rows]).sort_values("at", kind="stable")
+        out = []
+        for at, seconds, frame in zip(came["at"].tolist(), came["seconds"].tolist(), came["frame"].tolist(), strict=True):
+            self.frames.updateValue((after,), (at, seconds, frame))
+            out.append((key[0], "added", at, seconds, frame))
+            after, total = after + 1, total + seconds
+            while after - first > 1 and total > self.max_seconds:
+                old = self.frames.getValue((first,))
+                self.frames.removeKey((first,))
+                out.append((key[0], "dropped", old[0], old[1], None))
+                first, total = first + 1, total - old[1]
+        self.ends.update((first, after, total))
+        yield pd.DataFrame(out, columns=["stream", "change", "at", "seconds", "frame"])
+
+    def close(self) -> None:
+        pass
+
+
 def ring_buffer(frames: DataFrame, max_seconds: float) -> DataFrame:
-    """Per stream, the newest frames (stream, at, seconds) of ``max_seconds`` at most, but one at least: kept as state and given after every batch."""
-    kind = "stream string, at double, seconds double"
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        for b in batches:
-            held += list(zip(b["at"].tolist(), b["seconds"].tolist(), strict=True))
-        held.sort()
-        while len(held) > 1 and sum(s for _, s in held) > max_seconds:
-            held.pop(0)
-        state.update(tuple([list(x) for x in zip(*held, strict=True)]))
-        yield pd.DataFrame({"stream": key[0], "at": [a for a, _ in held], "seconds": [s for _, s in held]})
-
-    return frames.groupBy("stream").applyInPandasWithState(keep, kind, "at array<double>, seconds array<double>", "update", GroupStateTimeout.NoTimeout)
+    """Changes (stream, change 'added' or 'dropped', at, seconds, frame) of a buffer of the newest frames (stream, at, seconds, frame) per stream.
+
+    It holds ``max_seconds`` at most, but one frame at least. State and output are written
+    for new and evicted frames only; frames of a batch are taken by time, batches as they
+    come. ``ring_contents`` has what is held. The session's state store has to be RocksDB's.
+    """
+    form = "stream string, change string, at double, seconds double, frame binary"
+    return frames.select("stream", "at", "seconds", "frame").groupBy("stream").transformWithStateInPandas(RingBuffer(max_seconds), form, "Update", "None")
+
+
+def ring_contents(changes: DataFrame) -> DataFrame:
+    """What is held (stream, at, seconds, frame) after all of ``changes``; frames of one stream with one time and length go in turn."""
+    n = F.count_if(F.col("change") == "dropped")
+    kept = changes.groupBy("stream", "at", "seconds").agg(n.alias("gone"), F.filter(F.collect_list(F.when(F.col("change") == "added", F.col("frame"))), lambda f: f.isNotNull()).alias("frames"))
+    return kept.select("stream", "at", "seconds", F.explode(F.slice("frames", F.col("gone").cast("int") + 1, F.greatest(F.lit(0), F.size("frames") - F.col("gone").cast("int")))).alias("frame"))

@@ -1,5 +1,6 @@
 """Sources, writers, commands and the whole chain from raw events to a profile."""
 
+import base64
 import datetime as dt
 import io
 import json
@@ -184,12 +185,27 @@ def test_stream_appends_what_is_new(spark, tmp_path):
 def test_stream_operators(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    line = json.dumps({"stream": "a", "at": 1.0, "seconds": 2.0}) + "\n" + json.dumps({"stream": "a", "at": 2.0, "seconds": 2.0}) + "\n" + json.dumps({"stream": "a", "at": 3.0, "seconds": 2.0}) + "\n"
-    (src / "f.json").write_text(line)
-    frames = spark.readStream.schema("stream string, at double, seconds double").json(str(src))
-    run = imports.ring_buffer(frames, 4.0).writeStream.format("memory").queryName("ring").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
-    run.awaitTermination()
-    assert sorted(r["at"] for r in spark.table("ring").collect()) == [2.0, 3.0]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def put(name, *rows):
+        (src / name).write_text("".join(json.dumps({"stream": s, "at": a, "seconds": d, "frame": base64.b64encode(f"{s}{a}".encode()).decode()}) + "\n" for s, a, d in rows))
+
+    put("1.json", ("a", 1.0, 2.0), ("a", 2.0, 2.0), ("a", 3.0, 2.0), ("b", 1.0, 9.0))
+    frames = spark.readStream.schema("stream string, at double, seconds double, frame binary").json(str(src))
+    try:
+        for k in range(2):
+            if k:
+                put("2.json", ("a", 4.0, 1.0), ("b", 2.0, 1.0))
+            run = imports.ring_buffer(frames, 4.0).writeStream.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(str(tmp_path / "ring"))).outputMode("update")
+            run = run.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
+            run.awaitTermination()
+            changes = spark.read.parquet(str(tmp_path / "ring"))
+            held = sorted((r["stream"], r["at"], bytes(r["frame"]).decode()) for r in imports.ring_contents(changes).collect())
+            assert held == [[("a", 2.0, "a2.0"), ("a", 3.0, "a3.0"), ("b", 1.0, "b1.0")], [("a", 3.0, "a3.0"), ("a", 4.0, "a4.0"), ("b", 2.0, "b2.0")]][k]
+            # A batch writes its own frames and evictions, not the buffer.
+            assert changes.count() == [5, 9][k]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     plays = tmp_path / "plays"
     plays.mkdir()
     (plays / "f.json").write_text("".join(json.dumps({"k": k, "played_at": f"2024-01-0{d}T00:00:00Z"}) + "\n" for k, d in ((1, 1), (1, 1), (2, 2))))
