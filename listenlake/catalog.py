@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listenlake.functions import keys, times
-from listenlake.operators import audio, enrich, epochs, identity, latency, library, listening, plays, scene, store, temporal, validate
+from listenlake.operators import audio, enrich, epochs, identity, latency, library, listening, plays, quantiles, scene, store, temporal, validate
 from listenlake.params import AudioParams, EpochParams, TemporalParams, ValidationParams
 from listenlake.plans import sweep
 from listenlake.sources import readers
@@ -506,7 +506,9 @@ def agreement_rate(spark, sf_dir):
 
 @query("SELECT l_shipdate IS NOT NULL AS ok, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1")
 def percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").isNotNull().alias("ok")).agg(*(F.round(F.percentile("l_extendedprice", F.lit(q)), 4).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").isNotNull().alias("ok"), "l_extendedprice")
+    found = quantiles.percentiles(lines, "l_extendedprice", ["ok"], {"p50": 0.5, "p95": 0.95})
+    return rounded(found.join(lines.groupBy("ok").agg(F.avg("l_extendedprice").alias("mean")), "ok"), "p50", "p95", "mean", digits=4)
 
 
 @query(f"WITH {PLAYS}, {MEMBERS}, cfg AS (SELECT * FROM (VALUES (0, false), (5000, false), (10000, false), (20000, false), (30000, false), (45000, false), (60000, false), (90000, false), (30000, true)) x(min_ms, ignore_skip)) SELECT min_ms, ignore_skip, root_id, count(*) AS n FROM plays JOIN members USING (track_id), cfg WHERE NOT (ms_played < min_ms) AND (ignore_skip OR NOT skipped) GROUP BY ALL")

@@ -31,18 +31,23 @@ def coded_plays(plays: DataFrame, members: DataFrame, at: str = "played_at") ->
 def ks_table(coded: DataFrame, params: EpochParams = EpochParams()) -> DataFrame:
     """boundary, n_left, n_right, d: the largest gap between the code distributions of the windows before and after each boundary.
 
-    Boundaries are a grid from the first play, so an event belongs to a computable range
-    of them: it is exploded to those and the rest is an equi-aggregation.
+    Boundaries are a grid from the first play. For each code, plays before a boundary, before
+    its left window and before the end of its right one are running counts over the grid: a
+    play is counted once at each of three places, and windows are differences of the counts,
+    so rows do not grow with the length of a window.
     """
     window, step = params.window_days * DAY, params.step_days * DAY
     edge = coded.agg(F.min("t").alias("start"), F.max("t").alias("end"))
-    low = F.greatest(F.floor((F.col("t") - window - F.col("start")) / step).cast("bigint") + 1, F.lit(1).cast("bigint"))
-    high = F.least(F.floor((F.col("t") + window - F.col("start")) / step).cast("bigint"), F.ceil((F.col("end") - F.col("start")) / step).cast("bigint") - 1)
-    # Events of one span of the grid and one code are counted before they are spread.
-    cells = coded.crossJoin(F.broadcast(edge)).withColumn("low", low).withColumn("high", high).withColumn("own", F.floor((F.col("t") - F.col("start")) / step).cast("bigint"))
-    cells = cells.groupBy("start", "low", "high", "own", "code").agg(F.count("*").alias("n")).where("low <= high")
-    near = cells.select("start", "own", "code", "n", F.explode(F.sequence("low", "high")).alias("i"))
-    sides = near.groupBy("start", "i", "code").agg(F.sum(F.when(F.col("own") < F.col("i"), F.col("n")).otherwise(0)).alias("l"), F.sum(F.when(F.col("own") >= F.col("i"), F.col("n")).otherwise(0)).alias("r"))
+    # A play is before the place (with its shift) of every boundary after these.
+    own, left, right = ((F.floor((F.col("t") + shift - F.col("start")) / step).cast("bigint") + 1).alias(name) for shift, name in ((0, "own"), (window, "left"), (-window, "right")))
+    cells = coded.crossJoin(F.broadcast(edge)).select("start", (F.ceil((F.col("end") - F.col("start")) / step).cast("bigint") - 1).alias("last"), "code", own, left, right).groupBy("start", "last", "code", "own", "left", "right").agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("bigint")
+    at = F.array(*(F.struct(F.greatest(F.col(c), F.lit(1).cast("bigint")).alias("i"), *(F.col("n").alias(k) if k == c else zero.alias(k) for k in ("own", "left", "right"))) for c in ("own", "left", "right")))
+    steps = cells.select("start", "last", "code", F.explode(at).alias("p")).where("p.i <= last").groupBy("start", "last", "code", "p.i").agg(*(F.sum(f"p.{k}").alias(k) for k in ("own", "left", "right")))
+    grid = Window.partitionBy("code").orderBy("i")
+    running = steps.select("start", "code", "i", *(F.sum(k).over(grid.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k in ("own", "left", "right")), F.coalesce(F.lead("i").over(grid) - 1, F.col("last")).alias("until"))
+    counted = running.select("start", "code", "i", "until", (F.col("own") - F.col("left")).alias("l"), (F.col("right") - F.col("own")).alias("r")).where("l > 0 or r > 0")
+    sides = counted.select("start", "code", "l", "r", F.explode(F.sequence("i", "until")).alias("i"))
     every, upto = Window.partitionBy("i"), Window.partitionBy("i").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
     wide = sides.withColumn("n_left", F.sum("l").over(every)).withColumn("n_right", F.sum("r").over(every)).withColumn("gap", F.abs(F.try_divide(F.sum("l").over(upto), F.col("n_left")) - F.try_divide(F.sum("r").over(upto), F.col("n_right"))))
     out = wide.groupBy("i").agg(F.first("start").alias("start"), F.first("n_left").alias("n_left"), F.first("n_right").alias("n_right"), F.max("gap").alias("d"))

@@ -60,10 +60,19 @@ def doc_frequency(tags: DataFrame) -> DataFrame:
     return tags.groupBy("tag").agg(F.countDistinct("doc").alias("df"))
 
 
-def cooccurrence(tags: DataFrame) -> DataFrame:
-    """tag_a <= tag_b and the documents that hold both."""
+def cooccurrence(tags: DataFrame, block: int = 1000) -> DataFrame:
+    """tag_a <= tag_b and the documents that hold both: the product of the incidence of tags with itself, a document's tags in blocks of about ``block``.
+
+    Two blocks of a document meet under a key of their own, so no task makes all pairs of
+    a document with very many tags; counts are added before they are shuffled.
+    """
     own = tags.select("doc", "tag").distinct()
-    return own.select("doc", F.col("tag").alias("tag_a")).join(own.select("doc", F.col("tag").alias("tag_b")), "doc").where("tag_a <= tag_b").groupBy("tag_a", "tag_b").agg(F.count("*").alias("n_both"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("doc")) / F.lit(block)).cast("int")
+    dealt = own.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("tag"), "parts").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = dealt.select("doc", F.col("tag").alias("tag_a"), F.col("part").alias("a"), every.alias("b"))
+    right = dealt.select("doc", F.col("tag").alias("tag_b"), F.col("part").alias("b"), every.alias("a"))
+    return left.join(right, ["doc", "a", "b"]).where("tag_a <= tag_b").groupBy("tag_a", "tag_b").agg(F.count("*").alias("n_both"))
 
 
 def npmi(n_both: Column, n_a: Column, n_b: Column, n: Column) -> Column:
