@@ -11,7 +11,9 @@ from listenlake.functions import keys, times
 from listenlake.operators import audio, enrich, epochs, identity, latency, library, listening, plays, quantiles, scene, store, temporal, validate
 from listenlake.params import AudioParams, EpochParams, TemporalParams, ValidationParams
 from listenlake.plans import sweep
+from listenlake.shared import shared_path
 from listenlake.sources import readers
+from listenlake.sources.versioned import VersionedTable
 from listenlake.views import DOC_TAGS, LONG_HISTORY, MEMBERS, PLAYS, RECORDS, ZONES_SQL, doc_tags, long_history, members, records, table, zones
 from listenlake.views import plays as plays_view
 from listenlake.zones import COUNTRY_ZONES, country_zones
@@ -541,6 +543,23 @@ def temporal_verdicts(spark, sf_dir):
     return done.select("root_id", *temporal.BUCKET, "verdict", "cluster_share")
 
 
+@query(f"WITH {PLAYS}, {MEMBERS}, {LIFT} SELECT concat_ws('|', root_id, day_part, weekday_kind, season) AS pair, CASE WHEN n < 5 THEN 'dropped:event_count_floor' WHEN lift < 1.1 THEN 'rejected:lift_floor' ELSE 'tendency' END AS verdict, CASE WHEN n >= 5 THEN round(lift, 6) END AS lift, n AS evidence_count FROM lifts WHERE n <> 5 OR lift < 1.1")
+def sweep_verdicts(spark, sf_dir):
+    lifts = temporal.lift_table(bucketed(spark, sf_dir), members(spark, sf_dir), params=LOW_FLOOR)
+    return rounded(sweep.candidate_verdicts(lifts, plays.facts(plays_view(spark, sf_dir)), ValidationParams(evidence_count=6)), "lift")
+
+
+@query("WITH o AS (SELECT o_custkey AS k, max(o_orderdate) AS seen, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1) SELECT coalesce(k, c_custkey) AS k, CAST(seen AS VARCHAR) AS seen, coalesce(n, 0) AS n FROM customer FULL JOIN o ON k = c_custkey")
+def versioned_upsert(spark, sf_dir):
+    # All customers as the first version, then those with orders anew in a second one.
+    versions = VersionedTable(spark, shared_path(spark, "versions"), "k bigint, seen string, n bigint", ["k"], 16)
+    none = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(None).cast("string").alias("seen"), F.lit(0).cast("bigint").alias("n"))
+    seen = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderdate").cast("string").alias("seen"), F.count("*").alias("n"))
+    versions.change(lambda c: c.replace(none))
+    versions.change(lambda c: c.upsert(seen))
+    return versions.read()
+
+
 @query()
 def profile_summary(spark, sf_dir):
     from listenlake.plans.analyze import Inputs, analyze

@@ -18,15 +18,36 @@ def samples(raw: bytes, channels: int) -> np.ndarray:
     return np.frombuffer(raw[:whole], "<i2").astype(np.float32).reshape(-1, channels) / 32768
 
 
+#: Zero crossings on each side of the resampling filter, the share of the lower Nyquist rate that it passes, and its Kaiser window.
+CROSSINGS, PASS, KAISER = 48, 0.95, 10.0
+
+
+def filter_taps(phase: int, up: int, down: int) -> np.ndarray:
+    """The taps of a windowed sinc for outputs that lie ``phase`` / ``up`` after an input; they add up to one."""
+    cut = PASS * min(1.0, up / down)
+    half = int(np.ceil(CROSSINGS / cut))
+    x = np.arange(-half + 1, half + 1) - phase / up
+    window = np.i0(KAISER * np.sqrt(np.maximum(0.0, 1 - (x * cut / CROSSINGS) ** 2)))
+    taps = np.sinc(cut * x) * window
+    return taps / taps.sum()
+
+
 def resampled(mono: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
-    """Linear interpolation to another rate, behind a moving average where that rate is lower."""
+    """Another rate, by a polyphase filter bank: one set of taps for each place that outputs have between two inputs."""
     if rate == to or not len(mono):
         return mono
-    if rate > to:
-        width = max(1, round(rate / to))
-        mono = np.convolve(mono, np.ones(width) / width, "same")
-    at = np.arange(int(len(mono) * to / rate)) * rate / to
-    return np.interp(at, np.arange(len(mono)), mono).astype(np.float32)
+    common = int(np.gcd(rate, to))
+    up, down = to // common, rate // common
+    n = -(-len(mono) * up // down)
+    out = np.zeros(n, np.float32)
+    half = len(filter_taps(0, up, down)) // 2
+    padded = np.pad(mono.astype(np.float64), half)
+    for k in range(min(up, n)):
+        at, phase = k * down // up, k * down % up
+        windows = np.lib.stride_tricks.sliding_window_view(padded[at + 1 :], 2 * half)[::down]
+        own = out[k::up]
+        own[:] = windows[: len(own)] @ filter_taps(phase, up, down)
+    return out
 
 
 def mel_bank() -> np.ndarray:

@@ -126,6 +126,12 @@ def assign(doc_weights: DataFrame) -> DataFrame:
     return doc_weights.groupBy("doc").agg(best.alias("b"), F.sum("weight").alias("total")).where("total > 0").select("doc", F.col("b.topic").alias("topic"), (F.col("b.weight") / F.col("total")).alias("dominance"))
 
 
+def hints(top: DataFrame, n: int = 3) -> DataFrame:
+    """topic, hint: what to look for next in a scene, named by its first tags (topic, rank, tag)."""
+    named = top.where(F.col("rank") <= n).groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]), ", ").alias("tags"))
+    return named.select("topic", F.concat(F.lit("look for artists not heard yet in the scene of "), "tags").alias("hint"))
+
+
 def describe(assigned: DataFrame, records: DataFrame, n_docs: int | Column, params: SceneParams = SceneParams()) -> DataFrame:
     """One row per topic with members, ranked: size, share, confidence, coverage, top artists and samples."""
     base = assigned.groupBy("topic").agg(F.count("*").alias("cluster_size"), F.min("doc").alias("min_id"), F.round(F.avg("dominance"), 6).alias("confidence"), F.round(F.avg((F.col("dominance") >= 0.5).cast("double")), 4).alias("coverage"))

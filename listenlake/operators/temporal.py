@@ -82,3 +82,11 @@ def candidates(lifts: DataFrame) -> DataFrame:
     """Candidates for the validator."""
     rows = ranked(lifts).where("verdict = 'candidate'")
     return rows.select("candidate_id", F.lit("temporal").alias("category"), "root_id", *BUCKET, F.col("n").alias("cluster_size"), F.round(F.col("n") / F.col("events_r"), 6).alias("cluster_share"), F.col("n").alias("evidence_count"), F.lit(1.0).alias("coverage"), F.round("p_root_given_bucket", 6).alias("confidence"), F.col("balance").alias("stability_score"))
+
+
+def descriptors(lifts: DataFrame) -> DataFrame:
+    """candidate_id, descriptor of every temporal candidate: its root, bucket, lift and a hint, as JSON."""
+    rows = ranked(lifts).where("verdict = 'candidate'")
+    when = F.concat_ws(" ", *BUCKET)
+    hint = F.concat(F.lit("play more of "), "root_id", F.lit(" in the "), when, F.lit(": "), F.round("lift", 2).cast("string"), F.lit(" times its usual share"))
+    return rows.select("candidate_id", F.to_json(F.struct(F.col("root_id").alias("conditioned_root_id"), F.struct(*BUCKET).alias("time_bucket"), F.round("lift", 4).alias("lift"), F.col("n").alias("events_in_bucket"), hint.alias("hint"))).alias("descriptor"))

@@ -56,61 +56,86 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "analyze")
 
 
-def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_params: SceneParams = SceneParams(), temporal_params: TemporalParams = TemporalParams(), epoch_params: EpochParams = EpochParams(), validation: ValidationParams = ValidationParams()) -> Profile:
-    """Stages that find nothing give empty frames; temporal stages run on members of surviving roots only."""
-    listened = inputs.plays.cache()
-    facts = F.broadcast(plays.facts(listened).select("n_unique", "span_days"))
-    found, members, described_by, low = [], [], [], None
+@dataclass(frozen=True)
+class Roots:
+    """Audio and scene candidates with verdicts, the members of those that stay, descriptors, and what the scene's own floor rejected (or None)."""
+
+    classified: DataFrame
+    members: DataFrame
+    descriptors: DataFrame
+    rejected: DataFrame | None
+
+
+def described_as_json(described: DataFrame) -> DataFrame:
+    return described.select("candidate_id", F.to_json(F.struct(*(c for c in described.columns if c not in COLUMNS))).alias("descriptor"))
+
+
+def audio_roots(records: DataFrame, listened: DataFrame, params: AudioParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, descriptors and members of the density clusters of all records."""
+    clusters = cut(audio.cluster(records, params))
+    described = cut(audio.describe(clusters, listened, params))
+    members = clusters.join(described.select("cluster", "candidate_id"), "cluster").select(F.col("candidate_id").alias("root_id"), "track_id")
+    return described.select(*COLUMNS), described_as_json(described), members
+
+
+def scene_roots(records: DataFrame, tagged: DataFrame, listened: DataFrame, params: SceneParams) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Candidates, descriptors and members of the topics of the best K, and its topics under the coherence floor."""
+    tags = cut(scene.doc_tags(tagged))
+    weights = cut(scene.factor(tags, params))
+    top = cut(scene.top_tags(weights.where("part = 'tag'").select(F.struct("k", "topic").alias("topic"), F.col("name").alias("tag"), "weight"), params.top_tags))
+    scored = cut(scene.coherence(top.select("topic", "tag"), tags).select("topic.k", F.col("topic.topic").alias("topic"), "coherence"))
+    chosen = F.broadcast(scene.best_k(scored, params.coherence_floor).select("k"))
+    flat = top.select("topic.k", F.col("topic.topic").alias("topic"), "rank", "tag")
+    low = scene.coherence_log(scored.join(chosen, "k"), flat, params.coherence_floor)
+    good = scored.where(F.col("coherence") >= params.coherence_floor).join(chosen, "k").select("k", "topic")
+    assigned = scene.assign(weights.where("part = 'doc'").join(chosen, "k").select(F.col("name").alias("doc"), "topic", "weight"))
+    own = cut(assigned.join(good.select("topic"), "topic", "left_semi"))
+    described = scene.describe(own, records.select("track_id", "artist"), tags.select("doc").distinct().count(), params)
+    stable = audio.stability(own.select("topic", F.col("doc").alias("track_id")), listened, "topic")
+    hints = scene.hints(flat.join(chosen, "k").select("topic", "rank", "tag"))
+    described = cut(described.join(stable, "topic", "left").withColumn("stability_score", F.col("balance")).join(hints, "topic", "left"))
+    members = own.join(described.select("topic", "candidate_id"), "topic").select(F.col("candidate_id").alias("root_id"), F.col("doc").alias("track_id"))
+    return described.select(*COLUMNS), described_as_json(described), members, low
+
+
+def upstream(inputs: Inputs, listened: DataFrame, audio_params: AudioParams = AudioParams(), scene_params: SceneParams = SceneParams(), validation: ValidationParams = ValidationParams()) -> Roots:
+    """The audio and scene stages and their verdicts: what the temporal stage, and any sweep over it, is conditioned on."""
+    spark = listened.sparkSession
+    found, low = [], None
     if inputs.records is not None and "bpm" in inputs.records.columns:
-        clusters = cut(audio.cluster(inputs.records, audio_params))
-        described = cut(audio.describe(clusters, listened, audio_params))
-        found.append(described.select(*COLUMNS))
-        described_by.append(described.select("candidate_id", F.to_json(F.struct(*(c for c in described.columns if c not in COLUMNS))).alias("descriptor")))
-        members.append(clusters.join(described.select("cluster", "candidate_id"), "cluster").select(F.col("candidate_id").alias("root_id"), "track_id"))
+        found.append(audio_roots(inputs.records, listened, audio_params))
     if inputs.tags is not None:
-        tags = cut(scene.doc_tags(inputs.tags))
-        weights = cut(scene.factor(tags, scene_params))
-        top = cut(scene.top_tags(weights.where("part = 'tag'").select(F.struct("k", "topic").alias("topic"), F.col("name").alias("tag"), "weight"), scene_params.top_tags))
-        scored = cut(scene.coherence(top.select("topic", "tag"), tags).select("topic.k", F.col("topic.topic").alias("topic"), "coherence"))
-        chosen = F.broadcast(scene.best_k(scored, scene_params.coherence_floor).select("k"))
-        low = scene.coherence_log(scored.join(chosen, "k"), top.select("topic.k", F.col("topic.topic").alias("topic"), "rank", "tag"), scene_params.coherence_floor)
-        good = scored.where(F.col("coherence") >= scene_params.coherence_floor).join(chosen, "k").select("k", "topic")
-        assigned = scene.assign(weights.where("part = 'doc'").join(chosen, "k").select(F.col("name").alias("doc"), "topic", "weight"))
-        own = assigned.join(good.select("topic"), "topic", "left_semi")
-        n_docs = tags.select("doc").distinct().count()
-        described = scene.describe(own, inputs.records.select("track_id", "artist"), n_docs, scene_params)
-        stable = audio.stability(own.select("topic", F.col("doc").alias("track_id")), listened, "topic")
-        described = cut(described.join(stable, "topic", "left").withColumn("stability_score", F.col("balance")))
-        found.append(described.select(*COLUMNS))
-        described_by.append(described.select("candidate_id", F.to_json(F.struct(*(c for c in described.columns if c not in COLUMNS))).alias("descriptor")))
-        members.append(own.join(described.select("topic", "candidate_id"), "topic").select(F.col("candidate_id").alias("root_id"), F.col("doc").alias("track_id")))
-    spark = listened.sparkSession
+        *own, low = scene_roots(inputs.records, inputs.tags, listened, scene_params)
+        found.append(own)
     if not found:
         empty = "candidate_id string, category string, cluster_size bigint, cluster_share double, evidence_count bigint, coverage double, confidence double, stability_score double"
-        found, members = [spark.createDataFrame([], empty)], [spark.createDataFrame([], "root_id string, track_id string")]
-        described_by = [spark.createDataFrame([], "candidate_id string, descriptor string")]
-    candidates, bridge = found[0], members[0]
-    for extra, more in zip(found[1:], members[1:], strict=True):
-        candidates, bridge = candidates.unionByName(extra), bridge.unionByName(more)
-    classified = validate.classify(candidates.crossJoin(facts), validation)
-    kept = cut(validate.surviving_members(bridge, classified))
-    localized = temporal.localize(listened, inputs.zones).cache()
+        found = [tuple(spark.createDataFrame([], x) for x in (empty, "candidate_id string, descriptor string", "root_id string, track_id string"))]
+    candidates, descriptors, bridge = found[0]
+    for more in found[1:]:
+        candidates, descriptors, bridge = (x.unionByName(y) for x, y in zip((candidates, descriptors, bridge), more, strict=True))
+    classified = cut(validate.classify(candidates.crossJoin(F.broadcast(plays.facts(listened).select("n_unique", "span_days"))), validation))
+    return Roots(classified, cut(validate.surviving_members(bridge, classified)), descriptors, low)
+
+
+def analyze(inputs: Inputs, audio_params: AudioParams = AudioParams(), scene_params: SceneParams = SceneParams(), temporal_params: TemporalParams = TemporalParams(), epoch_params: EpochParams = EpochParams(), validation: ValidationParams = ValidationParams()) -> Profile:
+    """Stages that find nothing give empty frames; temporal stages run on members of surviving roots only."""
+    listened = cut(inputs.plays)
+    roots = upstream(inputs, listened, audio_params, scene_params, validation)
+    facts = F.broadcast(plays.facts(listened).select("n_unique", "span_days"))
+    localized = cut(temporal.localize(listened, inputs.zones))
     valid = localized.where(plays.is_valid(F.col("ms_played"), F.col("skipped")))
-    lifts = cut(temporal.lift_table(temporal.with_buckets(valid, "local_at", temporal_params), kept, "local_at", temporal_params))
+    lifts = cut(temporal.lift_table(temporal.with_buckets(valid, "local_at", temporal_params), roots.members, "local_at", temporal_params))
     timed = validate.classify(temporal.candidates(lifts).select(*COLUMNS).crossJoin(facts), validation)
-    everything = classified.unionByName(timed).cache()
+    everything = cut(roots.classified.unionByName(timed))
     rejected = temporal.ranked(lifts).where("verdict = 'rejected:lift_floor'").select("candidate_id", F.lit("temporal").alias("category"), F.lit("lift_floor").alias("failed_test"), F.to_json(F.struct("lift", F.lit(temporal_params.lift_floor).alias("floor"), "root_id", *temporal.BUCKET)).alias("details"))
-    ranges, table = epochs.detect(localized, kept, "local_at", epoch_params)
-    present = epochs.presence(localized, kept, ranges, "local_at")
+    ranges, table = epochs.detect(localized, roots.members, "local_at", epoch_params)
+    present = epochs.presence(localized, roots.members, ranges, "local_at")
     stage = F.when(F.col("category") == "audio", 0).when(F.col("category") == "scene", 1).otherwise(2)
-    own_floors = rejected if low is None else rejected.unionByName(low)
+    own_floors = rejected if roots.rejected is None else rejected.unionByName(roots.rejected)
     log = own_floors.withColumn("phase", F.lit(0)).unionByName(validate.quality_log(everything, validation).withColumn("phase", F.lit(1))).withColumn("stage", stage)
     summary = everything.groupBy("category", "verdict").agg(F.count("*").alias("n"))
-    descriptors = described_by[0]
-    for more in described_by[1:]:
-        descriptors = descriptors.unionByName(more)
     chosen_params = {n: asdict(p) for n, p in (("audio", audio_params), ("scene", scene_params), ("temporal", temporal_params), ("epoch", epoch_params), ("validation", validation))}
-    return Profile(everything, table, present, log, summary, plays.facts(listened), kept, descriptors, chosen_params)
+    return Profile(everything, table, present, log, summary, plays.facts(listened), roots.members, roots.descriptors.unionByName(temporal.descriptors(lifts)), chosen_params)
 
 
 FEATURES = ("bpm", "energy", "valence", "danceability", "acousticness", "instrumentalness")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenlake.operators import temporal
+from listenlake.operators import temporal, validate
 from listenlake.operators.library import agreement
-from listenlake.operators.plays import is_valid
-from listenlake.plans.analyze import Profile
+from listenlake.operators.plays import facts, is_valid
+from listenlake.operators.temporal import localize
+from listenlake.params import AudioParams, SceneParams, TemporalParams, ValidationParams
+from listenlake.plans.analyze import Inputs, Profile, upstream
 from listenlake.shared import stored
-from listenlake.params import TemporalParams
 
 CONFIGS = tuple((ms, False) for ms in (0, 5_000, 10_000, 20_000, 30_000, 45_000, 60_000, 90_000)) + ((30_000, True),)
 
@@ -30,19 +31,29 @@ def root_counts(plays: DataFrame, members: DataFrame, configs=CONFIGS) -> DataFr
     return own.join(members.select("root_id", "track_id").distinct(), "track_id").groupBy("min_ms", "ignore_skip", "root_id").agg(F.sum("n").alias("n"))
 
 
-def verdict_tables(plays: DataFrame, members: DataFrame, configs=CONFIGS, params: TemporalParams = TemporalParams()) -> dict[tuple, DataFrame]:
-    """pair, verdict per configuration: also what the count floor dropped. Plays get their buckets once, and are read from a table after that."""
+def candidate_verdicts(lifts: DataFrame, facts: DataFrame, validation: ValidationParams = ValidationParams()) -> DataFrame:
+    """pair, verdict, lift, evidence_count of a lift table: root or tendency by the classifier, then what the lift floor rejected and what the count floor dropped. Candidates that the classifier rejects are in no row."""
+    pair = F.concat_ws("|", "root_id", *temporal.BUCKET).alias("pair")
+    named = temporal.candidates(lifts).join(temporal.ranked(lifts).where("verdict = 'candidate'").select("candidate_id", "lift"), "candidate_id")
+    judged = validate.survivors(validate.classify(named.crossJoin(F.broadcast(facts.select("n_unique", "span_days"))), validation))
+    floors = lifts.where("verdict <> 'candidate'").select(pair, "verdict", F.when(F.col("verdict") == "rejected:lift_floor", F.col("lift")).alias("lift"), F.col("n").alias("evidence_count"))
+    return judged.select(pair, "verdict", "lift", "evidence_count").unionByName(floors)
+
+
+def verdict_tables(plays: DataFrame, members: DataFrame, configs=CONFIGS, params: TemporalParams = TemporalParams(), validation: ValidationParams = ValidationParams()) -> dict[tuple, DataFrame]:
+    """pair, verdict per configuration. Plays get their buckets once, and are read from a table after that; the classifier's facts are those of all plays."""
     bucketed = stored(temporal.with_buckets(plays, params=params), "sweep")
+    whole = stored(facts(plays.withColumn("source", F.lit(""))), "facts")
     out = {}
     for ms, skip in configs:
         lifts = temporal.lift_table(bucketed.where(is_valid(F.col("ms_played"), F.col("skipped"), ms, skip)), members, params=params)
-        out[ms, skip] = lifts.select(F.concat_ws("|", "root_id", *temporal.BUCKET).alias("pair"), "verdict")
+        out[ms, skip] = candidate_verdicts(stored(lifts, "lifts"), whole, validation)
     return out
 
 
-def report(plays: DataFrame, members: DataFrame, configs=CONFIGS, params: TemporalParams = TemporalParams()) -> DataFrame:
+def report(plays: DataFrame, members: DataFrame, configs=CONFIGS, params: TemporalParams = TemporalParams(), validation: ValidationParams = ValidationParams()) -> DataFrame:
     """Agreement of every configuration with the first."""
-    tables = {c: stored(t, "verdicts") for c, t in verdict_tables(plays, members, configs, params).items()}
+    tables = {c: stored(t, "verdicts") for c, t in verdict_tables(plays, members, configs, params, validation).items()}
     first, out = tables[configs[0]], None
     for c in configs:
         row = agreement(first, tables[c]).withColumn("min_ms", F.lit(c[0])).withColumn("ignore_skip", F.lit(c[1]))
@@ -50,6 +61,14 @@ def report(plays: DataFrame, members: DataFrame, configs=CONFIGS, params: Tempor
     return out
 
 
+def sweep(inputs: Inputs, configs=CONFIGS, audio_params: AudioParams = AudioParams(), scene_params: SceneParams = SceneParams(), temporal_params: TemporalParams = TemporalParams(), validation: ValidationParams = ValidationParams()) -> DataFrame:
+    """The report over raw inputs: audio and scene run once, and every configuration meets the same members."""
+    listened = stored(inputs.plays, "plays")
+    members = upstream(inputs, listened, audio_params, scene_params, validation).members
+    local = stored(localize(listened, inputs.zones).drop("played_at").withColumnRenamed("local_at", "played_at"), "local")
+    return report(local, members, configs, temporal_params, validation)
+
+
 def write_report(found: DataFrame, path: str) -> None:
     """The report as one JSON file."""
     rows = found.agg(F.to_json(F.array_sort(F.collect_list(F.struct("min_ms", "ignore_skip", "n", "rate")))).alias("value"))

@@ -124,15 +124,23 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
         return out
 
 
-def ifttt(spark: SparkSession, path: str) -> DataFrame:
-    """Workbooks of a folder in the order of their names; columns time, name, artist, id."""
+BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def ifttt(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Workbooks of a folder in the order of their names; columns time, name, artist, id. ``stream``: those that come, as they come.
+
+    Files are read by Spark's own reader, so that any store will do, and one is the work of
+    one task: a sheet has a million rows at most.
+    """
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [(p, i, *(r + [None] * 4)[:4]) for p, c in zip(f["path"], f["content"], strict=True) for i, r in enumerate(sheet_rows(c))]
             yield pd.DataFrame(rows, columns=["file", "row", "time", "name", "artist", "id"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    reader = spark.readStream.schema(BINARY) if stream else spark.read
+    files = reader.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
     rows = files.mapInPandas(cells, "file string, row bigint, time string, name string, artist string, id string")
     at = parse_long_date(text(F.col("time")))
     name, artist, track = text(F.col("name")), text(F.col("artist")), text(F.col("id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from listenlake import cli
 from listenlake.functions import keys
-from listenlake.operators import enrich, identity, library
+from listenlake.operators import enrich, identity, library, temporal
 from listenlake.params import AudioParams, SceneParams, ValidationParams
 from listenlake.plans import analyze as plan
 from listenlake.plans import sweep
@@ -139,10 +139,16 @@ def test_from_raw_events_to_a_profile(spark):
     profile = plan.analyze(inputs, AudioParams(min_cluster_size=5, min_samples=2), SceneParams(k_grid=(2, 3)), validation=ValidationParams(evidence_count=5))
     document = json.loads(profile.document("u/1", counts).select(F.to_json(F.struct("*"))).first()[0])
     assert json.loads(document["generated_from"])[0]["n_unique"] == 24 and "k_grid" in document["method_params"]
-    assert {d["candidate_id"][:3] for d in json.loads(document["descriptors"])} <= {"r-a", "r-s"}
+    described = json.loads(document["descriptors"])
+    assert {d["candidate_id"][:3] for d in described} <= {"r-a", "r-s", "r-t"}
+    hints = {d["candidate_id"][:3]: json.loads(d["descriptor"])["hint"] for d in described}
+    assert {"r-a", "r-s"} <= set(hints) and hints["r-s"].startswith("look for artists")
     log = json.loads(document["quality_log"])
     assert log == sorted(log, key=lambda e: (e["stage"], e["phase"]))
     assert set(profile.members.columns) == {"root_id", "track_id"} and sweep.surviving(profile) is profile.members
+    # The sweep runs audio and scene once, and its members are those of the analysis.
+    swept = sweep.sweep(inputs, sweep.CONFIGS[:2], AudioParams(min_cluster_size=5, min_samples=2), SceneParams(k_grid=(2, 3)), validation=ValidationParams(evidence_count=5)).collect()
+    assert [r["rate"] for r in swept] == [1.0, 1.0] and swept[0]["n"] > 0
     alone, _ = plan.enriched(raw, country_zones(spark), index, None)
     assert plan.analyze(alone).classified.count() == 0
 
@@ -158,6 +164,19 @@ def test_low_coherence_is_logged(spark):
     assert scene.stop_tags("v9") == ()
 
 
+def test_candidate_verdicts(spark):
+    bucket = ("evening", "weekday", "winter")
+    # root: all floors hold; tendency: too little confidence; rejected by the classifier: too few events.
+    rows = [("a", 60, 0.9, 1.5, 0.8, "candidate"), ("b", 60, 0.2, 1.4, 0.8, "candidate"), ("c", 40, 0.9, 2.0, 0.8, "candidate"), ("d", 60, 0.9, 1.1, 0.8, "rejected:lift_floor"), ("e", 3, 0.9, 9.0, 0.8, "dropped:event_count_floor")]
+    lifts = spark.createDataFrame([(r, *bucket, n, 100, 200, 0.5, p, lift, b, v) for r, n, p, lift, b, v in rows], "root_id string, day_part string, weekday_kind string, season string, n bigint, events_r bigint, bucket_total bigint, p_root_overall double, p_root_given_bucket double, lift double, balance double, verdict string")
+    facts = spark.createDataFrame([(2000, 400)], "n_unique bigint, span_days bigint")
+    got = {r["pair"][0]: (r["verdict"], r["lift"], r["evidence_count"]) for r in sweep.candidate_verdicts(lifts, facts).collect()}
+    told = {r["candidate_id"]: json.loads(r["descriptor"]) for r in temporal.descriptors(lifts).collect()}
+    assert told["r-temporal-1"]["hint"] == "play more of a in the evening weekday winter: 1.5 times its usual share"
+    assert told["r-temporal-1"]["time_bucket"] == dict(zip(temporal.BUCKET, bucket, strict=True)) and len(told) == 3
+    assert got == {"a": ("root", 1.5, 60), "b": ("tendency", 1.4, 60), "d": ("rejected:lift_floor", 1.1, 60), "e": ("dropped:event_count_floor", None, 3)}
+
+
 def test_sweep_report(spark, tmp_path):
     played = events(spark).select("seq", F.col("spotify_id").alias("track_id"), "played_at", "ms_played", "skipped")
     members = spark.createDataFrame([("r1", "s1"), ("r1", "s2")], "root_id string, track_id string")

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 
 from listenlake import cli
 from listenlake.operators import listening
@@ -17,6 +18,36 @@ def test_pcm_and_patches():
     assert listening.patches(np.zeros(10, np.float32), 16_000).shape == (1, 128, 96)
 
 
+@pytest.mark.parametrize("rate", [44_100, 48_000, 22_050, 8_000, 11_025])
+def test_resampling_keeps_tones(rate):
+    n, to = rate, 16_000
+    assert len(listening.resampled(np.zeros(n, np.float32), rate)) == -(-n * to // rate)
+    for f in (50, 440, 3_000, 0.42 * min(rate, to)):
+        got = listening.resampled(np.sin(2 * np.pi * f * np.arange(n) / rate + 0.3), rate)
+        want = np.sin(2 * np.pi * f * np.arange(len(got)) / to + 0.3)
+        inner = slice(400, len(got) - 400)
+        assert np.abs(got[inner] - want[inner]).max() < 1e-3, f
+    if rate > to:  # what the new rate can't hold is gone instead of folded back: under -60 dB
+        for f in (8_600, 9_500, 10_700):
+            got = listening.resampled(np.sin(2 * np.pi * f * np.arange(n) / rate), rate)
+            assert np.abs(got[400:-400]).max() < 1e-3, f
+    for short in (1, 2, 7):
+        assert np.isfinite(listening.resampled(np.ones(short, np.float32), rate)).all()
+
+
+def test_mel_bands_are_where_the_scale_says():
+    bank = listening.mel_bank()
+    f = np.fft.rfftfreq(listening.FRAME, 1 / listening.RATE)
+    # Slaney's scale is linear to 1 kHz at 200 / 3 Hz a mel, then 27 mels to each factor of 6.4.
+    top = 15 + 27 * np.log(8) / np.log(6.4)
+    centre = np.arange(1, listening.BANDS + 1) * top / (listening.BANDS + 1)
+    hertz = np.where(centre < 15, centre * 200 / 3, 1000 * np.exp((centre - 15) * np.log(6.4) / 27))
+    peak = f[bank.argmax(1)]
+    assert np.abs(peak - hertz).max() <= f[1] and (bank >= 0).all()
+    wide = np.flatnonzero(np.diff(hertz, prepend=0) > 3 * f[1])
+    assert np.allclose(bank[wide].sum(1) * f[1], 1, atol=0.05)  # unit area
+
+
 def test_inference_chain(spark):
     clip = (np.random.default_rng(0).normal(size=(40_000, 1)) * 3000).astype("<i2").tobytes()
     df = spark.createDataFrame([("t", clip, 16_000, 1)], "track_id string, pcm binary, rate int, channels int")

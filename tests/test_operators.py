@@ -216,6 +216,12 @@ def test_workbooks(spark, tmp_path):
     got = readers.ifttt(spark, str(tmp_path)).orderBy("seq").collect()
     assert [r["reason"] for r in got] == [None, "empty", "unparseable_timestamp", "no_identity"]
     assert got[0]["played_at"] == dt.datetime(2024, 1, 2, 15, 4)
+    for k in range(2):  # a folder that fills up
+        if k:
+            (tmp_path / "b.xlsx").write_bytes(workbook([["January 03, 2024 at 03:04PM", "m", "a", "id"]]))
+        run = readers.ifttt(spark, str(tmp_path), stream=True).writeStream.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, readers.ifttt(spark, str(tmp_path)).collect()))
 
 
 def test_dump_tables_and_indexes(spark, tmp_path):
