@@ -1,6 +1,6 @@
 """Non-negative factors of document-by-tag tables of any size.
 
-Documents with equal tags and weights are one pattern with its multiplicity: their rows
+Documents with equal tags and weights (told apart by SHA-256) are one pattern with its multiplicity: their rows
 stay equal through all updates. Both factors start from a doubly non-negative singular
 value decomposition and are updated in turns by coordinate descent, until what the
 gradients still ask for has fallen to ``tol`` of the first round; all is deterministic.
@@ -241,10 +241,11 @@ def factor_table(tags: DataFrame, k_grid: tuple[int, ...], max_iter: int, params
     """
     spark = tags.sparkSession
     clean = tags.where("doc is not null and tag is not null and weight is not null").groupBy(F.col("doc").cast("string").alias("doc"), F.col("tag").cast("string").alias("tag")).agg(F.sum("weight").cast("double").alias("v"))
-    per_doc = stored(clean.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("tag", "v"))).alias("tags")), "docs")
-    patterns = per_doc.groupBy("tags").agg(F.count("*").cast("double").alias("m"), F.min("doc").alias("first"))
+    listed = clean.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("tag", "v"))).alias("tags"))
+    per_doc = stored(listed.withColumn("pattern", F.sha2(F.to_json("tags"), 256)), "docs")
+    patterns = per_doc.groupBy("pattern").agg(F.first("tags").alias("tags"), F.count("*").cast("double").alias("m"), F.min("doc").alias("first"))
     patterns = stored(patterns, "patterns")
-    names = stored(per_doc.select(F.explode("tags.tag").alias("tag")).distinct(), "names")
+    names = stored(patterns.select(F.explode("tags.tag").alias("tag")).distinct(), "names")
     n_docs, (n_patterns, n_tags) = per_doc.count(), (patterns.count(), names.count())
     ks = [k for k in k_grid if 1 <= k <= min(n_docs, n_tags)]
     form = "k bigint, part string, topic bigint, name string, weight double"
@@ -297,5 +298,5 @@ def factor_table(tags: DataFrame, k_grid: tuple[int, ...], max_iter: int, params
                 own = factor.select("b", "f").mapInPandas(flat, "b bigint, at int, topic bigint, weight double").select(F.lit(k).cast("bigint").alias("k"), F.lit(part).alias("part"), "b", "at", "topic", "weight")
                 found = own if found is None else found.unionByName(own)
     of_tags = found.where("part = 'tag'").join(columns.select(F.col("cb").alias("b"), F.col("c").alias("at"), F.col("tag").alias("name")), ["b", "at"])
-    of_docs = found.where("part = 'doc'").join(rows.select(F.col("rb").alias("b"), F.col("r").alias("at"), "tags"), ["b", "at"]).join(per_doc.select("tags", F.col("doc").alias("name")), "tags")
+    of_docs = found.where("part = 'doc'").join(rows.select(F.col("rb").alias("b"), F.col("r").alias("at"), "pattern"), ["b", "at"]).join(per_doc.select("pattern", F.col("doc").alias("name")), "pattern")
     return of_docs.select("k", "part", "topic", "name", "weight").unionByName(of_tags.select("k", "part", "topic", "name", "weight"))
