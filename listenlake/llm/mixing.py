@@ -6,9 +6,12 @@ excess is shared again by weight (water filling, in closed form).
 
 Copies: a source whose target is r times its words gives every document
 floor(r) whole copies. The remaining words come from a Pareto order sample:
-documents are ranked by their random odds u/(1-u) over their inclusion odds,
-(part / (1 - part)) * lean for the part of r that is left and a lean that is
-by default the root of the size, so that longer documents are likelier.
+documents are ranked by their random odds u/(1-u) over their inclusion odds
+pi/(1-pi). A document's inclusion probability pi is its lean (by default the
+root of its size, so that longer documents are likelier) times one factor per
+source, 1 at most; the factor makes the expected words of the sample those that
+remain, where those that it lifts to 1 are certain; it is found from sums over
+equal leans.
 Documents are taken in that order until the next one would exceed the
 remaining words; then the order goes on with those that fit the gap, ``ROUNDS``
 times in all, so that a long document at the edge leaves no wide gap. The rank
@@ -41,21 +44,34 @@ def draw(id_col: str, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def odds_of(id_col: str, size: Column, seed: str, lean: Column | None = None) -> Column:
-    """Random odds over the lean."""
+def odds_of(id_col: str, seed: str) -> Column:
     u = draw(id_col, seed)
-    weight = F.sqrt(F.greatest(size, F.lit(1)).cast("double")) if lean is None else F.coalesce(lean.cast("double"), F.lit(1.0))
-    return u / (1 - u) / weight
+    return u / (1 - u)
+
+
+def lean_of(size: Column, lean: Column | None = None) -> Column:
+    """The root of the size, or ``lean`` to 12 bits, so that a source has a bounded number of them."""
+    if lean is None:
+        return F.sqrt(F.greatest(size, F.lit(1)).cast("double"))
+    given = F.coalesce(lean.cast("double"), F.lit(1.0))
+    octave = F.pow(F.lit(2.0), F.floor(F.log2(given)))
+    return F.floor(given / octave * 4096) / 4096 * octave
+
+
+def rank_of(odds: Column, lean: Column, factor: Column) -> Column:
+    """Random odds over inclusion odds; 0 for a document that is certain."""
+    pi = factor * lean
+    return F.when(pi >= 1, F.lit(0.0)).otherwise(odds / (pi / (1 - pi)))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lean: str | None = None, seed: str = "mix") -> DataFrame:
-    """One slim row per document: id, source, size, and its random odds over its lean (a column, or the root of its size)."""
+    """One slim row per document: id, source, size, its random odds and its lean (a column that is over 0, or the root of its size)."""
     slim = docs.select(F.col(id_col).alias("mix_id"), F.col(source).alias("mix_source"), words_in(text).alias("size"), *([F.col(lean).alias("lean")] if lean else []))
-    return slim.select("mix_id", "mix_source", "size", odds_of("mix_id", F.col("size"), seed, F.col("lean") if lean else None).alias("odds"))
+    return slim.select("mix_id", "mix_source", "size", odds_of("mix_id", seed).alias("odds"), lean_of(F.col("size"), F.col("lean") if lean else None).alias("lean"))
 
 
 def targets(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
-    """One row per source: source, source_size, target, whole copies, words left to sample, and inclusion odds."""
+    """One row per source: source, source_size, target, whole copies and words left to sample."""
     per = slim.groupBy("mix_source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("mix_source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
@@ -64,23 +80,42 @@ def targets(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
     every = Window.partitionBy()
     before, total = F.coalesce(F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.sum("source_size").over(every)
     left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", (total - cap * before) / left)
-    level = F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "level"))).over(every)["level"]
+    per = per.withColumn("level", (total - cap * before) / left).withColumn("at", F.row_number().over(order))
+    # The first source in this order that stays under its cap sets the level for all after it.
+    level = F.min(F.when(F.col("level") <= F.col("full"), F.struct("at", "level"))).over(every)["level"]
     target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(cap * F.col("source_size").cast("double"), F.coalesce(F.col("weight") * level, cap * F.col("source_size").cast("double"))))
     per = per.withColumn("target", target)
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     whole = F.floor(rate).cast("bigint")
-    part = rate - whole
-    return per.select("mix_source", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"), (part / (1 - part)).alias("inclusion"))
+    return per.select("mix_source", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
+
+
+def calibrated(slim: DataFrame, goal: DataFrame) -> DataFrame:
+    """``goal`` with the factor of each source: the sum of min(1, factor * lean) * size over its documents is what remains. Null where nothing does.
+
+    Leans are ordered from the top: the factor is the first that the next lean does not
+    lift to 1 when all before it are certain. A source has a row per lean, not per document.
+    """
+    # Decimal sums do not depend on the order of rows.
+    per = slim.where("size > 0").groupBy("mix_source", "lean").agg(F.sum("size").alias("words"), F.sum((F.col("lean") * F.col("size")).cast("decimal(38,9)")).alias("leaned"))
+    open_ = F.broadcast(goal.where("rest > 0").select(F.col("mix_source").alias("s"), "rest"))
+    by_lean = Window.partitionBy("s").orderBy(F.desc("lean"))
+    before = F.coalesce(F.sum("words").over(by_lean.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.sum("leaned").over(by_lean.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    tried = per.join(open_, per["mix_source"].eqNullSafe(F.col("s"))).select("s", "lean", ((F.col("rest") - before) / after).alias("factor"))
+    found = tried.where(F.col("factor") * F.col("lean") < 1).groupBy("s").agg(F.max_by("factor", "lean").alias("factor"))
+    return goal.join(found, goal["mix_source"].eqNullSafe(found["s"]), "left").drop("s")
 
 
 def plan(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
     """``targets`` with the rounds of each source: the words it had left, and the last rank and id that it took. ``slim`` is read a few times."""
     mark = made()
     goal = stored(targets(slim, weights, cap), "targets")
-    ranked = slim.join(F.broadcast(goal.where("rest > 0")), slim["mix_source"].eqNullSafe(goal["mix_source"])).select(slim["mix_source"], "mix_id", "size", F.try_divide("odds", "inclusion").alias("rank")).where("size > 0 and rank is not null")
+    goal = stored(calibrated(slim, goal), "targets")
+    ranked = slim.join(F.broadcast(goal.where("rest > 0")), slim["mix_source"].eqNullSafe(goal["mix_source"])).select(slim["mix_source"], "mix_id", "size", rank_of(F.col("odds"), F.col("lean"), F.col("factor")).alias("rank")).where("size > 0 and rank is not null")
     place = F.struct("rank", "mix_id")
-    band = F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * BANDS), F.lit(BANDS - 1)).cast("int")
+    # Certain documents are a band of their own, which the first round takes whole.
+    band = F.when(F.col("rank") == 0, -1).otherwise(F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * BANDS), F.lit(BANDS - 1))).cast("int")
     open_ = stored(ranked.select("mix_source", "size", place.alias("place"), band.alias("band")), "ranked")
     gaps = goal.where("rest > 0").select(F.col("mix_source").alias("s"), F.col("rest").alias("gap"), F.lit(None).cast(open_.schema["place"].dataType).alias("upto"))
     rounds = []
@@ -102,7 +137,7 @@ def plan(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3
     for more in rounds[1:]:
         every = every.unionByName(more)
     every = every.groupBy("r").agg(F.collect_list("round").alias("rounds"))
-    out = stored(goal.join(every, goal["mix_source"].eqNullSafe(every["r"]), "left").select("mix_source", "source_size", "target", "whole", "inclusion", "rounds"), "mix-plan")
+    out = stored(goal.join(every, goal["mix_source"].eqNullSafe(every["r"]), "left").select("mix_source", "source_size", "target", "whole", "factor", "rounds"), "mix-plan")
     drop_since(slim.sparkSession, mark, (out,))
     return out
 
@@ -118,7 +153,7 @@ def mix(slim: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3)
     """One row per document: mix_id, size, source_size, target, copies, taken."""
     found = plan(slim, weights, cap).withColumnRenamed("mix_source", "plan_source")
     joined = slim.join(found, slim["mix_source"].eqNullSafe(found["plan_source"]))
-    return joined.select("mix_id", "size", "source_size", "target", copies(F.try_divide("odds", "inclusion")).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return joined.select("mix_id", "size", "source_size", "target", copies(rank_of(F.col("odds"), F.col("lean"), F.col("factor"))).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
@@ -126,6 +161,6 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap:
     slim = stored(sized(docs, id_col, text, source, None, seed), "sized")
     found = plan(slim, weights, cap).withColumnRenamed("mix_source", "plan_source")
     wide = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("mix_id"), F.col(source).alias("mix_source"), words_in(text).alias("size"))
-    joined = wide.withColumn("odds", odds_of("mix_id", F.col("size"), seed)).join(found, wide["mix_source"].eqNullSafe(found["plan_source"]))
-    taken = joined.select("row", copies(F.try_divide("odds", "inclusion")).alias("copies")).where("copies > 0")
+    joined = wide.join(found, wide["mix_source"].eqNullSafe(found["plan_source"]))
+    taken = joined.select("row", copies(rank_of(odds_of("mix_id", seed), lean_of(F.col("size")), F.col("factor"))).alias("copies")).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

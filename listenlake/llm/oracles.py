@@ -23,19 +23,27 @@ WITH sized AS (
 named AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized GROUP BY source),
 levels AS (
-  SELECT *, 3.0::DOUBLE * source_size / weight AS full_,
+  SELECT *, row_number() OVER o AS place_, 3.0::DOUBLE * source_size / weight AS full_,
     (sum(source_size) OVER () - 3.0::DOUBLE * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM named WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST)),
 goal AS (
   SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(3.0::DOUBLE * source_size,
-    weight * (SELECT arg_min(level, full_) FROM levels WHERE level <= full_)) END AS target FROM levels),
+    weight * (SELECT arg_min(level, place_) FROM levels WHERE level <= full_)) END AS target FROM levels),
 rates AS (
   SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS whole FROM goal),
+leaning AS (
+  SELECT s.source, sqrt(size::DOUBLE) AS lean, row_number() OVER w AS i, r.target - r.whole * r.source_size AS rest,
+    coalesce(sum(size::DOUBLE) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(sqrt(size::DOUBLE) * size) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source WHERE size > 0 AND r.target - r.whole * r.source_size > 0
+  WINDOW w AS (PARTITION BY s.source ORDER BY size DESC, doc_id)),
+factors AS (
+  SELECT source, arg_min((rest - before) / after, i) AS factor FROM leaning WHERE (rest - before) / after * lean < 1 GROUP BY source),
 ranked AS (
   SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest,
-    s.u / (1 - s.u) / sqrt(greatest(s.size, 1)::DOUBLE) / (part / (1 - part)) AS rank
-  FROM sized s JOIN (SELECT *, target / greatest(source_size, 1) - whole AS part FROM rates) r ON s.source IS NOT DISTINCT FROM r.source),
+    CASE WHEN factor * s.lean >= 1 THEN 0.0::DOUBLE ELSE s.u / (1 - s.u) / (factor * s.lean / (1 - factor * s.lean)) END AS rank
+  FROM (SELECT *, sqrt(greatest(size, 1)::DOUBLE) AS lean FROM sized) s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN factors f ON s.source IS NOT DISTINCT FROM f.source),
 open1 AS (
   SELECT doc_id, source, size, rank, rest AS gap FROM ranked WHERE rest > 0 AND size > 0 AND size <= rest),
 upto1 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto FROM open1),

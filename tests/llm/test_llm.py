@@ -317,6 +317,36 @@ def test_longer_documents_are_likelier_and_ties_stay_together(spark):
     assert got.where("mix_id = 5000").select("taken").distinct().count() == 1
 
 
+def test_targets_of_equal_sources(spark):
+    # Sources of one size tie in the order of their caps; the words shared are all words.
+    df = spark.createDataFrame([(i, "w " * 10, None if i % 8 == 7 else f"s{i % 8}") for i in range(80)], "doc_id bigint, text string, source string")
+    slim = stored(mixing.sized(df), "sized")
+    for weights, cap, want in (((5, 2, 1), 3, [800 * w / 23 for w in (5, 2, 1, 5, 2, 1, 5, 2)]), ((1, 3), 1.2, [80, 120] * 4), ((1,), 3, [100] * 8)):
+        got = mixing.targets(slim, weights, cap).orderBy(F.col("mix_source").asc_nulls_last()).collect()
+        assert [r["target"] for r in got] == pytest.approx(want)
+
+
+def test_inclusion_follows_its_probability(spark):
+    # 200 sources of the same documents, of which half of the words are sampled: the share that takes a document is its pi.
+    sizes = [1, 2, 3, 5, 8, 400] + [10 + i for i in range(54)]
+    df = spark.createDataFrame([(1000 * k + i, "w " * n, f"s{k:03d}") for k in range(200) for i, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    slim = stored(mixing.sized(df), "sized")
+    got = mixing.mix(slim, weights=(1, 3)).groupBy((F.col("mix_id") % 1000).alias("i"), "size").agg(F.avg(F.when(F.col("target") < F.col("source_size"), F.col("copies")).otherwise(F.col("copies") - 1)).alias("share")).collect()
+    rest, certain = sum(sizes) / 2, []
+    while True:
+        factor = (rest - sum(certain)) / sum(n**1.5 for n in sizes if n not in certain)
+        more = [n for n in sizes if factor * n**0.5 >= 1]
+        if more == certain:
+            break
+        certain = more
+    pi = {n: min(1.0, factor * n**0.5) for n in sizes}
+    assert certain and abs(sum(pi[n] * n for n in sizes) - rest) < 1e-6
+    assert all(r["share"] == 1 for r in got if r["size"] in certain)
+    # Four standard errors of one document, and the rounds that fill the gap with short ones.
+    assert all(abs(r["share"] - pi[r["size"]]) < 4 * (0.25 / 200) ** 0.5 + 0.02 for r in got if r["size"] > 8)
+    assert abs(np.mean([r["share"] - pi[r["size"]] for r in got if r["size"] > 8])) < 0.02
+
+
 def test_lean_changes_inclusion(spark):
     df = spark.createDataFrame([(i, "w", "a" if i < 1000 else "b", 9.0 if i % 2 else 1.0) for i in range(2000)], "doc_id bigint, text string, source string, lean double")
     got = mixing.mix(stored(mixing.sized(df, lean="lean"), "sized")).where("copies = 0 and target < source_size").groupBy((F.col("mix_id") % 2).alias("odd")).count().collect()
