@@ -79,20 +79,37 @@ walk AS (
 labels AS (
   SELECT host, general, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good FROM known GROUP BY ALL),
 nodes AS (
-  SELECT host, depth, above, done, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(bad + good) AS BIGINT) AS n, (sum(bad) + 1.0::DOUBLE) / (sum(bad + good) + 2.0::DOUBLE) AS share
+  SELECT host, depth, above, done, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(bad + good) AS BIGINT) AS n, (sum(bad) + 1.0::DOUBLE) / (sum(bad + good) + 2.0::DOUBLE) AS share,
+    CAST(coalesce(sum(bad + good) FILTER (len(rest) = 0), 0) AS BIGINT) AS own, CAST(coalesce(sum(good) FILTER (len(rest) = 0), 0) AS BIGINT) AS own_good
   FROM walk JOIN labels USING (host, general) GROUP BY ALL HAVING sum(bad + good) > 0),
+below AS (
+  SELECT host, depth - 1 AS depth, above AS done, CAST(sum(CAST(floor(n * 1000000.0::DOUBLE / (1.0::DOUBLE + (n - 1.0::DOUBLE) * 0.05::DOUBLE)) AS BIGINT)) AS BIGINT) AS weight,
+    CAST(sum(CAST(floor((n - bad) * 1000000.0::DOUBLE / (1.0::DOUBLE + (n - 1.0::DOUBLE) * 0.05::DOUBLE)) AS BIGINT)) AS BIGINT) AS good_weight
+  FROM nodes WHERE depth > 0 GROUP BY ALL),
+weighed AS (
+  SELECT n.*, coalesce(weight, 0) + CASE WHEN own > 0 THEN CAST(floor(own * 1000000.0::DOUBLE / (1.0::DOUBLE + (own - 1.0::DOUBLE) * 0.05::DOUBLE)) AS BIGINT) ELSE 0 END AS weight,
+    coalesce(good_weight, 0) + CASE WHEN own > 0 THEN CAST(floor(own_good * 1000000.0::DOUBLE / (1.0::DOUBLE + (own - 1.0::DOUBLE) * 0.05::DOUBLE)) AS BIGINT) ELSE 0 END AS good_weight
+  FROM nodes n LEFT JOIN below b ON n.host = b.host AND n.depth = b.depth AND n.done = b.done),
 beside AS (
   SELECT *, lag(bad) OVER o AS bad_, lag(n) OVER o AS n_, (bad + lag(bad) OVER o + 1.0::DOUBLE) / (n + lag(n) OVER o + 2.0::DOUBLE) AS both_
-  FROM nodes WINDOW o AS (PARTITION BY host, depth, above ORDER BY share, md5(done[2:]))),
+  FROM weighed WINDOW o AS (PARTITION BY host, depth, above ORDER BY share, md5(done[2:]))),
 split AS (
   SELECT *, CASE WHEN abs(bad / n::DOUBLE - bad_ / n_::DOUBLE) > 1.96::DOUBLE * sqrt(both_ * (1 - both_) * (1.0::DOUBLE / n + 1.0::DOUBLE / n_)) THEN 1 ELSE 0 END AS new_ FROM beside),
 branches AS (
   SELECT *, sum(new_) OVER (PARTITION BY host, depth, above ORDER BY share, md5(done[2:])) AS branch FROM split),
+pooled AS (
+  SELECT host, depth, done, own, CAST(sum(n - bad) OVER w AS DOUBLE) AS good, CAST(sum(n) OVER w AS DOUBLE) AS n, sum(good_weight) OVER w / 1000000.0::DOUBLE AS g_, sum(weight) OVER w / 1000000.0::DOUBLE AS w_
+  FROM branches WINDOW w AS (PARTITION BY host, depth, above, branch)),
 pure AS (
-  SELECT host, depth, done, (sum(n - bad) OVER w + 1.0::DOUBLE) / (sum(n) OVER w + 2.0::DOUBLE) AS purity FROM branches WINDOW w AS (PARTITION BY host, depth, above, branch)),
+  SELECT *, (g_ / w_ + 3.8416::DOUBLE / (2 * w_) + 1.96::DOUBLE * sqrt(g_ / w_ * (1 - g_ / w_) / w_ + 3.8416::DOUBLE / (4 * w_ * w_))) / (1 + 3.8416::DOUBLE / w_) AS bound FROM pooled),
+steps AS (
+  SELECT w.host, w.general, list({'g': good, 'n': n, 'e': 0.5::DOUBLE} ORDER BY w.depth) AS path, arg_max(bound, w.depth) AS bound, max(CASE WHEN len(rest) = 0 THEN own ELSE 0 END) AS own
+  FROM walk w JOIN pure p ON w.host = p.host AND w.depth = p.depth AND w.done = p.done GROUP BY ALL),
+ends AS (
+  SELECT host, general, own, bound, list_reduce(path, lambda a, b: {'g': b.g, 'n': b.n, 'e': (a.g - b.g + 2 * a.e) / (a.n - b.n + 2)}) AS last FROM steps),
 judged AS (
-  SELECT w.host, w.general, arg_max(purity, w.depth) AS purity FROM walk w JOIN pure p ON w.host = p.host AND w.depth = p.depth AND w.done = p.done GROUP BY ALL)
-SELECT k.page_id, k.host, k.path, k.rule, coalesce(k.ruled, CASE WHEN purity < 0.35::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+  SELECT host, general, CASE WHEN own > 0 THEN 0 ELSE bound END AS bound, (last.g + 2 * last.e) / (last.n + 2) AS purity FROM ends)
+SELECT k.page_id, k.host, k.path, k.rule, coalesce(k.ruled, CASE WHEN purity < 0.35::DOUBLE AND bound < 0.35::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM known k LEFT JOIN judged j ON k.host = j.host AND k.general = j.general
 """
 

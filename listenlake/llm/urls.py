@@ -10,10 +10,16 @@ tree of path templates per host:
 2. The labelled branches below a node are ordered by their smoothed share of
    bad labels. Neighbours in that order whose shares don't differ (two-sided
    test of two proportions) are merged and judged together.
-3. A template is judged by the deepest of its nodes whose merged branches have
-   labels: itself, a folder above, or the host. It is rejected when the purity
-   there, (good + 1) / (labels + 2), is under ``min_purity``. A host without
-   labels rejects nothing.
+3. The purity of a template is its share of good labels, drawn towards that of
+   the labels around it: from the host down, each folder's labels outside the
+   next one are added to ``prior`` labels of the purity found so far, so no
+   label counts twice. A template is rejected under ``min_purity``. One
+   without labels of its own must show more: the upper bound of the interval of
+   purity (Wilson, ``z``) at its deepest folder with labels has to be under
+   ``min_purity`` too. In it, the labels of one child weigh less the more they
+   are, as they are alike: n count as n / (1 + (n - 1) * likeness). So a label
+   alone never rejects another template, and a single folder does so only
+   with 11 labels or more. A host without labels rejects nothing.
 
 A null url, or one without ``://``, has an empty host and path; repeated rows
 are judged alike; labels may be null; an empty table gives no rows. Input
@@ -36,11 +42,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class TemplateRules:
-    """``z``: standard errors by which the shares of merged neighbours may differ."""
+    """``z``: standard errors by which the shares of merged neighbours may differ, and of the bound; ``prior``: labels that the surroundings count as; ``likeness``: correlation of the labels of one child."""
 
     max_children: int = 50
     z: float = 1.96
     min_purity: float = 0.35
+    prior: float = 2.0
+    likeness: float = 0.05
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -89,34 +97,78 @@ def templates(paths: DataFrame, max_children: int) -> DataFrame:
     return out
 
 
+def weighed(part: Column, n: Column, likeness: float) -> Column:
+    """``part`` of the ``n`` labels of one child, by what they count for; in millionths, so that sums don't depend on their order."""
+    return F.floor(part * 1000000.0 / (1.0 + (n - 1.0) * likeness))
+
+
+def purity_of(path: Column, prior: float) -> Column:
+    """Purity at the end of ``path``: (good, labels) of the nodes from the host down; null without any."""
+    first = F.struct(F.get(path, F.lit(0))["good"].alias("good"), F.get(path, F.lit(0))["labels"].alias("labels"), F.lit(0.5).alias("around"))
+
+    def down(a: Column, x: Column) -> Column:
+        around = (a["good"] - x["good"] + prior * a["around"]) / (a["labels"] - x["labels"] + prior)
+        return F.struct(x["good"].alias("good"), x["labels"].alias("labels"), around.alias("around"))
+
+    return F.aggregate(F.slice(path, 2, 1 << 30), first, down, lambda a: (a["good"] + prior * a["around"]) / (a["labels"] + prior))
+
+
+def upper_bound(good: Column, n: Column, z: float) -> Column:
+    """Upper end of the Wilson interval of good / n."""
+    share = good / n
+    return (share + z * z / (2 * n) + z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def path_nodes(template: Column) -> Column:
+    """Digests of the folders of a template, from the host down; the last one is its own."""
+
+    def digests(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda d: F.concat(d.cast("string"), F.lit(":"), F.md5(F.array_join(F.slice(parts, F.lit(1), d), "/").cast("binary"))))
+
+    # The template is split once, outside the function of each depth.
+    return F.get(F.transform(F.array(F.split(F.substring(template, 2, 1 << 30), "/")), digests), F.lit(0))
+
+
 def judged_templates(leaves: DataFrame, rules: TemplateRules) -> DataFrame:
-    """host, template, purity (null without labels) of the rows host, template, bad, good."""
-    parts = F.split(F.substring("template", 2, 1 << 30), "/")
-    node = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda d: F.concat(d.cast("string"), F.lit(":"), F.md5(F.array_join(F.slice("parts", F.lit(1), d), "/").cast("binary"))))
-    walk = leaves.withColumn("parts", parts).select("host", "template", "bad", "good", node.alias("nodes")).select("*", F.posexplode("nodes").alias("depth", "node"))
-    walk = stored(walk.withColumn("parent", F.get("nodes", F.col("depth") - 1)).drop("nodes"), "branches")
-    nodes = walk.groupBy("host", "node").agg(F.first("parent").alias("parent"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("rows")).where("bad + good > 0")
+    """host, template, purity and bound (the purity itself for templates with labels; both null without labels) of the rows host, template (a digest), nodes, bad, good."""
+    # Exploded rows carry neither the template nor all its nodes: a path of d segments gives d small rows.
+    above = F.concat(F.array(F.lit(None).cast("string")), F.slice("nodes", F.lit(1), F.size("nodes") - 1))
+    walk = leaves.select("host", "template", "bad", "good", (F.size("nodes") - 1).alias("end"), "nodes", above.alias("above"))
+    walk = walk.select("host", "template", "bad", "good", "end", F.posexplode(F.arrays_zip("nodes", "above")).alias("depth", "at"))
+    walk = stored(walk.select("host", "template", "bad", "good", "end", "depth", F.col("at.nodes").alias("node"), F.col("at.above").alias("parent")), "branches")
+    last = F.col("depth") == F.col("end")
+    n, own = F.col("bad") + F.col("good"), F.col("own_bad") + F.col("own_good")
+    nodes = walk.groupBy("host", "node").agg(F.first("parent").alias("parent"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum(F.when(last, F.col("bad")).otherwise(0)).alias("own_bad"), F.sum(F.when(last, F.col("good")).otherwise(0)).alias("own_good"), F.count("*").alias("rows")).where("bad + good > 0")
+    nodes = stored(nodes, "labelled")
+    below = nodes.groupBy("host", F.col("parent").alias("node")).agg(*(F.sum(weighed(x, n, rules.likeness)).alias(name) for x, name in ((n, "below"), (F.col("good"), "good_below"))))
+    zero = F.lit(0).cast("bigint")
+    alone = [F.when(own > 0, weighed(x, own, rules.likeness)).otherwise(zero) for x in (own, F.col("own_good"))]
+    nodes = nodes.join(below, ["host", "node"], "left").withColumn("weight", F.coalesce("below", zero) + alone[0]).withColumn("good_weight", F.coalesce("good_below", zero) + alone[1])
     # A node has max_children children at most, so the windows are small.
-    n, order = F.col("bad") + F.col("good"), Window.partitionBy("host", "parent").orderBy("share", "node")
+    order = Window.partitionBy("host", "parent").orderBy("share", "node")
     nodes = nodes.withColumn("share", (F.col("bad") + 1.0) / (n + 2.0)).withColumn("bad_before", F.lag("bad").over(order)).withColumn("n_before", F.lag(n).over(order))
     both = (F.col("bad") + F.col("bad_before") + 1.0) / (n + F.col("n_before") + 2.0)
     differ = F.abs(F.col("bad") / n - F.col("bad_before") / F.col("n_before")) > rules.z * F.sqrt(both * (1 - both) * (F.lit(1.0) / n + F.lit(1.0) / F.col("n_before")))
     merged = nodes.withColumn("branch", F.sum(F.coalesce(differ.cast("int"), F.lit(0))).over(order))
     pool = Window.partitionBy("host", "parent", "branch")
-    good, labels = F.sum("good").over(pool), F.sum(n).over(pool)
-    pure = stored(merged.select("host", "node", "rows", ((good + 1.0) / (labels + 2.0)).alias("purity")), "purity")
-    deepest = join_spread(walk.select("host", "template", "depth", "node"), pure, ["host", "node"], "rows")
-    return deepest.groupBy("host", "template").agg(F.max_by("purity", F.when(F.col("purity").isNotNull(), F.col("depth"))).alias("purity"))
+    bound = upper_bound(F.sum("good_weight").over(pool) / 1000000.0, F.sum("weight").over(pool) / 1000000.0, rules.z)
+    pure = stored(merged.select("host", "node", "rows", F.sum("good").over(pool).cast("double").alias("pool_good"), F.sum(n).over(pool).cast("double").alias("labels"), bound.alias("bound")), "purity")
+    met = join_spread(walk.select("host", "template", "bad", "good", "depth", "node"), pure, ["host", "node"], "rows")
+    step = F.when(F.col("labels").isNotNull(), F.struct("depth", F.col("pool_good").alias("good"), "labels", "bound"))
+    paths = met.groupBy("host", "template").agg(F.max(n).alias("own"), F.array_sort(F.collect_list(step)).alias("path"))
+    found = paths.select("host", "template", "own", purity_of(F.col("path"), rules.prior).alias("purity"), F.get("path", F.size("path") - 1)["bound"].alias("bound"))
+    return found.select("host", "template", "purity", F.when(F.col("own") > 0, F.col("purity")).otherwise(F.col("bound")).alias("bound"))
 
 
 def template_verdicts(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
-    """host, general, rows, template, purity and verdict of every path, from rows of host, general and bad (true, false or null)."""
+    """host, general, rows, template, purity, bound and verdict of every path, from rows of host, general and bad (true, false or null)."""
     seen = stored(pages.groupBy("host", "general").agg(F.count("*").alias("rows"), F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")), "paths")
     found = templates(seen, rules.max_children)
-    named = stored(seen.join(found, ["host", "general"]), "named")
-    judged = judged_templates(named.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), rules)
-    verdict = F.when(F.col("purity") < rules.min_purity, "block").otherwise("allow")
-    return stored(named.select("host", "general", "rows", "template").join(judged, ["host", "template"]).withColumn("verdict", verdict), "verdicts")
+    named = stored(seen.join(found, ["host", "general"]).withColumn("leaf", F.md5(F.col("template").cast("binary"))), "named")
+    leaves = named.groupBy("host", "leaf").agg(F.first("template").alias("text"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    judged = judged_templates(leaves.select("host", F.col("leaf").alias("template"), path_nodes(F.col("text")).alias("nodes"), "bad", "good"), rules).withColumnRenamed("template", "leaf")
+    verdict = F.when((F.col("purity") < rules.min_purity) & (F.col("bound") < rules.min_purity), "block").otherwise("allow")
+    return stored(named.select("host", "general", "rows", "template", "leaf").join(judged, ["host", "leaf"]).drop("leaf").withColumn("verdict", verdict), "verdicts")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", labels: Column | None = None, template_rules: TemplateRules = TemplateRules()) -> DataFrame:

@@ -44,7 +44,7 @@ def plain_spans(texts):
     return out
 
 
-def plain_verdicts(rows, max_children=50, z=1.96, min_purity=0.35):
+def plain_verdicts(rows, max_children=50, z=1.96, min_purity=0.35, prior=2.0, likeness=0.05):
     """Verdicts of (host, path, bad or None) by a tree held in memory."""
     import hashlib
     import re
@@ -63,24 +63,47 @@ def plain_verdicts(rows, max_children=50, z=1.96, min_purity=0.35):
             c = count.setdefault((h, d[:k]), [0, 0])
             if bad is not None:
                 c[not bad] += 1
-    purity, siblings = {}, {}
+    own = {}
+    for (h, _, bad), d in zip(rows, done):
+        c = own.setdefault((h, d), [0, 0])
+        if bad is not None:
+            c[not bad] += 1
+    weigh = lambda x, n: int(x * 1e6 / (1.0 + (n - 1.0) * likeness))
+    weight, siblings = {}, {}
     for (h, d), (bad, good) in count.items():
         if bad + good:
             siblings.setdefault((h, d[:-1] if d else None), []).append(((bad + 1.0) / (bad + good + 2.0), hashlib.md5("/".join(d).encode()).hexdigest(), bad, good, (h, d)))
+            if d:
+                w = weight.setdefault((h, d[:-1]), [0, 0])
+                w[0] += weigh(bad + good, bad + good)
+                w[1] += weigh(good, bad + good)
+    for at, (bad, good) in own.items():
+        if bad + good:
+            w = weight.setdefault(at, [0, 0])
+            w[0] += weigh(bad + good, bad + good)
+            w[1] += weigh(good, bad + good)
+    pooled = {}
     for group in siblings.values():
         group.sort()
         run, last = [], None
         for item in [*group, None]:
             if run and (item is None or abs(item[2] / (item[2] + item[3]) - last[2] / (last[2] + last[3])) > z * (lambda n, m, p: (p * (1 - p) * (1 / n + 1 / m)) ** 0.5)(item[2] + item[3], last[2] + last[3], (item[2] + last[2] + 1) / (sum(item[2:4]) + sum(last[2:4]) + 2))):
                 bad, good = sum(x[2] for x in run), sum(x[3] for x in run)
+                n = sum(weight[x[4]][0] for x in run) / 1e6
+                share = sum(weight[x[4]][1] for x in run) / 1e6 / n
+                bound = (share + z * z / (2 * n) + z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
                 for x in run:
-                    purity[x[4]] = (good + 1) / (bad + good + 2)
+                    pooled[x[4]] = good, bad + good, bound
                 run = []
             if item is not None:
                 run.append(item)
                 last = item
     out = []
     for (h, _, _), d in zip(rows, done):
-        known = [purity[h, d[:k]] for k in range(len(d) + 1) if (h, d[:k]) in purity]
-        out.append("block" if known and known[-1] < min_purity else "allow")
+        known = [pooled[h, d[:k]] for k in range(len(d) + 1) if (h, d[:k]) in pooled]
+        around = 0.5
+        for (g, n, _), (g2, n2, _) in zip(known, known[1:]):
+            around = (g - g2 + prior * around) / (n - n2 + prior)
+        bad = bool(known) and (known[-1][0] + prior * around) / (known[-1][1] + prior) < min_purity
+        out.append("block" if bad and (sum(own[h, d]) > 0 or known[-1][2] < min_purity) else "allow")
     return out

@@ -422,7 +422,22 @@ def test_very_long_paths(spark):
     long = "http://h.io" + "/a" * 20_000
     df = spark.createDataFrame([(1, long, True), (2, long, None), (None, None, None), (3, "http://h.io/b", None)], "page_id bigint, url string, bad boolean")
     got = {r["page_id"]: r["url_verdict"] for r in urls.judge_urls(df, [], labels=F.col("bad")).collect()}
-    assert got == {1: "block", 2: "block", 3: "block", None: "allow"}
+    assert got == {1: "block", 2: "block", 3: "allow", None: "allow"}
+
+
+def test_a_few_labels_reject_no_other_folder(spark):
+    rows = [("one.org", "/en/a", True), ("one.org", "/contact", None), ("one.org", "/fr/about", None), ("one.org", "/en/b", None), ("one.org", "/en/a", None)]
+    rows += [("few.org", f"/en/{i}", True) for i in range(10)] + [("few.org", "/fr/1", None), ("few.org", "/en/99", None)]
+    rows += [("many.org", f"/en/{i}", True) for i in range(11)] + [("many.org", "/fr/1", None)]
+    rows += [("wide.org", f"/{x}/{i}", True) for x in "abcd" for i in range(3)] + [("wide.org", "/e/1", None)]
+    rows += [("mixed.org", f"/{x}/{i}", x in "abc") for x in "abcd" for i in range(30)] + [("mixed.org", "/a/new", None), ("mixed.org", "/d/new", None), ("mixed.org", "/e/1", None)]
+    df = spark.createDataFrame([(i, f"http://{h}{p}", bad) for i, (h, p, bad) in enumerate(rows)], "page_id bigint, url string, bad boolean")
+    got = {r["page_id"]: r["url_verdict"] for r in urls.judge_urls(df, [], labels=F.col("bad")).collect()}
+    assert [got[i] for i in sorted(got)] == plain_verdicts(rows)
+    seen = {(h, p): got[i] for i, (h, p, bad) in enumerate(rows) if bad is None}
+    assert [p for (h, p), v in seen.items() if h == "one.org" and v == "block"] == ["/en/a"]
+    assert [seen["few.org", "/fr/1"], seen["few.org", "/en/99"], seen["many.org", "/fr/1"], seen["wide.org", "/e/1"]] == ["allow", "block", "block", "block"]
+    assert [seen["mixed.org", p] for p in ("/a/new", "/d/new", "/e/1")] == ["block", "allow", "allow"]
 
 
 def test_neighbours_recall_and_ties(spark):
