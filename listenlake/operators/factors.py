@@ -6,11 +6,15 @@ value decomposition and are updated in turns by coordinate descent, until what t
 gradients still ask for has fallen to ``tol`` of the first round; all is deterministic.
 
 A table of at most ``cells`` patterns by tags is solved in one task per K. A larger one
-is dealt to blocks of patterns by tags, and the factors are tables of blocks: products
+with at most ``narrow`` tags is dealt to blocks of whole patterns (``Tall``): a block's
+entries and its rows of all factors stand in one row of a table, the tags' factors go to
+all tasks, and a round is one narrow pass for all K that hands back sums of k by k and k
+by tags. The singular vectors come from the tags' Gram matrix. One with more tags is dealt
+to blocks of patterns by tags, and the factors are tables of blocks: products
 with the entries are joins on a block's number, summed in two steps; k by k Gram
 matrices are sums that go to all tasks; a coordinate pass needs nothing else than its own
 row. The singular vectors come from subspace iteration by the same products. Tables of a
-round are written and those before it deleted. Both ways give the same factors to the
+round are written and those before it deleted. All ways give the same factors to the
 accuracy of their sums.
 """
 
@@ -21,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +35,10 @@ from listenlake.shared import drop_since, made, stored
 
 @dataclass(frozen=True)
 class FactorParams:
-    """``rows``, ``columns``: the sides of a block. ``extra``: vectors of the subspace beyond k; ``turns``: its iterations at most."""
+    """``rows``, ``columns``: the sides of a block. ``extra``: vectors of the subspace beyond k; ``turns``: its iterations at most. ``narrow``: tags of a table that is not cut between them."""
 
     cells: int = 1 << 23
+    narrow: int = 1 << 10
     rows: int = 1 << 15
     columns: int = 1 << 13
     extra: int = 8
@@ -234,6 +240,157 @@ class Blocks:
         return w, h
 
 
+def _sparse(a: np.ndarray) -> bytes:
+    """A factor's rows as a bit for each weight and the positive ones."""
+    return np.packbits(a > 0).tobytes() + _bytes(a[a > 0])
+
+
+def _dense(x: bytes, k: int, n: int) -> np.ndarray:
+    some = np.unpackbits(np.frombuffer(x, np.uint8, -(-k * n // 8)), count=k * n).astype(bool)
+    a = np.zeros(k * n)
+    a[some] = np.frombuffer(x, np.float64, offset=-(-k * n // 8))
+    return a.reshape(k, n)
+
+
+class Tall:
+    """A table with few tags in blocks of whole rows (b, n, m, at, c, v, w): ``at`` is where each row's entries begin, ``w`` has the block's rows of one factor for each K."""
+
+    FORM = "b bigint, n bigint, m binary, at binary, c binary, v binary, w array<binary>, sums binary"
+    #: Cells of a slice of a block, few enough for a processor's cache.
+    CELLS = 1 << 16
+
+    def __init__(self, entries: DataFrame, n_blocks: int, n_tags: int):
+        """``entries`` (rb, r, m, c, v), each row with at least one of them."""
+
+        def pack(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values(["r", "c"])
+            r, first = np.unique(f["r"].to_numpy(), return_index=True)
+            rows = {"b": f["rb"].iloc[0], "n": len(r), "m": _bytes(f["m"].to_numpy()[first]), "at": _bytes(np.append(first, len(f)), np.int64), "c": _bytes(f["c"], np.int32), "v": _bytes(f["v"]), "w": None, "sums": None}
+            return pd.DataFrame([rows])
+
+        self.tags, self.spark = n_tags, entries.sparkSession
+        self.x = stored(entries.repartition(n_blocks, "rb").groupBy("rb").applyInPandas(pack, self.FORM), "entries")
+
+    @classmethod
+    def slices(cls, row, n_tags: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Places, whole rows and multiplicities of one slice of a block after the other."""
+        m, at, c, v = (np.frombuffer(x, kind) for x, kind in ((row.m, np.float64), (row.at, np.int64), (row.c, np.int32), (row.v, np.float64)))
+        step = max(16, cls.CELLS // n_tags)
+        for a in range(0, len(m), step):
+            own = slice(a, min(a + step, len(m)))
+            few = at[own.start : own.stop + 1]
+            x = np.zeros((len(few) - 1, n_tags))
+            x[np.repeat(np.arange(len(x)), np.diff(few)), c[few[0] : few[-1]]] = v[few[0] : few[-1]]
+            yield own, x, m[own]
+
+    def added(self, size: int, of) -> np.ndarray:
+        """The sum of the array of ``size`` numbers that ``of`` makes of (x, m) over all slices; one row from each task."""
+        n_tags = self.tags
+
+        def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(size)
+            for f in frames:
+                for row in f.itertuples(index=False):
+                    for _, x, m in Tall.slices(row, n_tags):
+                        total += np.asarray(of(x, m)).ravel()
+            yield pd.DataFrame({"sums": [_bytes(total)]})
+
+        return self.total(self.x.select("m", "at", "c", "v").mapInPandas(add, "sums binary"), size)
+
+    @staticmethod
+    def total(df: DataFrame, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for r in df.select("sums").toLocalIterator():
+            out += np.frombuffer(r[0], np.float64)
+        return out
+
+    def fit(self, ks: list[int], max_iter: int, tol: float) -> dict[int, tuple[DataFrame, np.ndarray]]:
+        """For each K the factor of rows (b, n, w) and that of tags (k by tags)."""
+        n_tags, q = self.tags, max(ks)
+        squares, vectors = np.linalg.eigh(self.added(n_tags * n_tags, lambda x, m: (x.T * m) @ x).reshape(n_tags, n_tags))
+        s, v = np.sqrt(np.maximum(squares[::-1][:q], 0)), vectors[:, ::-1].T[:q]
+        s = np.where(s > 1e-7 * s[0], s, 0.0)
+        good = np.flatnonzero(s)
+        turn = v[good] / s[good, None]
+
+        def parts(x: np.ndarray, m: np.ndarray | float) -> np.ndarray:
+            return np.stack([(np.maximum(x, 0) ** 2 * m).sum(1), (np.maximum(-x, 0) ** 2 * m).sum(1)])
+
+        of_rows = self.added(2 * len(good), lambda x, m: parts(turn @ x.T, m)).reshape(2, -1)
+        of_tags = parts(v[good], 1.0)
+        norms = [tuple((of_rows[i][g], of_tags[i][g]) for i in (0, 1)) for g in range(len(good))]
+
+        def begin(k: int, x: np.ndarray) -> np.ndarray:
+            u, a = turn @ x.T, np.zeros((k, len(x)))
+            for g, j in enumerate(good):
+                if j < k:
+                    a[j] = side(j, u[g], v[j], s[j], *norms[g])[0]
+            return a
+
+        hs = {k: np.zeros((k, n_tags)) for k in ks}
+        for k, h in hs.items():
+            for g, j in enumerate(good):
+                if j < k:
+                    h[j] = side(j, v[j], v[j], s[j], *norms[g])[1]
+        state, first, found, mark = self.x, {}, {}, made()
+        for turn_no in range(max_iter):
+            now = list(hs)
+
+            def move(frames: Iterator[pd.DataFrame], now=now, hs=dict(hs), fresh=not turn_no) -> Iterator[pd.DataFrame]:
+                grams = {k: hs[k] @ hs[k].T for k in now}
+                sums = {k: (np.zeros((k, k)), np.zeros((k, n_tags))) for k in now}
+                moved = dict.fromkeys(now, 0.0)
+                for f in frames:
+                    ws = []
+                    for row in f.itertuples(index=False):
+                        factors = {k: np.zeros((k, row.n)) if fresh else _dense(row.w[i], k, row.n) for i, k in enumerate(now)}
+                        for own, x, m in Tall.slices(row, n_tags):
+                            for k in now:
+                                a = begin(k, x) if fresh else np.ascontiguousarray(factors[k][:, own])
+                                moved[k] += coordinates(a, grams[k], hs[k] @ x.T, m)
+                                factors[k][:, own] = a
+                                heavy = a * m
+                                sums[k][0][:] += heavy @ a.T
+                                sums[k][1][:] += heavy @ x
+                        ws.append([_sparse(factors[k]) for k in now])
+                    yield f.assign(w=ws)
+                flat = np.concatenate([np.concatenate([[moved[k]], sums[k][0].ravel(), sums[k][1].ravel()]) for k in now])
+                yield pd.DataFrame([{"b": -1, "n": 0, "m": None, "at": None, "c": None, "v": None, "w": None, "sums": _bytes(flat)}])
+
+            new = stored(state.mapInPandas(move, self.FORM), "factor")
+            sizes = [1 + k * k + k * n_tags for k in now]
+            sums = np.split(self.total(new.where("b < 0"), sum(sizes)), np.cumsum(sizes)[:-1])
+            state = new.where("b >= 0")
+            for i, (k, flat) in enumerate(zip(now, sums, strict=True)):
+                moved = flat[0] + coordinates(hs[k], flat[1 : 1 + k * k].reshape(k, k), flat[1 + k * k :].reshape(k, n_tags))
+                first.setdefault(k, moved)
+                if first[k] == 0 or moved / first[k] <= tol or turn_no + 1 == max_iter:
+                    found[k] = stored(state.select("b", "n", F.get("w", F.lit(i)).alias("w")), "factor"), hs.pop(k)
+            if not hs:
+                break
+            if len(hs) < len(now):
+                state = state.withColumn("w", F.array(*(F.get("w", F.lit(i)) for i, k in enumerate(now) if k in hs)))
+            drop_since(self.spark, mark, (new, *(w for w, _ in found.values())))
+        drop_since(self.spark, mark, tuple(w for w, _ in found.values()))
+        return found
+
+    @staticmethod
+    def rows(factor: DataFrame, k: int) -> DataFrame:
+        """k, b, at, topics, weights of every row with a positive weight."""
+
+        def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b, n, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    a = _dense(w, k, n).T
+                    row, topic = np.nonzero(a)
+                    at, first = np.unique(row, return_index=True)
+                    ends = pa.array(np.append(first, len(row)), pa.int32())
+                    lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (topic.astype(np.int64), a[row, topic]))
+                    yield pa.record_batch([pa.array(np.full(len(at), b)), pa.array(at.astype(np.int32)), *lists], names=["b", "at", "topics", "weights"])
+
+        return factor.mapInArrow(flat, "b bigint, at int, topics array<bigint>, weights array<double>").select(F.lit(k).cast("bigint").alias("k"), "b", "at", "topics", "weights")
+
+
 def factor_table(tags: DataFrame, k_grid: tuple[int, ...], max_iter: int, params: FactorParams = FactorParams()) -> DataFrame:
     """k, part ('doc' or 'tag'), topic, name, weight of all positive weights of the factors of ``tags`` (doc, tag, weight) for every K between 1 and the shorter side.
 
@@ -276,6 +433,18 @@ def factor_table(tags: DataFrame, k_grid: tuple[int, ...], max_iter: int, params
 
         grid = entries.select("r", "c", "v", "m", F.explode(F.array(*map(F.lit, ks))).alias("k"))
         found = stored(grid.groupBy("k").applyInPandas(fit, "k bigint, part string, b bigint, at int, topic bigint, weight double"), "factors")
+    elif n_cb == 1 and n_tags <= params.narrow:
+        fitted = Tall(entries.select("rb", "r", "m", "c", "v"), n_rb, n_tags).fit(ks, max_iter, params.tol)
+        tag_names = [r["tag"] for r in columns.orderBy("c").collect()]
+        of_tags = spark.createDataFrame([(k, "tag", int(j), tag_names[c], float(h[j, c])) for k, (_, h) in fitted.items() for j, c in zip(*np.nonzero(h), strict=True)], form)
+        each = None
+        for k, (w, _) in fitted.items():
+            own = Tall.rows(w, k)
+            each = own if each is None else each.unionByName(own)
+        # A row per document and K until here; the weights are opened after the join.
+        placed_docs = per_doc.select("pattern", "doc").join(rows.select("pattern", F.col("rb").alias("b"), F.col("r").alias("at")), "pattern").select("doc", "b", "at")
+        joined = each.join(placed_docs, ["b", "at"]).select("k", "doc", F.explode(F.arrays_zip("topics", "weights")).alias("e"))
+        return joined.select("k", F.lit("doc").alias("part"), F.col("e.topics").alias("topic"), F.col("doc").alias("name"), F.col("e.weights").alias("weight")).unionByName(of_tags)
     else:
         packed = rows.groupBy("rb").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("r", "m"))), lambda s: s["m"]).alias("ms"))
 

@@ -56,3 +56,26 @@ def test_odd_tables(spark, cells):
     got = factor_table(odd, (1, 2), 5, params).collect()
     assert {(r["k"], r["part"], r["name"]) for r in got} == {(1, "doc", "a"), (1, "tag", "x")}
     assert np.prod([r["weight"] for r in got]) == pytest.approx(2.0)
+
+
+def test_few_tags_go_round_in_one_pass(spark):
+    """Blocks of whole rows give the factors of the whole matrix, all K in the same rounds, two tables kept at most but for those of finished K."""
+    x = table(np.random.default_rng(8), n=90, t=11)
+    rows = factor_table(frame(spark, x).repartition(3), (2, 3, 99), 300, FactorParams(cells=0, rows=16)).collect()
+    assert {r["k"] for r in rows} == {2, 3}
+    for k in (2, 3):
+        w, h = matrices(rows, k, *x.shape)
+        want_w, want_h = nmf(x, k, 300)
+        assert np.allclose(w, want_w, atol=1e-6) and np.allclose(h, want_h, atol=1e-6)
+
+
+def test_rounds_of_few_tags_are_bounded_in_jobs(spark):
+    """A round is a pass and a sum for all K together; it was some twenty jobs for each K."""
+    x = table(np.random.default_rng(9), n=60, t=9)
+
+    def jobs(max_iter):
+        spark.sparkContext.setJobGroup(f"factors-{max_iter}", "")
+        factor_table(frame(spark, x), (2, 3), max_iter, FactorParams(cells=0, rows=32)).count()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"factors-{max_iter}"))
+
+    assert jobs(6) - jobs(2) <= 4 * 4
