@@ -4,14 +4,14 @@
    k-d tree that is fitted on a bounded sample; a block has about ``block`` sites, so
    work on one block or on two never holds more than that.
 2. The core distance of a site is the distance within which ``min_samples`` vectors lie,
-   itself included. A block's own sites bound it; only blocks whose box is nearer than
-   the bound are looked at too.
+   itself included. A block's own sites bound it; a site is sent to those other blocks
+   only whose box is nearer than its bound.
 3. Least spanning edges under mutual reachability (the larger of both core distances and
    the distance; site numbers break ties, so the tree is unique). A block first joins
    what it can prove alone: the least edge of a component counts if it is shorter than
-   the way out of the block. Then every component picks its least edge in each round,
-   from its own blocks and from those that its best edge so far reaches; at least half
-   of the components go each time.
+   the way out of the block. Then every component picks its least edge in each round:
+   from its own blocks, and by sending those of its sites to another block that its best
+   edge so far lets reach the box there; at least half of the components go each time.
 4. Edges are taken shortest first in bands of ``band`` edges. A component that reaches
    ``min_cluster_size`` becomes a node of the condensed tree, smaller ones fall from the
    node they join, and where two nodes meet both end and their masses are compared. What
@@ -24,8 +24,8 @@ Ids (any type that sorts; they may repeat or be null) only name and order sites.
 empty table gives no rows.
 
 The driver holds boxes and summaries of blocks, of which there are at most twice
-``leaves``, and the sample; a task holds one block or two, whose distances are made in
-slices of ``CELLS``, or one band.
+``leaves``, and the sample; a task holds one block and what some 64 others send to it, whose
+distances are made in slices of ``CELLS``, or one band.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def blocks_of(sites: DataFrame, dims: int, n: int, params: DensityParams) -> Dat
         return pd.DataFrame({"block": [int(rows["leaf"].iloc[0]) << 24 | int(rows["part"].iloc[0])], "nums": [_pack(rows["num"], np.int64)], "ms": [_pack(rows["m"], np.int64)], "xs": [_pack(x, np.float64)]})
 
     wide = dealt.join(parts, "leaf").select("num", "m", "x", block.alias("b")).select("num", "m", "x", "b.leaf", "b.part")
-    return stored(wide.groupBy("leaf", "part").applyInPandas(pack, "block bigint, nums binary, ms binary, xs binary"), "blocks")
+    return stored(wide.repartition(min(leaves, 512), "leaf", "part").groupBy("leaf", "part").applyInPandas(pack, "block bigint, nums binary, ms binary, xs binary"), "blocks")
 
 
 def _boxes(packed: DataFrame, dims: int) -> pd.DataFrame:
@@ -154,10 +154,48 @@ def _boxes(packed: DataFrame, dims: int) -> pd.DataFrame:
     return packed.select("block", "xs").mapInPandas(box, "block bigint, low array<double>, high array<double>").toPandas().sort_values("block", ignore_index=True)
 
 
-def pairs_of(packed: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (block, other) of ``pairs`` with the packed columns of both, those of ``other`` as other_<name>."""
-    right = packed.select(F.col("block").alias("other"), *(F.col(c).alias(f"other_{c}") for c in columns))
-    return pairs.join(packed.select("block", *columns), "block").join(right, "other")
+class Near:
+    """The boxes of all blocks, and which of them the sites of one block reach."""
+
+    def __init__(self, boxes: pd.DataFrame, dims: int, pure: np.ndarray | None = None, least: np.ndarray | None = None):
+        """By the rows of ``boxes``: ``pure`` is the component of a block that has no other (or -1), ``least`` its least core distance."""
+        self.blocks, self.lows, self.highs = boxes["block"].to_numpy(), np.array(boxes["low"].to_list()).reshape(-1, dims), np.array(boxes["high"].to_list()).reshape(-1, dims)
+        self.pure, self.least = pure, least
+
+    def reached(self, block: int, x: np.ndarray, upto: np.ndarray, comps: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Other blocks and the places of those sites for which they may hold one no farther than ``upto``."""
+        i = int(np.searchsorted(self.blocks, block))
+        good = box_distance(x.min(0), x.max(0), self.lows, self.highs) <= upto.max()
+        if self.least is not None:
+            good &= self.least <= upto.max()
+        good[i] = False
+        for other in np.flatnonzero(good):
+            gap = np.maximum(0.0, np.maximum(self.lows[other] - x, x - self.highs[other]))
+            use = np.sqrt((gap * gap).sum(1)) * (1 - 1e-12) <= upto
+            if comps is not None:
+                use &= (comps != self.pure[other]) & (upto >= self.least[other])
+            some = np.flatnonzero(use)
+            if len(some):
+                yield int(self.blocks[other]), some
+
+
+def around(y: np.ndarray, x: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Places of the sites ``y`` that may lie within ``upto`` of one of ``x``."""
+    return np.flatnonzero(box_distance(x.min(0), x.max(0), y, y) <= upto.max())
+
+
+def received(sent: DataFrame, packed: DataFrame, n_blocks: int, find, form: str) -> DataFrame:
+    """``find`` (what was sent, one row of ``packed``) for every block and about 64 of the blocks that sent to it."""
+    parts = 1 + n_blocks // 64
+    n, keys = min(n_blocks * parts, 512), ("other", "part")
+    left = sent.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    right = packed.withColumnRenamed("block", "other").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # A fixed number of partitions: rows are few and small, the work between them is not.
+    return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInPandas(find, form)
+
+
+def _joined(parts: pd.Series, kind, dims: int | None = None) -> np.ndarray:
+    return _open(b"".join(parts), kind, dims)
 
 
 def core_distances(packed: DataFrame, boxes: pd.DataFrame, dims: int, k: int) -> DataFrame:
@@ -191,21 +229,35 @@ def core_distances(packed: DataFrame, boxes: pd.DataFrame, dims: int, k: int) ->
     first = stored(packed.mapInPandas(own, f"{form}, upto double"), "near")
     found = first.drop("upto")
     if len(boxes) > 1:
-        need = first.groupBy("block").agg(F.max("upto").alias("need"))
-        pairs = partners(need, boxes, dims).where("block <> other")
         upto = first.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("num", "upto"))), lambda r: r["upto"]).alias("uptos"))
 
-        def more(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def away(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            near = Near(boxes, dims)
             for f in frames:
-                for b, nums, xs, bounds, ms_, xs_ in zip(f["block"], f["nums"], f["xs"], f["uptos"], f["other_ms"], f["other_xs"], strict=True):
-                    x, y = _open(xs, np.float64, dims), _open(xs_, np.float64, dims)
-                    near, count = nearest(x, y, _open(ms_, np.int64))
-                    use = near <= np.array(bounds)[:, None]
-                    some = np.flatnonzero(use.any(1))
-                    if len(some):
-                        yield pd.DataFrame({"block": b, "num": _open(nums, np.int64)[some], "near": [near[i][use[i]] for i in some], "counts": [count[i][use[i]] for i in some]})
-
-        found = found.unionByName(pairs_of(packed.join(upto, "block"), pairs, ["nums", "xs", "ms", "uptos"]).mapInPandas(more, form))
+                for b, nums, xs, bounds in zip(f["block"], f["nums"], f["xs"], f["uptos"], strict=True):
+                    nums, x, bounds = _open(nums, np.int64), _open(xs, np.float64, dims), np.array(bounds)
+                    for other, some in near.reached(b, x, bounds):
+                        yield pd.DataFrame({"block": [b], "other": [other], "sent": [_pack(nums[some], np.int64)], "sent_xs": [_pack(x[some], np.float64)], "sent_upto": [_pack(bounds[some], np.float64)]})
+
+        def more(sent: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"block": [], "num": [], "near": [], "counts": []}, dtype=object)
+            if not len(sent) or not len(block):
+                return none
+            x, bounds = _joined(sent["sent_xs"], np.float64, dims), _joined(sent["sent_upto"], np.float64)
+            own = np.repeat(sent["block"].to_numpy(), [len(v) // 8 for v in sent["sent"]])
+            y, ms = _open(block["xs"].iloc[0], np.float64, dims), _open(block["ms"].iloc[0], np.int64)
+            there = around(y, x, bounds)
+            if not len(there):
+                return none
+            near, count = nearest(x, y[there], ms[there])
+            use = near <= bounds[:, None]
+            some = np.flatnonzero(use.any(1))
+            if not len(some):
+                return none
+            return pd.DataFrame({"block": own[some], "num": _joined(sent["sent"], np.int64)[some], "near": [near[i][use[i]] for i in some], "counts": [count[i][use[i]] for i in some]})
+
+        sent = packed.select("block", "nums", "xs").join(upto, "block").mapInPandas(away, "block bigint, other bigint, sent binary, sent_xs binary, sent_upto binary")
+        found = found.unionByName(received(sent, packed.select("block", "ms", "xs"), len(boxes), more, form))
     each = found.groupBy("block", "num").agg(F.flatten(F.collect_list(F.arrays_zip("near", "counts"))).alias("near"))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).cast("double").alias("d"))
     core = F.aggregate(F.array_sort("near"), zero, lambda a, v: F.when(a["n"] >= k, a).otherwise(F.struct((a["n"] + v["counts"]).alias("n"), v["near"].alias("d"))))
@@ -213,25 +265,6 @@ def core_distances(packed: DataFrame, boxes: pd.DataFrame, dims: int, k: int) ->
     return stored(packed.join(cores, "block"), "cores")
 
 
-def partners(need: DataFrame, boxes: pd.DataFrame, dims: int, skip: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """block, other for all blocks whose boxes are no farther than ``need`` of the first. ``skip`` (least, pure by the rows of ``boxes``) leaves out those of one component only."""
-    blocks, lows, highs = boxes["block"].to_numpy(), np.array(boxes["low"].to_list()).reshape(-1, dims), np.array(boxes["high"].to_list()).reshape(-1, dims)
-
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for b, most in zip(f["block"], f["need"], strict=True):
-                i = int(np.searchsorted(blocks, b))
-                bound = box_distance(lows[i], highs[i], lows, highs)
-                good = np.ones(len(blocks), bool)
-                if skip is not None:
-                    bound = np.maximum(bound, np.maximum(skip["least"], skip["least"][i]))
-                    good = (skip["pure"] != skip["pure"][i]) | (skip["pure"] < 0)
-                other = blocks[good & (bound <= most)]
-                yield pd.DataFrame({"block": b, "other": other})
-
-    return need.mapInPandas(find, "block bigint, other bigint")
-
-
 def least_edges(comp: np.ndarray, low: np.ndarray, high: np.ndarray, w: np.ndarray, other: np.ndarray) -> pd.DataFrame:
     """The first edge by weight, lower and higher number of every component."""
     by = np.lexsort((high, low, w, comp))
@@ -368,18 +401,37 @@ def spanning_edges(packed: DataFrame, boxes: pd.DataFrame, dims: int, params: De
                     need[k] = np.where(rep_comp != rep_comp[i], far, np.inf).min()
                 yield pd.DataFrame({"block": f["block"], "need": need})
 
-        table = spark.createDataFrame(facts[["block", "need"]]).mapInPandas(bounded, "block bigint, need double")
-        near = partners(table, boxes, dims, {"least": facts["least"].to_numpy(), "pure": facts["pure"].to_numpy()})
-        pairs = near.where("block <> other").select(F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other")).distinct()
+        table = spark.createDataFrame(facts[["block", "need"]]).mapInPandas(bounded, "block bigint, need double").withColumnRenamed("need", "bound")
+        # The bound of every component of a block; a block's own where the component has no edge yet.
+        bounds = first.select("block", "comp").join(upto, "comp").join(F.broadcast(table), "block").select("block", "comp", F.when(F.col("upto") < float("inf"), F.col("upto")).otherwise(F.col("bound")).alias("upto"))
+        bounds = bounds.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("comp", "upto"))).alias("b")).select("block", F.col("b.comp").alias("names"), F.col("b.upto").alias("uptos"))
 
-        def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def away(frames: Iterator[pd.DataFrame], pure=facts["pure"].to_numpy(), least=facts["least"].to_numpy()) -> Iterator[pd.DataFrame]:
+            near = Near(boxes, dims, pure, least)
             for f in frames:
-                for row in zip(*(f[p + c] for p in ("", "other_") for c in ("xs", "cores", "nums", "comps")), strict=True):
-                    left, right = ((_open(x, np.float64, dims), np.array(core), _open(nums, np.int64), _open(comps, np.int64)) for x, core, nums, comps in (row[:4], row[4:]))
-                    yield outgoing(left, right)
-                    yield outgoing(right, left)
-
-        found = first.where("lo >= 0").select("comp", "w", "lo", "hi", "other").unionByName(pairs_of(whole, pairs, ["nums", "xs", "cores", "comps"]).mapInPandas(across, EDGES))
+                for b, nums, xs, cores, comps, names, uptos in zip(*(f[c] for c in ("block", "nums", "xs", "cores", "comps", "names", "uptos")), strict=True):
+                    nums, x, core, comps = _open(nums, np.int64), _open(xs, np.float64, dims), np.array(cores), _open(comps, np.int64)
+                    most = np.array(uptos)[np.searchsorted(np.array(names), comps)]
+                    own = np.flatnonzero(core <= most)
+                    if not len(own):
+                        continue
+                    nums, x, core, comps, most = nums[own], x[own], core[own], comps[own], most[own]
+                    for other, some in near.reached(b, x, most, comps):
+                        yield pd.DataFrame({"block": [b], "other": [other], "sent_xs": [_pack(x[some], np.float64)], "sent_cores": [_pack(core[some], np.float64)], "sent_nums": [_pack(nums[some], np.int64)], "sent_comps": [_pack(comps[some], np.int64)], "sent_upto": [_pack(most[some], np.float64)]})
+
+        def across(sent: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"comp": [], "w": [], "lo": [], "hi": [], "other": []}, dtype=object)
+            if not len(sent) or not len(block):
+                return none
+            left = _joined(sent["sent_xs"], np.float64, dims), _joined(sent["sent_cores"], np.float64), _joined(sent["sent_nums"], np.int64), _joined(sent["sent_comps"], np.int64)
+            most = _joined(sent["sent_upto"], np.float64)
+            y, core, nums, comps = _open(block["xs"].iloc[0], np.float64, dims), np.array(block["cores"].iloc[0]), _open(block["nums"].iloc[0], np.int64), _open(block["comps"].iloc[0], np.int64)
+            there = around(y, left[0], most)
+            there = there[core[there] <= most.max()]
+            return outgoing(left, (y[there], core[there], nums[there], comps[there])) if len(there) else none
+
+        sent = whole.join(bounds, "block").mapInPandas(away, "block bigint, other bigint, sent_xs binary, sent_cores binary, sent_nums binary, sent_comps binary, sent_upto binary")
+        found = first.where("lo >= 0").select("comp", "w", "lo", "hi", "other").unionByName(received(sent, whole, len(boxes), across, EDGES))
         picked = stored(found.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("comp", "e.*"), "picked")
         edges = edges.unionByName(picked.select("w", "lo", "hi").distinct())
         top = roots(picked, params.small)

@@ -1,6 +1,7 @@
 """Density clusters over blocks, rounds and bands against one plain tree."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,25 @@ def test_odd_points(spark):
     assert sorted(map(tuple, density_clusters(same, 5, 2).collect())) == [([0.0], -1, 0.0)]
     two = spark.range(50).select(F.col("id").cast("string"), F.array((F.col("id") % 2).cast("double")).alias("x"))
     assert sorted(map(tuple, density_clusters(two, 5, 2).collect())) == [([0.0], 0, 1.0), ([1.0], 1, 1.0)]
+
+
+def test_sites_go_only_to_blocks_that_they_reach():
+    """A far site's wide bound no longer makes its whole block meet all others."""
+    rng = np.random.default_rng(2)
+    grid = np.array([(i, j) for i in range(12) for j in range(12)], float) * 10
+    cells = [g + rng.random((50, 2)) for g in grid]
+    cells[0] = np.vstack([cells[0], [[-500.0, -500.0]]])
+    boxes = pd.DataFrame({"block": range(len(cells)), "low": [c.min(0).tolist() for c in cells], "high": [c.max(0).tolist() for c in cells]})
+    near = density.Near(boxes, 2)
+    for i in (0, 70):
+        upto = np.full(len(cells[i]), 0.5)
+        upto[-1] = 5000.0 if i == 0 else 0.5
+        sent = dict(near.reached(i, cells[i], upto))
+        for other, y in enumerate(cells):
+            if other != i:
+                must = np.flatnonzero((density.distances(cells[i], y) <= upto[:, None]).any(1))
+                assert set(must) <= set(sent.get(other, []))
+        assert sum(map(len, sent.values())) == (143 if i == 0 else 0)
+    x, y = cells[0][:5], np.vstack(cells)
+    kept = density.around(y, x, np.full(5, 9.5))
+    assert set(np.flatnonzero((density.distances(y, x) <= 9.5).any(1))) <= set(kept) and len(kept) < len(y) / 4
