@@ -137,3 +137,16 @@ def test_sites_go_only_to_blocks_that_they_reach():
     x, y = cells[0][:5], np.vstack(cells)
     kept = density.around(y, x, np.full(5, 9.5))
     assert set(np.flatnonzero((density.distances(y, x) <= 9.5).any(1))) <= set(kept) and len(kept) < len(y) / 4
+
+
+def test_blocks_of_small_tables_meet_in_many_tasks(spark):
+    """The tables between blocks are small and were coalesced to a task or two, which did all the work of profile_summary and audio_clusters."""
+    sent = spark.range(130).selectExpr("id AS block", "(id * 7) % 130 AS other", "id AS sent")
+    packed = spark.range(130).selectExpr("id AS block", "id + 1 AS held")
+
+    def find(sent, block):
+        return pd.DataFrame({"sent": sent["sent"], "held": block["held"].iloc[0]} if len(sent) else {"sent": [], "held": []}, dtype=object)
+
+    met = density.received(sent, packed, 130, find, "sent bigint, held bigint")
+    assert met.rdd.getNumPartitions() == 390
+    assert sorted((r["sent"], r["held"]) for r in met.collect()) == [(i, i * 7 % 130 + 1) for i in range(130)]
