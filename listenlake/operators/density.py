@@ -7,11 +7,14 @@
    itself included. A block's own sites bound it; a site is sent to those other blocks
    only whose box is nearer than its bound.
 3. Least spanning edges under mutual reachability (the larger of both core distances and
-   the distance; site numbers break ties, so the tree is unique). A block first joins
-   what it can prove alone: the least edge of a component counts if it is shorter than
-   the way out of the block. Then every component picks its least edge in each round:
-   from its own blocks, and by sending those of its sites to another block that its best
-   edge so far lets reach the box there; at least half of the components go each time.
+   the distance; site numbers break ties, so the tree is unique). A block first makes the
+   tree of its own sites, which holds the least edge of any of their components to the
+   others, and joins what it can prove alone: the least edge of a component counts if it
+   is shorter than the way out of the block. Then every component picks its least edge in
+   each round: from the trees of its own blocks, and by sending those of its sites to
+   another block that its best edge so far lets reach the box there, where they are
+   compared cell by cell with the sites near them; at least half of the components go
+   each time.
 4. Edges are taken shortest first in bands of ``band`` edges. A component that reaches
    ``min_cluster_size`` becomes a node of the condensed tree, smaller ones fall from the
    node they join, and where two nodes meet both end and their masses are compared. What
@@ -55,6 +58,8 @@ class DensityParams:
 
 #: Distances made at once.
 CELLS = 1 << 22
+#: Sites that are compared with those around them at once.
+CELL = 64
 
 
 def row_slices(n: int, columns: int) -> Iterator[slice]:
@@ -143,6 +148,11 @@ def blocks_of(sites: DataFrame, dims: int, n: int, params: DensityParams) -> Dat
     return stored(wide.repartition(min(leaves, 512), "leaf", "part").groupBy("leaf", "part").applyInPandas(pack, "block bigint, nums binary, ms binary, xs binary"), "blocks")
 
 
+def spread(df: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows of blocks in a fixed number of partitions: they are few and small and would be coalesced to a task or two, the work on each is not."""
+    return df.repartition(min(n_blocks, 512, max(64, n_blocks // 4)), "block")
+
+
 def _boxes(packed: DataFrame, dims: int) -> pd.DataFrame:
     """block, low, high of all blocks; their number is bounded by DensityParams."""
 
@@ -164,18 +174,30 @@ class Near:
 
     def reached(self, block: int, x: np.ndarray, upto: np.ndarray, comps: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """Other blocks and the places of those sites for which they may hold one no farther than ``upto``."""
-        i = int(np.searchsorted(self.blocks, block))
-        good = box_distance(x.min(0), x.max(0), self.lows, self.highs) <= upto.max()
-        if self.least is not None:
-            good &= self.least <= upto.max()
-        good[i] = False
-        for other in np.flatnonzero(good):
-            gap = np.maximum(0.0, np.maximum(self.lows[other] - x, x - self.highs[other]))
-            use = np.sqrt((gap * gap).sum(1)) * (1 - 1e-12) <= upto
-            if comps is not None:
-                use &= (comps != self.pure[other]) & (upto >= self.least[other])
-            some = np.flatnonzero(use)
-            if len(some):
+        sites, others = [], []
+        # Sites of like bounds look at boxes together, so that few far ones don't lead all of the block to every other.
+        levels = np.where(np.isinf(upto), 1 << 20, np.frexp(upto)[1])
+        for level in np.unique(levels):
+            own = np.flatnonzero(levels == level)
+            good = box_distance(x[own].min(0), x[own].max(0), self.lows, self.highs) <= upto[own].max()
+            if self.least is not None:
+                good &= self.least <= upto[own].max()
+            good[int(np.searchsorted(self.blocks, block))] = False
+            near = np.flatnonzero(good)
+            for part in row_slices(len(own), len(near) * x.shape[1]):
+                i = own[part]
+                gap = np.maximum(0.0, np.maximum(self.lows[near] - x[i, None], x[i, None] - self.highs[near]))
+                use = np.sqrt((gap * gap).sum(2)) * (1 - 1e-12) <= upto[i, None]
+                if comps is not None:
+                    use &= (comps[i, None] != self.pure[near]) & (upto[i, None] >= self.least[near])
+                at, to = np.nonzero(use)
+                sites.append(i[at])
+                others.append(near[to])
+        if sites:
+            sites, others = np.concatenate(sites), np.concatenate(others)
+            by = np.lexsort((sites, others))
+            names, first = np.unique(others[by], return_index=True)
+            for other, some in zip(names, np.split(sites[by], first)[1:], strict=True):
                 yield int(self.blocks[other]), some
 
 
@@ -184,12 +206,27 @@ def around(y: np.ndarray, x: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return np.flatnonzero(box_distance(x.min(0), x.max(0), y, y) <= upto.max())
 
 
+def cells_of(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of sites that lie together, at most ``CELL`` at a time."""
+    todo = [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= CELL:
+            if len(own):
+                yield own
+            continue
+        part, half = x[own], len(own) // 2
+        by = own[np.argpartition(part[:, int((part.max(0) - part.min(0)).argmax())], half)]
+        todo += [by[half:], by[:half]]
+
+
 def received(sent: DataFrame, packed: DataFrame, n_blocks: int, find, form: str) -> DataFrame:
     """``find`` (what was sent, one row of ``packed``) for every block and about 64 of the blocks that sent to it."""
     parts = 1 + n_blocks // 64
     n, keys = min(n_blocks * parts, 512), ("other", "part")
-    left = sent.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-    right = packed.withColumnRenamed("block", "other").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left = stored(sent.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")), "sent")
+    # A block is copied only to those parts that have sites for it.
+    right = packed.withColumnRenamed("block", "other").join(left.select(*(F.col(c).alias(c) for c in keys)).distinct(), "other")
     # A fixed number of partitions: rows are few and small, the work between them is not.
     return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInPandas(find, form)
 
@@ -226,7 +263,7 @@ def core_distances(packed: DataFrame, boxes: pd.DataFrame, dims: int, k: int) ->
                 near, count = nearest(x, x, _open(ms, np.int64))
                 yield pd.DataFrame({"block": b, "num": _open(nums, np.int64), "near": list(near), "counts": list(count), "upto": within(near, count)})
 
-    first = stored(packed.mapInPandas(own, f"{form}, upto double"), "near")
+    first = stored(spread(packed, len(boxes)).mapInPandas(own, f"{form}, upto double"), "near")
     found = first.drop("upto")
     if len(boxes) > 1:
         upto = first.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("num", "upto"))), lambda r: r["upto"]).alias("uptos"))
@@ -236,8 +273,8 @@ def core_distances(packed: DataFrame, boxes: pd.DataFrame, dims: int, k: int) ->
             for f in frames:
                 for b, nums, xs, bounds in zip(f["block"], f["nums"], f["xs"], f["uptos"], strict=True):
                     nums, x, bounds = _open(nums, np.int64), _open(xs, np.float64, dims), np.array(bounds)
-                    for other, some in near.reached(b, x, bounds):
-                        yield pd.DataFrame({"block": [b], "other": [other], "sent": [_pack(nums[some], np.int64)], "sent_xs": [_pack(x[some], np.float64)], "sent_upto": [_pack(bounds[some], np.float64)]})
+                    rows = [(b, other, _pack(nums[some], np.int64), _pack(x[some], np.float64), _pack(bounds[some], np.float64)) for other, some in near.reached(b, x, bounds)]
+                    yield pd.DataFrame(rows, columns=["block", "other", "sent", "sent_xs", "sent_upto"])
 
         def more(sent: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
             none = pd.DataFrame({"block": [], "num": [], "near": [], "counts": []}, dtype=object)
@@ -246,17 +283,16 @@ def core_distances(packed: DataFrame, boxes: pd.DataFrame, dims: int, k: int) ->
             x, bounds = _joined(sent["sent_xs"], np.float64, dims), _joined(sent["sent_upto"], np.float64)
             own = np.repeat(sent["block"].to_numpy(), [len(v) // 8 for v in sent["sent"]])
             y, ms = _open(block["xs"].iloc[0], np.float64, dims), _open(block["ms"].iloc[0], np.int64)
-            there = around(y, x, bounds)
-            if not len(there):
-                return none
-            near, count = nearest(x, y[there], ms[there])
-            use = near <= bounds[:, None]
-            some = np.flatnonzero(use.any(1))
-            if not len(some):
-                return none
-            return pd.DataFrame({"block": own[some], "num": _joined(sent["sent"], np.int64)[some], "near": [near[i][use[i]] for i in some], "counts": [count[i][use[i]] for i in some]})
-
-        sent = packed.select("block", "nums", "xs").join(upto, "block").mapInPandas(away, "block bigint, other bigint, sent binary, sent_xs binary, sent_upto binary")
+            nums, found = _joined(sent["sent"], np.int64), []
+            for cell in cells_of(x):
+                there = around(y, x[cell], bounds[cell])
+                if len(there):
+                    near, count = nearest(x[cell], y[there], ms[there])
+                    use = near <= bounds[cell, None]
+                    found.extend((own[cell[i]], nums[cell[i]], near[i][use[i]], count[i][use[i]]) for i in np.flatnonzero(use.any(1)))
+            return pd.DataFrame(found, columns=["block", "num", "near", "counts"]) if found else none
+
+        sent = spread(packed.select("block", "nums", "xs").join(upto, "block"), len(boxes)).mapInPandas(away, "block bigint, other bigint, sent binary, sent_xs binary, sent_upto binary")
         found = found.unionByName(received(sent, packed.select("block", "ms", "xs"), len(boxes), more, form))
     each = found.groupBy("block", "num").agg(F.flatten(F.collect_list(F.arrays_zip("near", "counts"))).alias("near"))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).cast("double").alias("d"))
@@ -272,20 +308,53 @@ def least_edges(comp: np.ndarray, low: np.ndarray, high: np.ndarray, w: np.ndarr
     return pd.DataFrame({"comp": comp[by], "w": w[by], "lo": low[by], "hi": high[by], "other": other[by]})
 
 
-def outgoing(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> pd.DataFrame:
-    """The least edge of every component of ``left`` to another one in ``right``; both are (x, cores, nums, comps), by ascending number."""
+def outgoing(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], upto: np.ndarray | None = None) -> pd.DataFrame:
+    """The least edge of every component of ``left`` to another one in ``right``; both are (x, cores, nums, comps), ``right`` by ascending number. Edges longer than ``upto`` of their site need not be found."""
+    upto = np.full(len(left[0]), np.inf) if upto is None else upto
     (x, core, nums, comps), (y, core_, nums_, comps_) = left, right
     found = []
-    for part in row_slices(len(x), len(y)):
-        reach = np.maximum(distances(x[part], y), np.maximum(core[part, None], core_[None]))
-        reach[comps[part, None] == comps_[None]] = np.inf
-        to = reach.argmin(1)  # the first of equal ones has the least number, which makes the least edge
-        w = reach[np.arange(len(to)), to]
-        some = np.flatnonzero(np.isfinite(w))
-        a, b = nums[part][some], nums_[to[some]]
-        found.append(least_edges(comps[part][some], np.minimum(a, b), np.maximum(a, b), w[some], comps_[to[some]]))
-    e = pd.concat(found)
-    return least_edges(*(e[c].to_numpy() for c in ("comp", "lo", "hi", "w", "other")))
+    for cell in cells_of(x):
+        there = around(y, x[cell], upto[cell])
+        there = there[core_[there] <= upto[cell].max()]
+        for part in row_slices(len(cell), len(there)) if len(there) else ():
+            i = cell[part]
+            reach = np.maximum(distances(x[i], y[there]), np.maximum(core[i, None], core_[there]))
+            reach[comps[i, None] == comps_[there]] = np.inf
+            to = reach.argmin(1)  # the first of equal ones has the least number, which makes the least edge
+            w = reach[np.arange(len(to)), to]
+            some = np.flatnonzero(np.isfinite(w))
+            a, b = nums[i[some]], nums_[there[to[some]]]
+            found.append((comps[i[some]], np.minimum(a, b), np.maximum(a, b), w[some], comps_[there[to[some]]]))
+    return least_edges(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else least_edges(*(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, float, np.int64)))
+
+
+def own_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """w, a, b (places) of the least spanning tree of the sites of a block; these are by ascending number."""
+    n = len(x)
+    ws, a, b = np.zeros(n - 1), np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64)
+    # Of the sites that are not in the tree: their place, the least way to it, and the place there.
+    left, way, to, new = np.arange(1, n), np.full(n - 1, np.inf), np.full(n - 1, n), 0
+    y, core_ = x[1:].copy(), core[1:].copy()
+    for k in range(n - 1):
+        reach = np.maximum(distances(x[new : new + 1], y)[0], np.maximum(core[new], core_))
+        less = (reach < way) | ((reach == way) & (new < to))
+        way, to = np.where(less, reach, way), np.where(less, new, to)
+        at = np.flatnonzero(way == way.min())
+        at = at[np.lexsort((np.maximum(left[at], to[at]), np.minimum(left[at], to[at])))[0]] if len(at) > 1 else at[0]
+        new = left[at]
+        ws[k], a[k], b[k] = way[at], min(new, to[at]), max(new, to[at])
+        for z in (left, way, to, y, core_):
+            z[at] = z[-1]
+        left, way, to, y, core_ = (z[:-1] for z in (left, way, to, y, core_))
+    return ws, a, b
+
+
+def out_of_tree(comps: np.ndarray, nums: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+    """The least edge of every component of a block to another one there, from the block's tree."""
+    w, a, b = tree
+    some = np.flatnonzero((comps[a] != comps[b]) & np.isfinite(w))
+    w, a, b = w[some], a[some], b[some]
+    return least_edges(np.append(comps[a], comps[b]), np.append(nums[a], nums[a]), np.append(nums[b], nums[b]), np.append(w, w), np.append(comps[b], comps[a]))
 
 
 def contracted(comp: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -304,7 +373,7 @@ def contracted(comp: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def local_forest(packed: DataFrame, boxes: pd.DataFrame, dims: int) -> DataFrame:
-    """Packed comps of every block after the joins it can prove alone, and packed edges (ws, los, his) of these."""
+    """Packed comps of every block after the joins it can prove alone, packed edges (ws, los, his) of these, and its own tree (tree_w, tree_a, tree_b)."""
     lows, highs, blocks = np.array(boxes["low"].to_list()).reshape(-1, dims), np.array(boxes["high"].to_list()).reshape(-1, dims), boxes["block"].to_numpy()
 
     def grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,9 +387,9 @@ def local_forest(packed: DataFrame, boxes: pd.DataFrame, dims: int) -> DataFrame
                     gap = np.maximum(0.0, np.maximum(lows[own] - x[:, None], x[:, None] - highs[own]))
                     out = np.minimum(out, np.sqrt((gap * gap).sum(2)).min(1) * (1 - 1e-12))
                 out = np.maximum(out, core)
-                comp, edges = nums.copy(), []
+                comp, edges, tree = nums.copy(), [], own_tree(x, core)
                 while True:
-                    best = outgoing((x, core, nums, comp), (x, core, nums, comp))
+                    best = out_of_tree(comp, nums, tree)
                     at, n = np.unique(comp, return_inverse=True)
                     way = np.full(len(at), np.inf)
                     np.minimum.at(way, n, out)
@@ -331,9 +400,9 @@ def local_forest(packed: DataFrame, boxes: pd.DataFrame, dims: int) -> DataFrame
                     root = dict(zip(best["comp"].tolist(), contracted(best["comp"].to_numpy(), best["other"].to_numpy()).tolist(), strict=True))
                     comp = np.array([root.get(c, c) for c in at.tolist()])[n]
                 found = pd.concat(edges) if edges else pd.DataFrame({"w": [], "lo": [], "hi": []})
-                yield pd.DataFrame({"block": [b], "comps": [_pack(comp, np.int64)], "ws": [_pack(found["w"], np.float64)], "los": [_pack(found["lo"], np.int64)], "his": [_pack(found["hi"], np.int64)]})
+                yield pd.DataFrame({"block": [b], "comps": [_pack(comp, np.int64)], "ws": [_pack(found["w"], np.float64)], "los": [_pack(found["lo"], np.int64)], "his": [_pack(found["hi"], np.int64)], "tree_w": [_pack(tree[0], np.float64)], "tree_a": [_pack(tree[1], np.int64)], "tree_b": [_pack(tree[2], np.int64)]})
 
-    return stored(packed.mapInPandas(grow, "block bigint, comps binary, ws binary, los binary, his binary"), "forest")
+    return stored(spread(packed, len(boxes)).mapInPandas(grow, "block bigint, comps binary, ws binary, los binary, his binary, tree_w binary, tree_a binary, tree_b binary"), "forest")
 
 
 EDGES = "comp bigint, w double, lo bigint, hi bigint, other bigint"
@@ -371,20 +440,20 @@ def spanning_edges(packed: DataFrame, boxes: pd.DataFrame, dims: int, params: De
                 yield pd.DataFrame({"w": _open(ws, np.float64), "lo": _open(los, np.int64), "hi": _open(his, np.int64)})
 
     edges = grown.select("ws", "los", "his").mapInPandas(flat, "w double, lo bigint, hi bigint")
-    state = grown.select("block", "comps")
+    state, trees = grown.select("block", "comps"), grown.select("block", "tree_w", "tree_a", "tree_b")
     while len(boxes) > 1:
         whole = packed.select("block", "nums", "xs", "cores").join(state, "block")
 
         def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for b, nums, xs, cores, comps in zip(f["block"], f["nums"], f["xs"], f["cores"], f["comps"], strict=True):
+                for b, nums, xs, cores, comps, w, low, high in zip(*(f[c] for c in ("block", "nums", "xs", "cores", "comps", "tree_w", "tree_a", "tree_b")), strict=True):
                     nums, x, core, comps = _open(nums, np.int64), _open(xs, np.float64, dims), np.array(cores), _open(comps, np.int64)
                     names = np.unique(comps)
-                    best = outgoing((x, core, nums, comps), (x, core, nums, comps)) if len(names) > 1 else pd.DataFrame({"comp": [], "w": [], "lo": [], "hi": [], "other": []})
+                    best = out_of_tree(comps, nums, (_open(w, np.float64), _open(low, np.int64), _open(high, np.int64)))
                     left = pd.DataFrame({"comp": names}).merge(best, "left", on="comp").fillna({"w": np.inf, "lo": -1, "hi": -1, "other": -1})
                     yield left.assign(block=b, pure=names[0] if len(names) == 1 else -1, least=core.min(), rep=[list(x[0])] * len(left), rep_core=core[0], rep_comp=comps[0]).astype({"lo": np.int64, "hi": np.int64, "other": np.int64})
 
-        first = stored(whole.mapInPandas(own, f"block bigint, {EDGES}, pure bigint, least double, rep array<double>, rep_core double, rep_comp bigint"), "own")
+        first = stored(spread(whole.join(trees, "block"), len(boxes)).mapInPandas(own, f"block bigint, {EDGES}, pure bigint, least double, rep array<double>, rep_core double, rep_comp bigint"), "own")
         upto = first.groupBy("comp").agg(F.min("w").alias("upto"))
         facts = first.join(upto, "comp").groupBy("block").agg(F.max("upto").alias("need"), F.first("pure").alias("pure"), F.first("least").alias("least"), F.first("rep").alias("rep"), F.first("rep_core").alias("rep_core"), F.first("rep_comp").alias("rep_comp")).toPandas().sort_values("block", ignore_index=True)
         if facts["pure"].nunique() == 1 and facts["pure"].iloc[0] >= 0:
@@ -416,8 +485,8 @@ def spanning_edges(packed: DataFrame, boxes: pd.DataFrame, dims: int, params: De
                     if not len(own):
                         continue
                     nums, x, core, comps, most = nums[own], x[own], core[own], comps[own], most[own]
-                    for other, some in near.reached(b, x, most, comps):
-                        yield pd.DataFrame({"block": [b], "other": [other], "sent_xs": [_pack(x[some], np.float64)], "sent_cores": [_pack(core[some], np.float64)], "sent_nums": [_pack(nums[some], np.int64)], "sent_comps": [_pack(comps[some], np.int64)], "sent_upto": [_pack(most[some], np.float64)]})
+                    rows = [(b, other, _pack(x[some], np.float64), _pack(core[some], np.float64), _pack(nums[some], np.int64), _pack(comps[some], np.int64), _pack(most[some], np.float64)) for other, some in near.reached(b, x, most, comps)]
+                    yield pd.DataFrame(rows, columns=["block", "other", "sent_xs", "sent_cores", "sent_nums", "sent_comps", "sent_upto"])
 
         def across(sent: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
             none = pd.DataFrame({"comp": [], "w": [], "lo": [], "hi": [], "other": []}, dtype=object)
@@ -426,11 +495,9 @@ def spanning_edges(packed: DataFrame, boxes: pd.DataFrame, dims: int, params: De
             left = _joined(sent["sent_xs"], np.float64, dims), _joined(sent["sent_cores"], np.float64), _joined(sent["sent_nums"], np.int64), _joined(sent["sent_comps"], np.int64)
             most = _joined(sent["sent_upto"], np.float64)
             y, core, nums, comps = _open(block["xs"].iloc[0], np.float64, dims), np.array(block["cores"].iloc[0]), _open(block["nums"].iloc[0], np.int64), _open(block["comps"].iloc[0], np.int64)
-            there = around(y, left[0], most)
-            there = there[core[there] <= most.max()]
-            return outgoing(left, (y[there], core[there], nums[there], comps[there])) if len(there) else none
+            return outgoing(left, (y, core, nums, comps), most)
 
-        sent = whole.join(bounds, "block").mapInPandas(away, "block bigint, other bigint, sent_xs binary, sent_cores binary, sent_nums binary, sent_comps binary, sent_upto binary")
+        sent = spread(whole.join(bounds, "block"), len(boxes)).mapInPandas(away, "block bigint, other bigint, sent_xs binary, sent_cores binary, sent_nums binary, sent_comps binary, sent_upto binary")
         found = first.where("lo >= 0").select("comp", "w", "lo", "hi", "other").unionByName(received(sent, whole, len(boxes), across, EDGES))
         picked = stored(found.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("comp", "e.*"), "picked")
         edges = edges.unionByName(picked.select("w", "lo", "hi").distinct())

@@ -150,3 +150,44 @@ def test_blocks_of_small_tables_meet_in_many_tasks(spark):
     met = density.received(sent, packed, 130, find, "sent bigint, held bigint")
     assert met.rdd.getNumPartitions() == 390
     assert sorted((r["sent"], r["held"]) for r in met.collect()) == [(i, i * 7 % 130 + 1) for i in range(130)]
+
+
+def test_a_blocks_own_tree_holds_the_least_edges_of_all_components():
+    for seed in range(4):
+        x = np.unique(data(seed), axis=0)
+        rng = np.random.default_rng(seed)
+        core, nums = np.round(rng.random(len(x)) / 2, 1), np.sort(rng.choice(10_000, len(x), replace=False))
+        tree = density.own_tree(x, core)
+        assert len(tree[0]) == len(x) - 1
+        for n in (1, 2, 7, 60, len(x)):
+            comps = nums[rng.integers(0, n, len(x))]
+            side = (x, core, nums, comps)
+            assert density.out_of_tree(comps, nums, tree).equals(density.outgoing(side, side))
+
+
+def test_sites_sent_are_compared_only_with_those_around_them(monkeypatch):
+    """All that was sent to a block met all sites there within the box of it all, which is most of the block."""
+    rng = np.random.default_rng(5)
+    y, made = rng.random((2000, 3)), []
+    x = np.vstack([rng.random((500, 3)) - [1, 0, 0], rng.random((500, 3)) + [1, 0, 0]])
+    left = (x, np.zeros(1000), np.arange(2000, 3000), np.arange(2000, 3000))
+    right = (y, np.zeros(2000), np.arange(2000), np.zeros(2000, np.int64))
+    want = density.outgoing(left, right)
+    whole = density.distances
+    monkeypatch.setattr(density, "distances", lambda a, b: made.append(len(a) * len(b)) or whole(a, b))
+    few = density.outgoing(left, right, np.full(1000, 0.1))
+    near = want[want["w"] <= 0.1]
+    assert len(near) and few.merge(near).equals(near.reset_index(drop=True))
+    assert sum(made) < 1000 * 2000 / 10
+
+
+def test_a_block_is_copied_only_where_sites_are_sent_to_it(spark):
+    sent = spark.range(130).selectExpr("id AS block", "id % 10 AS other", "id AS sent")
+    packed = spark.range(130).selectExpr("id AS block", "id AS held")
+
+    def find(sent, block):
+        return pd.DataFrame({"n_sent": [len(sent)], "n_blocks": [len(block)]})
+
+    met = density.received(sent, packed, 130, find, "n_sent bigint, n_blocks bigint").collect()
+    assert sum(r["n_sent"] for r in met) == 130
+    assert len(met) <= 30 and {r["n_blocks"] for r in met} == {1}
