@@ -413,8 +413,7 @@ def top_artists(spark, sf_dir):
 
 @query()
 def scene_topics(spark, sf_dir):
-    tags = doc_tags(spark, sf_dir).withColumn("doc", F.col("doc").cast("string"))
-    found = scene.factor(tags)
+    found = scene.factor(doc_tags(spark, sf_dir))
     return found.select("k", "part", "topic", "name", F.round("weight", 3).alias("weight"))
 
 

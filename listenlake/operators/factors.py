@@ -20,12 +20,14 @@ accuracy of their sums.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,11 +52,15 @@ def coordinates(a: np.ndarray, gram: np.ndarray, cross: np.ndarray, weight: np.n
     """One pass over the rows of ``a`` (k by n), in place; what the gradients asked for, by ``weight``."""
     moved = 0.0
     for j in range(len(a)):
-        gradient = gram[j] @ a - cross[j]
-        held = np.abs(np.where(a[j] == 0, np.minimum(0, gradient), gradient))
-        moved += float(held.sum() if weight is None else held @ weight)
-        if gram[j, j] > 0:
-            a[j] = np.maximum(a[j] - gradient / gram[j, j], 0)
+        gradient = gram[j] @ a
+        gradient -= cross[j]
+        step = gradient / -gram[j, j] if gram[j, j] > 0 else None
+        gradient[(a[j] == 0) & (gradient > 0)] = 0
+        np.abs(gradient, out=gradient)
+        moved += float(gradient.sum() if weight is None else gradient @ weight)
+        if step is not None:
+            step += a[j]
+            np.maximum(step, 0, out=a[j])
     return moved
 
 
@@ -242,67 +248,107 @@ class Blocks:
 
 def _sparse(a: np.ndarray) -> bytes:
     """A factor's rows as a bit for each weight and the positive ones."""
-    return np.packbits(a > 0).tobytes() + _bytes(a[a > 0])
+    some = a > 0
+    return np.packbits(some).tobytes() + a[some].tobytes()
 
 
-def _dense(x: bytes, k: int, n: int) -> np.ndarray:
-    some = np.unpackbits(np.frombuffer(x, np.uint8, -(-k * n // 8)), count=k * n).astype(bool)
+def _dense(x: pa.Buffer, k: int, n: int) -> np.ndarray:
+    some = np.unpackbits(np.frombuffer(x, np.uint8, -(-k * n // 8)), count=k * n).view(bool)
     a = np.zeros(k * n)
     a[some] = np.frombuffer(x, np.float64, offset=-(-k * n // 8))
     return a.reshape(k, n)
 
 
-class Tall:
-    """A table with few tags in blocks of whole rows (b, n, m, at, c, v, w): ``at`` is where each row's entries begin, ``w`` has the block's rows of one factor for each K."""
+def _small(x: np.ndarray) -> bytes:
+    """Numbers in the first of four kinds that holds all of them exactly, behind the kind's name."""
+    with np.errstate(all="ignore"):
+        kind = next((t for t in "BHf" if np.array_equal(x.astype(t), x)), "d")
+    return kind.encode().ljust(8) + x.astype(kind).tobytes()
 
-    FORM = "b bigint, n bigint, m binary, at binary, c binary, v binary, w array<binary>, sums binary"
-    #: Cells of a slice of a block, few enough for a processor's cache.
-    CELLS = 1 << 16
 
-    def __init__(self, entries: DataFrame, n_blocks: int, n_tags: int):
-        """``entries`` (rb, r, m, c, v), each row with at least one of them."""
+def _wide(x: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(x, chr(x[0]), offset=8)
 
-        def pack(f: pd.DataFrame) -> pd.DataFrame:
-            f = f.sort_values(["r", "c"])
-            r, first = np.unique(f["r"].to_numpy(), return_index=True)
-            rows = {"b": f["rb"].iloc[0], "n": len(r), "m": _bytes(f["m"].to_numpy()[first]), "at": _bytes(np.append(first, len(f)), np.int64), "c": _bytes(f["c"], np.int32), "v": _bytes(f["v"]), "w": None, "sums": None}
-            return pd.DataFrame([rows])
 
-        self.tags, self.spark = n_tags, entries.sparkSession
-        self.x = stored(entries.repartition(n_blocks, "rb").groupBy("rb").applyInPandas(pack, self.FORM), "entries")
+class Tall:
+    """A table with few tags in blocks of whole rows (b, n, ids, m, t, c, v, w): ``t`` is how many entries each row has, ``w`` has the block's rows of one factor for each K. ``ids`` are not taken along from round to round."""
+
+    FORM = "b bigint, n bigint, m binary, t binary, c binary, v binary, w array<binary>, sums binary"
+    #: Cells of a slice of a block, few enough for a processor's cache.
+    CELLS = 1 << 17
+    #: A row holds megabytes: pages and row groups are looked at after each one, not after a hundred.
+    OPTIONS = {"compression": "none", "parquet.block.size": 1 << 24, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
+
+    def __init__(self, patterns: DataFrame, n_blocks: int, tag_names: list[str]):
+        """``patterns`` (pattern, tags, m, first), each with at least one tag."""
+
+        def block(b: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, m, tags = (table[x].combine_chunks() for x in ("pattern", "m", "tags"))
+            tags, ids = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (tags, ids))
+            name, v = tags.flatten().flatten()
+            c = pc.index_in(name, value_set=pa.array(tag_names).cast(name.type)).to_numpy()
+            parts = (b"".join(ids.to_pylist()), _small(m.to_numpy()), _small(pc.list_value_length(tags).to_numpy()), _small(c), _small(v.to_numpy()))
+            return pa.record_batch([pa.array([b]), pa.array([len(table)]), *(pa.array([x], pa.binary()) for x in parts)], names=["b", "n", "ids", "m", "t", "c", "v"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, []
+            for batch in batches:
+                rb = batch.column("rb").to_numpy()
+                for i, j in itertools.pairwise([0, *(np.flatnonzero(np.diff(rb)) + 1), len(rb)]):
+                    if i < j:
+                        if held and rb[i] != now:
+                            yield block(now, held)
+                            held = []
+                        now = int(rb[i])
+                        held.append(batch.slice(i, j - i))
+            if held:
+                yield block(now, held)
+
+        self.tags, self.spark = len(tag_names), patterns.sparkSession
+        dealt = patterns.select(F.pmod(F.xxhash64("first"), F.lit(n_blocks)).cast("bigint").alias("rb"), "first", "pattern", "m", "tags").repartition(n_blocks, "rb").sortWithinPartitions("rb", "first")
+        self.x = stored(dealt.mapInArrow(pack, "b bigint, n bigint, ids binary, m binary, t binary, c binary, v binary"), "entries", **self.OPTIONS)
 
     @classmethod
-    def slices(cls, row, n_tags: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """Places, whole rows and multiplicities of one slice of a block after the other."""
-        m, at, c, v = (np.frombuffer(x, kind) for x, kind in ((row.m, np.float64), (row.at, np.int64), (row.c, np.int32), (row.v, np.float64)))
+    def slices(cls, batch: pa.RecordBatch, i: int, n_tags: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Places, whole rows and multiplicities of one slice of a block (row ``i`` of a batch) after the other."""
+        m, t, c, v = (_wide(batch.column(x)[i].as_buffer()) for x in "mtcv")
+        at = np.append(0, np.cumsum(t, dtype=np.int64))
         step = max(16, cls.CELLS // n_tags)
         for a in range(0, len(m), step):
             own = slice(a, min(a + step, len(m)))
-            few = at[own.start : own.stop + 1]
-            x = np.zeros((len(few) - 1, n_tags))
-            x[np.repeat(np.arange(len(x)), np.diff(few)), c[few[0] : few[-1]]] = v[few[0] : few[-1]]
-            yield own, x, m[own]
+            few = slice(at[own.start], at[own.stop])
+            x = np.zeros((own.stop - own.start, n_tags))
+            x[np.repeat(np.arange(len(x)), t[own]), c[few]] = v[few]
+            yield own, x, m[own].astype(float)
 
     def added(self, size: int, of) -> np.ndarray:
         """The sum of the array of ``size`` numbers that ``of`` makes of (x, m) over all slices; one row from each task."""
         n_tags = self.tags
 
-        def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(size)
-            for f in frames:
-                for row in f.itertuples(index=False):
-                    for _, x, m in Tall.slices(row, n_tags):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, first = np.zeros(size), 0
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    first = first or batch.column("b")[i].as_py() + 1
+                    for _, x, m in Tall.slices(batch, i, n_tags):
                         total += np.asarray(of(x, m)).ravel()
-            yield pd.DataFrame({"sums": [_bytes(total)]})
+            yield pa.record_batch([pa.array([-first]), pa.array([total.tobytes()], pa.binary())], names=["b", "sums"])
 
-        return self.total(self.x.select("m", "at", "c", "v").mapInPandas(add, "sums binary"), size)
+        return self.total(self.x.select("b", "m", "t", "c", "v").mapInArrow(add, "b bigint, sums binary"), size)
 
     @staticmethod
     def total(df: DataFrame, size: int) -> np.ndarray:
-        out = np.zeros(size)
-        for r in df.select("sums").toLocalIterator():
-            out += np.frombuffer(r[0], np.float64)
-        return out
+        """The tasks' sums (b, sums) added up in one order; one row comes to the driver."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size)
+            for batch in batches:
+                for x in batch.column(0):
+                    out += np.frombuffer(x.as_buffer(), np.float64)
+            yield pa.record_batch([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+        return np.frombuffer(df.select("b", "sums").repartition(1).sortWithinPartitions("b").select("sums").mapInArrow(add, "sums binary").first()[0], np.float64).copy()
 
     def fit(self, ks: list[int], max_iter: int, tol: float) -> dict[int, tuple[DataFrame, np.ndarray]]:
         """For each K the factor of rows (b, n, w) and that of tags (k by tags)."""
@@ -332,19 +378,22 @@ class Tall:
             for g, j in enumerate(good):
                 if j < k:
                     h[j] = side(j, v[j], v[j], s[j], *norms[g])[1]
-        state, first, found, mark = self.x, {}, {}, made()
+        state, first, found, mark = self.x.drop("ids"), {}, {}, made()
         for turn_no in range(max_iter):
             now = list(hs)
 
-            def move(frames: Iterator[pd.DataFrame], now=now, hs=dict(hs), fresh=not turn_no) -> Iterator[pd.DataFrame]:
+            def move(batches: Iterator[pa.RecordBatch], now=now, hs=dict(hs), fresh=not turn_no) -> Iterator[pa.RecordBatch]:
                 grams = {k: hs[k] @ hs[k].T for k in now}
                 sums = {k: (np.zeros((k, k)), np.zeros((k, n_tags))) for k in now}
-                moved = dict.fromkeys(now, 0.0)
-                for f in frames:
-                    ws = []
-                    for row in f.itertuples(index=False):
-                        factors = {k: np.zeros((k, row.n)) if fresh else _dense(row.w[i], k, row.n) for i, k in enumerate(now)}
-                        for own, x, m in Tall.slices(row, n_tags):
+                moved, first_b = dict.fromkeys(now, 0.0), 0
+                names, lists = ["b", "n", "m", "t", "c", "v", "w", "sums"], pa.list_(pa.binary())
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        n = batch.column("n")[i].as_py()
+                        first_b = first_b or batch.column("b")[i].as_py() + 1
+                        before = None if fresh else batch.column("w")[i].values
+                        factors = {k: np.zeros((k, n)) if fresh else _dense(before[j].as_buffer(), k, n) for j, k in enumerate(now)}
+                        for own, x, m in Tall.slices(batch, i, n_tags):
                             for k in now:
                                 a = begin(k, x) if fresh else np.ascontiguousarray(factors[k][:, own])
                                 moved[k] += coordinates(a, grams[k], hs[k] @ x.T, m)
@@ -352,12 +401,12 @@ class Tall:
                                 heavy = a * m
                                 sums[k][0][:] += heavy @ a.T
                                 sums[k][1][:] += heavy @ x
-                        ws.append([_sparse(factors[k]) for k in now])
-                    yield f.assign(w=ws)
+                        kept = [batch.column(x).slice(i, 1) for x in names[:6]]
+                        yield pa.record_batch([*kept, pa.array([[_sparse(factors[k]) for k in now]], lists), pa.nulls(1, pa.binary())], names=names)
                 flat = np.concatenate([np.concatenate([[moved[k]], sums[k][0].ravel(), sums[k][1].ravel()]) for k in now])
-                yield pd.DataFrame([{"b": -1, "n": 0, "m": None, "at": None, "c": None, "v": None, "w": None, "sums": _bytes(flat)}])
+                yield pa.record_batch([pa.array([-1 - first_b]), pa.array([0]), *(pa.nulls(1, pa.binary()) for _ in "mtcv"), pa.nulls(1, lists), pa.array([flat.tobytes()], pa.binary())], names=names)
 
-            new = stored(state.mapInPandas(move, self.FORM), "factor")
+            new = stored(state.mapInArrow(move, self.FORM), "factor", **self.OPTIONS)
             sizes = [1 + k * k + k * n_tags for k in now]
             sums = np.split(self.total(new.where("b < 0"), sum(sizes)), np.cumsum(sizes)[:-1])
             state = new.where("b >= 0")
@@ -365,7 +414,7 @@ class Tall:
                 moved = flat[0] + coordinates(hs[k], flat[1 : 1 + k * k].reshape(k, k), flat[1 + k * k :].reshape(k, n_tags))
                 first.setdefault(k, moved)
                 if first[k] == 0 or moved / first[k] <= tol or turn_no + 1 == max_iter:
-                    found[k] = stored(state.select("b", "n", F.get("w", F.lit(i)).alias("w")), "factor"), hs.pop(k)
+                    found[k] = stored(state.select("b", "n", F.get("w", F.lit(i)).alias("w")), "factor", **self.OPTIONS), hs.pop(k)
             if not hs:
                 break
             if len(hs) < len(now):
@@ -374,21 +423,29 @@ class Tall:
         drop_since(self.spark, mark, tuple(w for w, _ in found.values()))
         return found
 
-    @staticmethod
-    def rows(factor: DataFrame, k: int) -> DataFrame:
-        """k, b, at, topics, weights of every row with a positive weight."""
+    def rows(self, factors: dict[int, DataFrame]) -> DataFrame:
+        """pattern, places, weights of every row: its positive weights, and where they are among the topics of all K in turn."""
+        ks = list(factors)
 
         def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = 1 << 13
             for batch in batches:
-                for b, n, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    a = _dense(w, k, n).T
-                    row, topic = np.nonzero(a)
-                    at, first = np.unique(row, return_index=True)
-                    ends = pa.array(np.append(first, len(row)), pa.int32())
-                    lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (topic.astype(np.int64), a[row, topic]))
-                    yield pa.record_batch([pa.array(np.full(len(at), b)), pa.array(at.astype(np.int32)), *lists], names=["b", "at", "topics", "weights"])
-
-        return factor.mapInArrow(flat, "b bigint, at int, topics array<bigint>, weights array<double>").select(F.lit(k).cast("bigint").alias("k"), "b", "at", "topics", "weights")
+                for i in range(batch.num_rows):
+                    n = batch.column("n")[i].as_py()
+                    ids, a = batch.column("ids")[i].as_py(), np.concatenate([_dense(batch.column(f"w{k}")[i].as_buffer(), k, n) for k in ks])
+                    wide = len(ids) // n
+                    for at in range(0, n, step):
+                        own = np.ascontiguousarray(a[:, at : at + step].T)
+                        row, j = np.nonzero(own)
+                        ends = pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32())
+                        lists = (pa.ListArray.from_arrays(ends, pa.array(y)) for y in (j.astype(np.int32), own[row, j]))
+                        names = pa.array([ids[x * wide : (x + 1) * wide] for x in range(at, at + len(own))], pa.binary())
+                        yield pa.record_batch([names, *lists], names=["pattern", "places", "weights"])
+
+        wide = self.x.select("b", "n", "ids")
+        for k, w in factors.items():
+            wide = wide.join(w.select("b", F.col("w").alias(f"w{k}")), "b")
+        return wide.mapInArrow(flat, "pattern binary, places array<int>, weights array<double>")
 
 
 def factor_table(tags: DataFrame, k_grid: tuple[int, ...], max_iter: int, params: FactorParams = FactorParams()) -> DataFrame:
@@ -397,9 +454,11 @@ def factor_table(tags: DataFrame, k_grid: tuple[int, ...], max_iter: int, params
     Rows of one document and tag add up; a null document, tag or weight takes no part.
     """
     spark = tags.sparkSession
-    clean = tags.where("doc is not null and tag is not null and weight is not null").groupBy(F.col("doc").cast("string").alias("doc"), F.col("tag").cast("string").alias("tag")).agg(F.sum("weight").cast("double").alias("v"))
-    listed = clean.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("tag", "v"))).alias("tags"))
-    per_doc = stored(listed.withColumn("pattern", F.sha2(F.to_json("tags"), 256)), "docs")
+    if tags.schema["doc"].dataType.typeName() not in ("long", "integer"):  # others could be alike as text only
+        tags = tags.withColumn("doc", F.col("doc").cast("string"))
+    clean = tags.where("doc is not null and tag is not null and weight is not null").groupBy("doc", F.col("tag").cast("string").alias("tag")).agg(F.sum("weight").cast("double").alias("v"))
+    listed = clean.repartition("doc").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("tag", "v"))).alias("tags"))
+    per_doc = stored(listed.select(F.col("doc").cast("string").alias("doc"), "tags", F.unhex(F.sha2(F.to_json("tags"), 256)).alias("pattern")), "docs")
     patterns = per_doc.groupBy("pattern").agg(F.first("tags").alias("tags"), F.count("*").cast("double").alias("m"), F.min("doc").alias("first"))
     patterns = stored(patterns, "patterns")
     names = stored(patterns.select(F.explode("tags.tag").alias("tag")).distinct(), "names")
@@ -416,6 +475,15 @@ def factor_table(tags: DataFrame, k_grid: tuple[int, ...], max_iter: int, params
         dealt = df.withColumn(b, F.pmod(F.xxhash64(key), F.lit(n)).cast("bigint"))
         return stored(dealt.withColumn(at, (F.row_number().over(Window.partitionBy(b).orderBy(key)) - 1).cast("int")), "placed")
 
+    if not whole and n_cb == 1 and n_tags <= params.narrow:
+        tag_names = [r["tag"] for r in names.orderBy("tag").collect()]
+        tall = Tall(patterns, n_rb, tag_names)
+        fitted = tall.fit(ks, max_iter, params.tol)
+        of_tags = spark.createDataFrame([(k, "tag", int(j), tag_names[c], float(h[j, c])) for k, (_, h) in fitted.items() for j, c in zip(*np.nonzero(h), strict=True)], form)
+        # A row per document until here; the weights are opened after the join.
+        joined = tall.rows({k: w for k, (w, _) in fitted.items()}).join(per_doc.select("pattern", "doc"), "pattern").select("doc", F.explode(F.arrays_zip("places", "weights")).alias("e"))
+        k_of, topic_of = (F.get(F.array(*(F.lit(x).cast("bigint") for x in xs)), F.col("e.places")) for xs in zip(*((k, j) for k in fitted for j in range(k)), strict=True))
+        return joined.select(k_of.alias("k"), F.lit("doc").alias("part"), topic_of.alias("topic"), F.col("doc").alias("name"), F.col("e.weights").alias("weight")).unionByName(of_tags)
     rows, columns = placed(patterns, "first", n_rb, "rb", "r"), placed(names, "tag", n_cb, "cb", "c")
     entries = rows.select("rb", "r", "m", F.explode("tags").alias("e")).select("rb", "r", "m", F.col("e.tag").alias("tag"), F.col("e.v").alias("v")).join(columns, "tag")
     if whole:
@@ -433,18 +501,6 @@ def factor_table(tags: DataFrame, k_grid: tuple[int, ...], max_iter: int, params
 
         grid = entries.select("r", "c", "v", "m", F.explode(F.array(*map(F.lit, ks))).alias("k"))
         found = stored(grid.groupBy("k").applyInPandas(fit, "k bigint, part string, b bigint, at int, topic bigint, weight double"), "factors")
-    elif n_cb == 1 and n_tags <= params.narrow:
-        fitted = Tall(entries.select("rb", "r", "m", "c", "v"), n_rb, n_tags).fit(ks, max_iter, params.tol)
-        tag_names = [r["tag"] for r in columns.orderBy("c").collect()]
-        of_tags = spark.createDataFrame([(k, "tag", int(j), tag_names[c], float(h[j, c])) for k, (_, h) in fitted.items() for j, c in zip(*np.nonzero(h), strict=True)], form)
-        each = None
-        for k, (w, _) in fitted.items():
-            own = Tall.rows(w, k)
-            each = own if each is None else each.unionByName(own)
-        # A row per document and K until here; the weights are opened after the join.
-        placed_docs = per_doc.select("pattern", "doc").join(rows.select("pattern", F.col("rb").alias("b"), F.col("r").alias("at")), "pattern").select("doc", "b", "at")
-        joined = each.join(placed_docs, ["b", "at"]).select("k", "doc", F.explode(F.arrays_zip("topics", "weights")).alias("e"))
-        return joined.select("k", F.lit("doc").alias("part"), F.col("e.topics").alias("topic"), F.col("doc").alias("name"), F.col("e.weights").alias("weight")).unionByName(of_tags)
     else:
         packed = rows.groupBy("rb").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("r", "m"))), lambda s: s["m"]).alias("ms"))
 

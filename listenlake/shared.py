@@ -30,10 +30,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
+def stored(df: DataFrame, tag: str, **options) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage. ``options`` go to the writer."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from listenlake.operators.factors import FactorParams, factor_table, nmf
+from listenlake.operators.factors import FactorParams, _small, _wide, factor_table, nmf
 
 
 def table(rng, n=60, t=14, rank=4):
@@ -79,3 +79,21 @@ def test_rounds_of_few_tags_are_bounded_in_jobs(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"factors-{max_iter}"))
 
     assert jobs(6) - jobs(2) <= 4 * 4
+
+
+def test_sums_of_a_round_come_in_one_job(spark):
+    """However many files a round has: the driver ran one job after the other for their sums."""
+    x = table(np.random.default_rng(10), n=60, t=9)
+
+    def jobs(max_iter):
+        spark.sparkContext.setJobGroup(f"sums-{max_iter}", "")
+        factor_table(frame(spark, x), (2, 3), max_iter, FactorParams(cells=0, rows=4)).count()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sums-{max_iter}"))
+
+    assert jobs(6) - jobs(2) <= 4 * 3
+
+
+def test_numbers_of_a_block_are_kept_in_the_least_kind_that_holds_them():
+    for x, size in (([0, 255], 1), ([7, 65535], 2), ([-1, 0.5], 4), ([0.1, 3], 8), ([np.nan, np.inf], 8), ([1 << 40, 1], 4), ([(1 << 40) + 1, 1], 8), ([], 1)):
+        packed = _small(np.array(x))
+        assert np.array_equal(_wide(packed), np.array(x), equal_nan=True) and len(packed) == 8 + size * len(x)
